@@ -24,8 +24,8 @@ s as (
     else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) end) g
   from w),
 n as (select doc_id, count(*) n from s group by 1),
-shared as (select a.doc_id a, b.doc_id b, count(*) both from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
-link as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both >= 90 * (x.n + y.n - both)),
+shared as (select a.doc_id a, b.doc_id b, count(*) common from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+link as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 90 * (x.n + y.n - common)),
 edge as (select a, b from link union all select b, a from link),
 reach(a, b) as (select doc_id, doc_id from documents union select r.a, e.b from reach r join edge e on r.b = e.a)
 select d.doc_id, coalesce(n.n, 0) n_shingles, c.component_id
