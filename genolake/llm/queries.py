@@ -7,9 +7,16 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .jaccard_join import jaccard_components
+from .packing import pack, tokenizer_path
 from .repeats import remove_repeats
 
 
+def op1_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    length = (F.octet_length("ids") / 4).cast("long")
+    return pieces.select("doc_id", "start", length.alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"), length=400)
     kept = F.octet_length("kept").cast("long")
@@ -20,7 +27,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op4_suffix_array_dedup, op9_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_bm25_packing, op4_suffix_array_dedup, op9_ngram_jaccard_join)}
 
 ORACLES = {
     "op9_ngram_jaccard_join": r"""
