@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .jaccard_join import jaccard_components
+from .language_id import identify
 from .packing import pack, tokenizer_path
+from .quality_classifier import classify_quality
 from .repeats import remove_repeats
 
 
@@ -17,6 +19,10 @@ def op1_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", length.alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"), length=400)
     kept = F.octet_length("kept").cast("long")
@@ -27,7 +33,11 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_bm25_packing, op4_suffix_array_dedup, op9_ngram_jaccard_join)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bm25_packing, op3_language_id, op4_suffix_array_dedup, op9_ngram_jaccard_join, op10_quality_classifier)}
 
 ORACLES = {
     "op9_ngram_jaccard_join": r"""
