@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from .chat_format import format_chats, loss_text, read_chats
 from .common import table
+from .decontamination import contained_items
 from .jaccard_join import jaccard_components
 from .language_id import identify
+from .line_dedup import drop_boilerplate
 from .packing import pack, tokenizer_path
 from .quality_classifier import classify_quality
+from .quality_rules import judge
 from .repeats import remove_repeats
 from .sharding import assign_shards
 
@@ -21,6 +24,10 @@ def op1_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", length.alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -48,6 +55,15 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, removed = drop_boilerplate(table(spark, sf_dir, "documents"), host="source")
+    return docs.select("doc_id", F.col(removed).alias("n_removed"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op8_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = assign_shards(table(spark, sf_dir, "documents"), shards=24)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -61,9 +77,29 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bm25_packing, op3_language_id, op4_suffix_array_dedup, op5_chat_formatting, op8_lpt_sharding, op9_ngram_jaccard_join, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_bm25_packing, op2_benchmark_decontamination, op3_language_id, op4_suffix_array_dedup, op5_chat_formatting, op6_line_dedup, op7_quality_rules, op8_lpt_sharding, op9_ngram_jaccard_join, op10_quality_classifier)}
 
 ORACLES = {
+    "op2_benchmark_decontamination": r"""
+with words as (
+  select 'd' kind, doc_id id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') w from documents
+  union all select 'i', item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') from benchmark),
+items as (select id item_id, w, least(5, len(w)) k from words where kind = 'i' and len(w) > 0),
+si as (select distinct item_id, k, array_to_string(w[i:i+k-1], ' ') s from (select *, unnest(range(1, len(w) - k + 2)) i from items)),
+sd as (select distinct id doc_id, k, array_to_string(w[i:i+k-1], ' ') s
+  from (select id, w, k, unnest(range(1, greatest(len(w) - k + 2, 1)::bigint)) i from words, (select distinct k from items) where kind = 'd')),
+n as (select item_id, count(*) n_item from si group by 1)
+select doc_id, item_id, n_item, count(*) n_shared from sd join si using (k, s) join n using (item_id) group by all having 100 * count(*) >= 80 * n_item
+""",
+    "op6_line_dedup": r"""
+with l as (select doc_id, source, line, i from (select doc_id, source, unnest(string_split(text, chr(10))) line, unnest(range(len(string_split(text, chr(10))))) i from documents)),
+total as (select source, count(*) h from documents group by 1),
+bad as (select source, line from (select source, line, count(distinct doc_id) n from l where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1, 2) join total using (source) where n >= 5 and n > 0.08 * h)
+select d.doc_id, coalesce(x.n_removed, 0)::bigint n_removed, md5(coalesce(x.kept, case when x.doc_id is null then d.text else '' end)) text_md5
+from documents d left join (
+  select doc_id, count(bad.line) n_removed, string_agg(case when bad.line is null then l.line end, chr(10) order by i) kept
+  from l left join bad on l.source = bad.source and l.line = bad.line group by 1) x using (doc_id)
+""",
     "op5_chat_formatting": r"""
 with t as (
   select conv_id::bigint conv_id, turn::bigint turn, coalesce(role, '') r, coalesce(text, '') x from conversations
