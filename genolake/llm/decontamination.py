@@ -30,6 +30,10 @@ def shingles_of(words: Column, k: Column | int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, k))))
 
 
+def _with_length(k: int):
+    return lambda x: F.struct(F.lit(k).alias("k"), x.alias("shingle"))
+
+
 def item_shingles(items: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(item, item_id, k, shingles), a row per different (item_id, words): an item of fewer words than k is one shingle of all
     its words; items without words are left out."""
@@ -58,7 +62,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = SHINGLE, percent
 
     def held(rows: DataFrame) -> DataFrame:
         rows = rows.select("doc_id", words_of(F.col("text")).alias("words"))
-        of = [F.transform(shingles_of(F.col("words"), n), lambda x, n=n: F.struct(F.lit(n).alias("k"), x.alias("shingle"))) for n in lengths]
+        of = [F.transform(shingles_of(F.col("words"), n), _with_length(n)) for n in lengths]
         return rows.select("doc_id", F.explode(of[0] if len(of) == 1 else F.concat(*of)).alias("s")).select("doc_id", "s.k", "s.shingle")
 
     pairs = join_small(held(docs), probe, ["k", "shingle"], "inner").select("doc_id", F.explode("items").alias("item")).distinct()
