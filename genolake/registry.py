@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from .plans import compare
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _plan in (compare,):
+    QUERIES |= _plan.QUERIES
+    ORACLES |= _plan.ORACLES
