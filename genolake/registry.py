@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import compare
+from .plans import compare, fit
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _plan in (compare,):
+for _plan in (compare, fit):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES
