@@ -9,12 +9,16 @@ open window is cut into sequences whose lengths are powers of two."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,47 +26,87 @@ from pyspark.sql import functions as F
 from .common import prepare, staged, text_column
 
 #: Words a worker remembers, with their ids.
-WORDS = 300_000
+WORDS = 600_000
 #: Rests in a shard of the index.
-SHARD = 1024
+SHARD = 512
 K1, B = 1.2, 0.75
 
 
 #: Texts of these code points only: composed Latin letters and printable ASCII, about which all parties agree.
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\u00a1-\u012f\u0131-\u024f]*").fullmatch
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\u00a1-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u012f\u0131-\u024f]*").fullmatch
 
 
-class WordIds(dict):
-    """Ids of white-space separated words, by the tokenizer; its pieces never cross white space.
+#: The tokenizer's own splitting rule.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+
+
+def _letter_coder(path: str) -> Callable[[bytes], list[int]]:
+    """A byte-pair coder for lower-case words of letters, from the tokenizer's vocabulary.
+
+    The vocabulary marks a word's end by a suffix to its last symbol. Here the last byte is written as another one, which
+    words of letters never hold: a letter in upper case, a byte from 128 to 191 less by 128. A piece's place in the
+    vocabulary is both its id and its rank among the merges."""
+    import tiktoken
+
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
+    ranks = {}
+    for piece, rank in json.loads(Path(path).read_text())["model"]["vocab"].items():
+        ends = piece.endswith("</w>")
+        raw = bytes(byte[c] for c in (piece[:-4] if ends else piece))
+        if raw and all(97 <= b <= 122 or b >= 128 for b in raw) and (not ends or raw[-1] < 192):
+            ranks[raw[:-1] + _LAST[raw[-1:]] if ends else raw] = rank
+    return tiktoken.Encoding("letters", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
 
-    Two rules save most calls for ASCII words: the tokenizer lower-cases, and a final full stop or comma after a letter
-    is a piece of its own."""
+_LAST = {bytes([b]): bytes([b - 32 if b < 128 else b - 128]) for b in [*range(97, 123), *range(128, 192)]}
+
+
+class WordIds(dict):
+    """Ids of white-space separated words: those of the tokenizer, whose pieces never cross white space. It is asked itself
+    for all but words of letters."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode
+        self.letters = _letter_coder(path)
+        self.pieces: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def coded(self, word: str) -> bytes:
+        raw = word.encode()
+        return array("I", self.letters(raw[:-1] + _LAST[raw[-1:]])).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        if piece.isalpha():
+            return self.coded(piece)
+        if piece not in self.pieces:
+            if len(self.pieces) >= WORDS:
+                self.pieces.clear()
+            self.pieces[piece] = self.ids(piece)
+        return self.pieces[piece]
+
     def __missing__(self, word: str) -> bytes:
-        if word.isascii() and len(word) > 1 and (low := word.lower()) != word:
-            out = self[low]
-        elif word.isascii() and len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
-            out = self[word[:-1]] + self[word[-1]]
+        low = word.lower()
+        if low.isalpha():
+            out = self.coded(low)
+        elif low[-1] in ".," and low[:-1].isalpha():
+            out = self.coded(low[:-1]) + self.piece(low[-1])
         else:
-            out = self.ids(word)
+            out = b"".join(map(self.piece, _PIECES(low)))
         if len(self) >= WORDS:
             self.clear()
         self[word] = out
         return out
 
     def text(self, text: str) -> bytes:
-        """The ids of a text. Special strings count as such to the tokenizer, and on rare code points its view of white space
-        and composition may differ from Python's: such texts go to it whole."""
-        if "<|" in text or not text.isascii() and any(c.isspace() and c not in "\x85\xa0" or "̀" <= c <= "ͯ" for c in set(text) if c > "\x7f") or any("\x1c" <= c <= "\x1f" for c in ("\x1c", "\x1d", "\x1e", "\x1f") if c in text):
+        """The ids of a text. Special strings count as such to the tokenizer, and on rare code points its view of letters, white
+        space and composition may differ from Python's: such texts go to it whole."""
+        if not _PLAIN(text) or "<|" in text:
             return self.ids(text)
         return b"".join(map(self.__getitem__, text.split()))
 
@@ -107,20 +151,22 @@ class _Index:
     """The BM25 inverted index of one shard: postings by id, each with its weight."""
 
     def __init__(self, rests: list[np.ndarray], idf: np.ndarray) -> None:
-        n = len(rests)
+        self.n = len(rests)
         lengths = np.array([len(r) for r in rests], np.int64)
-        pair, tf = np.unique((np.concatenate(rests).astype(np.int64) << 20) | np.repeat(np.arange(n), lengths), return_counts=True)
-        ids, self.doc = pair >> 20, pair & ((1 << 20) - 1)
-        self.weight = idf[ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / lengths.mean()))
-        first = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1])
-        self.at = {int(ids[a]): (int(a), int(b)) for a, b in zip(first, np.append(first[1:], len(ids)), strict=True)}
-        order = np.argsort(self.doc, kind="stable")
-        self.terms = np.split(ids[order], np.cumsum(np.bincount(self.doc, minlength=n))[:-1])
-        self.n = n
+        pair, tf = np.unique((np.concatenate(rests).astype(np.int64) << 20) | np.repeat(np.arange(self.n), lengths), return_counts=True)
+        ids, doc = pair >> 20, pair & ((1 << 20) - 1)
+        weight = idf[ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / lengths.mean()))
+        edges = np.flatnonzero(np.diff(ids)) + 1
+        term = np.zeros(len(ids), np.int64)
+        term[edges] = 1
+        term = np.cumsum(term)
+        self.docs, self.weights = np.split(doc, edges), np.split(weight, edges)
+        order = np.argsort(doc, kind="stable")
+        self.terms = [t.tolist() for t in np.split(term[order], np.cumsum(np.bincount(doc, minlength=self.n))[:-1])]
 
     def scores(self, seed: int) -> np.ndarray:
-        spans = [self.at[t] for t in self.terms[seed].tolist()]
-        return np.bincount(np.concatenate([self.doc[a:b] for a, b in spans]), np.concatenate([self.weight[a:b] for a, b in spans]), self.n)
+        docs, weights = self.docs, self.weights
+        return np.bincount(np.concatenate([docs[t] for t in self.terms[seed]]), np.concatenate([weights[t] for t in self.terms[seed]]), self.n)
 
 
 def _pack(idf: np.ndarray, window: int, shard: int):
