@@ -1,0 +1,12 @@
+"""Python workers that can import this package."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+
+def importable(spark: SparkSession) -> None:
+    """Puts the folder of this package on the workers' path, if no path is set. On a cluster it is installed, or sent by --py-files."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))

@@ -227,7 +227,7 @@ def sv_info_span(spark, d) -> DataFrame:
     return structural(spark, d).withColumn("info", info).select("id", F.coalesce(vcf.sv_span(F.col("pos"), F.col("info")), F.lit(-1)).alias("span"))
 
 
-@query("select gt, count(*) n, round(min(case when gt in ('1/1', './1') then 1.0 when gt = './.' then null when gt = '0/0' then 0.0 else 0.5 end), 6) dosage, bool_and(gt in ('1/1', './1', './.')) homozygous from vcf_fields group by 1", "vcf_fields")
+@query("select gt, count(*) n, round(min(case when gt in ('1/1', './1') then 1.0 when gt = './.' then null when gt = '0/0' then 0.0 else 0.5 end)::double, 6) dosage, bool_and(gt in ('1/1', './1', './.')) homozygous from vcf_fields group by 1", "vcf_fields")
 def genotype_dosage(spark, d) -> DataFrame:
     g = F.col("gt")
     return vcf_fields(spark, d).groupBy("gt").agg(F.count("*").alias("n"), r6(F.min(vcf.dosage(g))).alias("dosage"), F.min(vcf.homozygous(g)).alias("homozygous"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import compare, fit
+from .plans import compare, fit, generate, realism, segments
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _plan in (compare, fit):
+for _plan in (compare, segments, fit, realism, generate):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES
