@@ -23,10 +23,11 @@ def resolve_ambiguity(base: Column, u: Column) -> Column:
     """A base for an IUPAC code, each of its bases equally likely under u in [0, 1)."""
     # The IUPAC nucleotide codes.
     codes = {"R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG"}
-    out = F.when(base.isin("A", "C", "G", "T"), base)
-    for code, bases in codes.items():
-        out = out.when(base == code, F.substring(F.lit(bases), (F.floor(u * len(bases)) + 1).cast("int"), F.lit(1)))
-    return out.otherwise(F.lit("N"))
+    bases = F.when(base.isin("A", "C", "G", "T"), base)
+    for code, those in codes.items():
+        bases = bases.when(base == code, F.lit(those))
+    bases = bases.otherwise(F.lit("N"))
+    return F.substr(bases, (F.floor(u * F.length(bases)) + 1).cast("int"), F.lit(1))
 
 
 def count_of(seq: Column, chars: str) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import compare, fit, generate, realism, segments
+from .plans import compare, fit, formats, generate, realism, segments
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _plan in (compare, segments, fit, realism, generate):
+for _plan in (compare, segments, fit, realism, generate, formats):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES
