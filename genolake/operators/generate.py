@@ -15,20 +15,61 @@ from ..functions.sequence import reverse_complement
 from ..functions.workers import importable
 
 
+def _in_cdf(draws: DataFrame, segments: DataFrame, mass: Column) -> DataFrame:
+    """draws (contig, u, ...) with the columns of the segment (contig, start, ...) in which u * total mass falls, and lo, hi, x. A
+    contig's mass is cut into as many bins as it has segments, and segments are filed under the bins they touch: two each on
+    average, however many draws there are."""
+    w, all_ = Window.partitionBy("contig").orderBy("start"), Window.partitionBy("contig")
+    cdf = segments.withColumn("hi", F.sum(mass).over(w)).withColumn("lo", F.col("hi") - mass).withColumn("total", F.max("hi").over(all_)).withColumn("m", F.count("*").over(all_)).where("hi > lo")
+    at = lambda x: F.least(F.floor(x * F.col("m") / F.col("total")), F.col("m"))
+    filed = cdf.withColumn("bin", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi"))))).drop("total", "m")
+    size = cdf.groupBy("contig").agg(F.max("total").alias("total"), F.max("m").alias("m"))
+    d = draws.join(size, "contig").withColumn("x", F.col("u") * F.col("total")).withColumn("bin", at(F.col("x"))).drop("total", "m")
+    return d.join(filed, ["contig", "bin"]).where("x >= lo and x < hi").drop("bin")
+
+
 def place_variants(segments: DataFrame, seed: int) -> DataFrame:
     """(contig, k, pos0): trunc(sum of length * value) positions a contig over its segments (contig, start, end, value; disjoint),
-    each in proportion to the value. The CDF of a contig is its segments' running sum."""
+    each in proportion to the value."""
     mass = (F.col("end") - F.col("start")) * F.col("value")
-    w = Window.partitionBy("contig").orderBy("start")
-    cdf = segments.where("value > 0").withColumn("hi", F.sum(mass).over(w)).withColumn("lo", F.col("hi") - mass)
-    total = cdf.groupBy("contig").agg(F.max("hi").alias("total"))
-    draws = total.where("total >= 1").select("contig", "total", F.explode(F.sequence(F.lit(1).cast("long"), F.col("total").cast("long"))).alias("k"))
-    key = F.concat_ws(":", F.col("contig"), F.col("k").cast("string"))
-    draws = draws.withColumn("x", uniform(seed, "place", key) * F.col("total"))
-    hit = draws.join(cdf.select("contig", "start", "end", "value", "lo", "hi"), "contig").where("x >= lo and x < hi")
+    usable = segments.where("value > 0")
+    total = usable.groupBy("contig").agg(F.sum(mass).alias("total")).where("total >= 1")
+    draws = total.select("contig", F.explode(F.sequence(F.lit(1).cast("long"), F.col("total").cast("long"))).alias("k"))
+    draws = draws.withColumn("u", uniform(seed, "place", F.concat_ws(":", F.col("contig"), F.col("k").cast("string"))))
+    hit = _in_cdf(draws, usable, mass)
     return hit.select("contig", "k", F.least(F.col("start") + F.floor((F.col("x") - F.col("lo")) / F.col("value")), F.col("end") - 1).alias("pos0"))
 
 
+def place_fragments_by_gc(windows: DataFrame, lengths: DataFrame, size: int, coverage: float, read_len: int, paired: bool, seed: int, most: float = 100.0) -> DataFrame:
+    """(contig, k, start, end): starts in proportion to the windows' weights (contig, start, weight; `size` bases each). The number of
+    draws a contig (contig, length) grows by 1 / mean weight, `most` times at most; fragments are `size` long."""
+    mean = windows.groupBy("contig").agg(F.avg("weight").alias("mean")).where("mean > 0")
+    n = F.ceil(F.col("length") * F.lit(coverage) / F.lit(read_len * (2 if paired else 1)) * F.least(1 / F.col("mean"), F.lit(most)))
+    d = lengths.join(mean, "contig").select("contig", "length", F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("k"))
+    key = F.concat_ws(":", F.col("contig"), F.col("k").cast("string"))
+    hit = _in_cdf(d.withColumn("u", uniform(seed, "gc", key)), windows, F.col("weight"))
+    start = F.col("start") + F.floor((F.col("x") - F.col("lo")) / F.col("weight") * size)
+    return hit.select("contig", "k", start.alias("start"), (start + size).alias("end"), "length").where("end <= length").drop("length")
+
+
+def read_through(fragment: Column, adapter: str, read_len: int) -> tuple[Column, Column]:
+    """(bases, cigar) of a read of a fragment: past its end the adapter is read, then A; those bases are soft-clipped."""
+    bases = F.rpad(F.concat(fragment, F.lit(adapter)), read_len, "A")
+    n = F.least(F.length(fragment), F.lit(read_len))
+    cigar = F.concat(n.cast("string"), F.lit("M"), F.when(n < read_len, F.concat((F.lit(read_len) - n).cast("string"), F.lit("S"))).otherwise(""))
+    return bases, cigar
+
+
+def reciprocal_breakends(draws: DataFrame) -> DataFrame:
+    """(contig, pos, alt, pair) of translocations (pair, contig_a, pos_a, contig_b, pos_b, base_a, base_b; 1-based): each is a pair
+    of mates that name each other."""
+    mate = lambda c, p: F.concat(F.lit("["), F.col(c), F.lit(":"), F.col(p).cast("string"), F.lit("["))
+    back = lambda c, p: F.concat(F.lit("]"), F.col(c), F.lit(":"), F.col(p).cast("string"), F.lit("]"))
+    a = F.struct(F.col("contig_a").alias("contig"), F.col("pos_a").alias("pos"), F.concat("base_a", mate("contig_b", "pos_b")).alias("alt"))
+    b = F.struct(F.col("contig_b").alias("contig"), F.col("pos_b").alias("pos"), F.concat(back("contig_a", "pos_a"), F.col("base_b")).alias("alt"))
+    return draws.select("pair", F.explode(F.array(a, b)).alias("m")).select("m.contig", "m.pos", "m.alt", "pair")
+
+
 def place_fragments(contigs: DataFrame, lengths: list[tuple[int, float]], coverage: float, read_len: int, paired: bool, seed: int) -> DataFrame:
     """(contig, k, start, end): ceil(length * coverage / bases a fragment) draws a contig (contig, length); the length first, then
     the start; a fragment longer than its contig is discarded."""

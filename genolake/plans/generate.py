@@ -55,6 +55,46 @@ def place_fragments(spark, d) -> DataFrame:
     return out.select("contig", "k", "start", F.col("end").alias("stop"))
 
 
+@query(
+    f"""~ w as (select contig, i::bigint as start, (1 + (length(regexp_replace(substr(seq, i + 1, 100), '[^GC]', '', 'g')) % 7)) / 4.0 weight from (select contig, seq, unnest(range(0, length(seq) - 99, 100)) i from contigs where length(seq) >= 100)),
+m as (select contig, avg(weight) mean from w group by 1), c as (select *, sum(weight) over (partition by contig order by start) hi from w), t as (select contig, max(hi) total from c group by 1),
+k as (select contig, length, unnest(range(1, ceil(length * 1.0 / 200 * least(1 / mean, 100))::bigint + 1)) k from (select contig, length(seq)::bigint length from contigs) join m using (contig)),
+x as (select contig, length, k, {U('gc', "contig || ':' || k::varchar")} * total x from k join t using (contig)),
+s as (select x.contig, k, length, start + floor((x - (hi - weight)) / weight * 100)::bigint as start from x join c on x.contig = c.contig and x >= hi - weight and x < hi)
+select contig, k, start, start + 100 as stop from s where start + 100 <= length""",
+    "contigs",
+)
+def place_fragments_gc(spark, d) -> DataFrame:
+    c = contigs(spark, d)
+    w = fit.sequence_tiles(c, 1, 100).where("length(seq) = 100")
+    gc = F.length("seq") - F.length(F.translate("seq", "GC", ""))
+    w = w.select("contig", F.col("tile_start").cast("long").alias("start"), ((1 + gc % 7) / 4.0).alias("weight"))
+    out = generate.place_fragments_by_gc(w, c.select("contig", F.length("seq").cast("long").alias("length")), 100, 1.0, 100, True, 11)
+    return out.select("contig", "k", "start", F.col("end").alias("stop"))
+
+
+@query(
+    "~ f as (select id, substr(repeat('ACGGT', 40), 1, (30 + h % 150)::int) s from fragments where h % 10 = 0) select id, rpad(s || 'AGATCGGAAGAGC', 100, 'A') bases, least(length(s), 100)::varchar || 'M' || case when length(s) < 100 then (100 - length(s))::varchar || 'S' else '' end cigar from f",
+    "fragments",
+)
+def adapter_read_through(spark, d) -> DataFrame:
+    f = fragments(spark, d).where("h % 10 = 0").select("id", F.substr(F.lit("ACGGT" * 40), F.lit(1), (30 + F.col("h") % 150).cast("int")).alias("s"))
+    bases, cigar = generate.read_through(F.col("s"), "AGATCGGAAGAGC", 100)
+    return f.select("id", bases.alias("bases"), cigar.alias("cigar"))
+
+
+@query(
+    "~ s as (select id, contig, pos, lead(contig) over (order by id) c2, lead(pos) over (order by id) p2 from structural), a as (select * from s where c2 is not null and id % 2 = 0) select contig, pos, 'A[' || c2 || ':' || p2::varchar || '[' alt, id pair from a union all select c2, p2, ']' || contig || ':' || pos::varchar || ']T', id from a",
+    "structural",
+)
+def translocation_mates(spark, d) -> DataFrame:
+    s = structural(spark, d)
+    t = s.select(F.col("id").alias("pair"), F.col("contig").alias("contig_a"), F.col("pos").alias("pos_a")).where("pair % 2 = 0")
+    n = s.select((F.col("id") - 1).alias("pair"), F.col("contig").alias("contig_b"), F.col("pos").alias("pos_b"))
+    t = t.join(n, "pair").select("*", F.lit("A").alias("base_a"), F.lit("T").alias("base_b"))
+    return generate.reciprocal_breakends(t).select("contig", "pos", "alt", "pair")
+
+
 @query(f"select contig, count(*) n from (select *, (h % 5) / 5.0 broken from fragments) where {U('suppress', 'id')} >= broken group by 1", "fragments")
 def junction_suppress(spark, d) -> DataFrame:
     f = fragments(spark, d).withColumn("broken", (F.col("h") % 5) / 5.0)
