@@ -60,6 +60,30 @@ def read_through(fragment: Column, adapter: str, read_len: int) -> tuple[Column,
     return bases, cigar
 
 
+def haplotype_sequence(seq: Column, start: Column, variants: Column) -> Column:
+    """seq, which begins at `start`, with variants (array<struct<pos0, ref, alt>>) put in: those wholly inside, one after another from
+    the right, so that no change moves the ones still to come. Of variants that overlap the left ones are left out."""
+    inside = F.filter(variants, lambda v: (v["pos0"] >= start) & (v["pos0"] + F.length(v["ref"]) <= start + F.length(seq)))
+    ordered = F.reverse(F.array_sort(inside))
+
+    def put(a: Column, v: Column) -> Column:
+        at = (v["pos0"] - start).cast("int")
+        changed = F.concat(F.substr(a["seq"], F.lit(1), at), v["alt"], F.substr(a["seq"], at + F.length(v["ref"]) + 1))
+        fits = at + F.length(v["ref"]) <= a["limit"]
+        return F.struct(F.when(fits, changed).otherwise(a["seq"]).alias("seq"), F.when(fits, at).otherwise(a["limit"]).alias("limit"))
+
+    return F.aggregate(ordered, F.struct(seq.alias("seq"), F.length(seq).alias("limit")), put)["seq"]
+
+
+def carried(fragments: DataFrame, variants: DataFrame, width: int = 256) -> DataFrame:
+    """fragments (id, contig, start, end) with `carried`: the variants (contig, pos0, ref, alt) that lie in them."""
+    from .intervals import overlaps
+
+    v = variants.select("contig", F.col("pos0").alias("start"), (F.col("pos0") + F.length("ref")).alias("end"), "ref", "alt")
+    hit = overlaps(fragments, v, width).groupBy("id").agg(F.collect_set(F.struct(F.col("r_start").alias("pos0"), F.col("r_ref").alias("ref"), F.col("r_alt").alias("alt"))).alias("carried"))
+    return fragments.join(hit, "id", "left").withColumn("carried", F.coalesce("carried", F.array().cast(hit.schema["carried"].dataType)))
+
+
 def reciprocal_breakends(draws: DataFrame) -> DataFrame:
     """(contig, pos, alt, pair) of translocations (pair, contig_a, pos_a, contig_b, pos_b, base_a, base_b; 1-based): each is a pair
     of mates that name each other."""

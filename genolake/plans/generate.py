@@ -162,6 +162,23 @@ def chimeric_junctions(spark, d) -> DataFrame:
     return generate.junction_reads(s, c, 30)
 
 
+@query(
+    """~ f as (select contig, i - 10 as start, substr(seq, i - 10 + 1, 40) s, i from (select contig, seq, unnest(range(20, length(seq) - 30, 60)) i from contigs) where i % 3 <> 1)
+select f.contig || ':' || f.i::varchar id, substr(s, 1, 10) || case when f.i % 3 = 0 then case when f.i % 2 = 0 then 'A' else 'G' end || substr(s, 12) else substr(s, 11, 1) || 'TTT' || substr(s, 13) end seq from f""",
+    "contigs",
+)
+def haplotype_fragments(spark, d) -> DataFrame:
+    """Fragments of 40 bases with the variant they carry put in: a substitution, or two bases that become four."""
+    c = contigs(spark, d)
+    at = c.where("length(seq) > 50").select("contig", F.explode(F.sequence(F.lit(20), F.length("seq") - 31, F.lit(60))).alias("i"), "seq")
+    at = at.select(F.concat_ws(":", "contig", F.col("i").cast("string")).alias("id"), "contig", "i", (F.col("i") - 10).cast("long").alias("start"), (F.col("i") + 30).cast("long").alias("end"), F.substr("seq", F.col("i") - 9, F.lit(40)).alias("s"))
+    ref = lambda n: F.substring("s", 11, n)
+    snp = F.when(F.col("i") % 2 == 0, "A").otherwise("G")
+    v = at.where("i % 3 != 1").select("contig", F.col("i").cast("long").alias("pos0"), F.when(F.col("i") % 3 == 0, ref(1)).otherwise(ref(2)).alias("ref"), F.when(F.col("i") % 3 == 0, snp).otherwise(F.concat(ref(1), F.lit("TTT"))).alias("alt"))
+    f = generate.carried(at.where("i % 3 != 1").select("id", "contig", "start", "end", "s"), v)
+    return f.select("id", generate.haplotype_sequence(F.col("s"), F.col("start"), F.col("carried")).alias("seq"))
+
+
 @query()
 def structural_placement(spark, d) -> DataFrame:
     c = table(spark, d, "part").select(F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("contig"), (F.col("p_retailprice") * 100).cast("long").alias("length"))
