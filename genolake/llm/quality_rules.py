@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, staged
+from .common import fresh, join_small, staged
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Character classes, in the order in which they are taken out of a text; the rest is the last class.
@@ -137,9 +137,10 @@ def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """docs without the rows that judge() refuses. The verdict depends on text and corpus alone, so it is found from the row's
-    own counts, beside its columns."""
-    verdict = fresh(docs, "kept")
-    columns = docs.columns
-    judged = judge(docs, columns)
-    return judged.select(*columns, F.col("kept").alias(verdict)).where(verdict).select(*columns)
+    """docs without the rows that judge() refuses. A verdict depends on the text and the corpus alone, so only the texts' hashes
+    (64 bits) and lengths are staged beside the counts, and the refused ones are taken out of docs by these."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    mark, size = (fresh(docs, c) for c in ("text_hash", "text_size"))
+    marked = docs.withColumn(mark, F.xxhash64(text)).withColumn(size, F.length(text))
+    refused = staged(judge(marked, [mark, size]).where("not kept").select(mark, size).distinct(), "refused")
+    return join_small(marked, refused, [mark, size], "left_anti").select(*docs.columns)
