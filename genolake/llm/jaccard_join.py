@@ -4,7 +4,8 @@ Every document is a set of k-word shingles. Two metrics are used. The symmetric
 distance to the empty set in it is the set's size: rings of sizes are its regions, and a document whose possible
 partners reach into the next ring is replicated there. In a ring, partners differ by at most D shingles. The universe
 of shingles is cut by hash into D + 1 + slack slices, the projection onto a slice never enlarges the difference, so
-partners agree on a slice wholly (slack + 1 slices, in fact): cells of radius zero. Documents that share a cell are
+partners agree on a slice wholly (slack + 1 slices, in fact): cells of radius zero. Documents that share a cell and whose
+distances to fixed parts of the universe, the pivots, differ by no more than partners' may (the triangle inequality) are
 candidates, and connected candidates form a region.
 
 Inside a region, documents are pivots under the Jaccard distance: Voronoi cells, windows of twice the threshold by the
@@ -29,6 +30,12 @@ from .hashing import mix, shingle_set, word_hashes
 RING = 1.5
 #: Shingles that one region's task holds; a larger region is dealt out as pairs of blocks.
 REGION_SHINGLES = 4_000_000
+#: Documents of a group of cells that one task compares by their coordinates; a larger group is dealt out likewise.
+CELL_MEMBERS = 16_384
+#: Parts of the universe of shingles that serve as pivots.
+PIVOTS_OF_UNIVERSE = 128
+#: Rows of a batch that a task hands out.
+ROWS_OUT = 100_000
 PIVOTS = 4
 DIRECT = 24
 
@@ -69,27 +76,98 @@ def _set_hash(shingles: np.ndarray) -> int:
     return int(mix(np.array([len(shingles)], np.uint64) + np.add.reduce(mix(shingles), dtype=np.uint64)).view(np.int64)[0])
 
 
+def coordinates(shingles: np.ndarray) -> bytes:
+    """Sizes of the set in PIVOTS_OF_UNIVERSE fixed parts of the universe, which are pivots: |A xor U| = |A| + |U| - 2 |A and U|, so
+    by the triangle inequality |A xor B| is at least the sum of the coordinates' differences."""
+    at = (mix(shingles ^ np.uint64(0x0123456789ABCDEF)) >> np.uint64(57)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=PIVOTS_OF_UNIVERSE), 255).astype(np.uint8).tobytes()
+
+
+_FLAT = "cell long, node long, doc_id long, n_shingles long, coords binary"
+
+
 def _describe(k: int, percent: int):
+    """A row for each document (n_shingles is not null; coords only where its set is new to the task), and one for each cell of
+    each new set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             data, starts, ends = text_column(batch.column("text"))
-            sizes, sets, found = [], [], []
+            sizes, nodes, coords, cell, of = [], [], [], [], []
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                 shingles = shingle_set(word_hashes(data[a:b]), k)
                 sizes.append(len(shingles))
-                if not len(shingles):
-                    sets.append(None)
-                    found.append(None)
-                    continue
-                sets.append(_set_hash(shingles))
-                found.append(None if sets[-1] in seen else cells(shingles, percent).view(np.int64))
-                seen.add(sets[-1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "cells"])
+                nodes.append(_set_hash(shingles) if len(shingles) else None)
+                coords.append(None)
+                if len(shingles) and nodes[-1] not in seen:
+                    seen.add(nodes[-1])
+                    coords[-1] = coordinates(shingles)
+                    own = cells(shingles, percent).view(np.int64)
+                    cell.append(own)
+                    of.append(np.full(len(own), nodes[-1], np.int64))
+            spread = np.random.default_rng(len(sizes)).integers(-(1 << 62), 1 << 62, len(sizes))
+            columns = [pa.array(spread), pa.array(nodes, pa.int64()), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(coords, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["cell", "node", "doc_id", "n_shingles", "coords"])
+            if cell:
+                x, y = np.concatenate(cell), np.concatenate(of)
+                for a in range(0, len(x), ROWS_OUT):
+                    part = x[a : a + ROWS_OUT]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(y[a : a + ROWS_OUT]), *(pa.nulls(len(part), t) for t in (pa.int64(), pa.int64(), pa.binary()))], ["cell", "node", "doc_id", "n_shingles", "coords"])
 
     return run
 
 
+def _near(percent: int):
+    """Links the members of each group of cells whose coordinates let them be partners; a spanning forest of these links."""
+
+    def links(nodes: dict[int, tuple[int, bytes]]) -> list[tuple[int, int]]:
+        if len(nodes) < 2:
+            return []
+        if len(nodes) == 2:
+            (a, (n, x)), (b, (m, y)) = nodes.items()
+            apart = int(np.abs(np.frombuffer(x, np.uint8).astype(np.int16) - np.frombuffer(y, np.uint8)).sum())
+            return [(a, b)] if 100 * min(n, m) >= percent * max(n, m) and apart * (100 + percent) <= (100 - percent) * (n + m) else []
+        names = np.array(sorted(nodes, key=lambda x: nodes[x][0]), np.int64)
+        sizes = np.array([nodes[x][0] for x in names.tolist()], np.int64)
+        at = np.frombuffer(b"".join(nodes[x][1] for x in names.tolist()), np.uint8).reshape(len(names), -1).astype(np.int16)
+        label, out = np.arange(len(names)), []
+        last = np.searchsorted(sizes, 100 * sizes // percent, side="right")
+        for i in range(len(names) - 1):
+            others = np.flatnonzero(label[i + 1 : last[i]] != label[i]) + i + 1
+            if len(others):
+                apart = np.abs(at[others] - at[i]).sum(axis=1)
+                for j in others[apart * (100 + percent) <= (100 - percent) * (sizes[others] + sizes[i])].tolist():
+                    if label[j] != label[i]:
+                        out.append((int(names[i]), int(names[j])))
+                        label[label == label[j]] = label[i]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes = None, {}
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for *key, node, n, coords in zip(*(batch.column(c).to_pylist() for c in ("region", "x", "y", "node", "n_shingles", "coords")), strict=True):
+                if key != now:
+                    found += links(nodes)
+                    now, nodes = key, {}
+                nodes[node] = (n, coords)
+            yield _pairs(found)
+        yield _pairs(links(nodes))
+
+    return run
+
+
+def _deal(members: DataFrame, weight: str, most: int, name: str) -> DataFrame:
+    """members (region, node, ...) with (x, y), the part of the region's work they go to: (0, 0), or, in a region of more than `most`
+    by weight, each pair of blocks that holds the member's own. Blocks are half as heavy, so a pair weighs as much as a region may."""
+    heavy = members.groupBy("region").agg(F.ceil(F.sum(weight) / F.lit(most)).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = join_small(members, staged(heavy, name), ["region"], "left")
+    dealt = dealt.withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), 2 * F.col("blocks")).cast("int")).otherwise(0))
+    dealt = dealt.withColumn("other", F.explode(F.expr("case when blocks > 1 then sequence(0, 2 * blocks - 1) else array(0) end")))
+    return dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("own", "other", "blocks")
+
+
 class _Forest:
     def __init__(self, n: int) -> None:
         self.up = list(range(n))
@@ -215,7 +293,7 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, region_shingles: int = REGION_SHINGLES) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, region_shingles: int = REGION_SHINGLES, cell_members: int = CELL_MEMBERS) -> DataFrame:
     """Returns (doc_id, n_shingles, component_id), a row per row of docs (doc_id long, text string, other columns ignored).
 
     Texts are lower-cased (A-Z only); words are runs without white space. Two documents link when their sets of distinct
@@ -226,21 +304,23 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, region_sh
 
     Sets are known by 64-bit hashes. Texts with equal sets are one node, so copies cost one set however many they are."""
     prepare(docs.sparkSession)
+    parts = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = staged(rows.mapInArrow(_describe(k, percent), "doc_id long, n_shingles long, node long, cells array<long>"), "cells")
-    in_cell = described.where("cells is not null").select("node", F.explode("cells").alias("cell"))
-    first = in_cell.select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy("cell")).alias("b")).where("a != b")
+    cell = Window.partitionBy("cell")
+    flat = rows.mapInArrow(_describe(k, percent), _FLAT)
+    # cells with the same members are one group; a cell's members are known by the sum of their hashes
+    flat = flat.withColumn("least", F.min("node").over(cell)).withColumn("most", F.max("node").over(cell)).withColumn("region", F.sum(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))).over(cell))
+    flat = staged(flat.where("n_shingles is not null or least != most").drop("cell", "least", "most"), "cells")
+    described = flat.where("n_shingles is not null")
+    groups = flat.where("n_shingles is null").select("region", "node").distinct()
+    known = described.where("coords is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("coords").alias("coords"))
+    groups = _deal(staged(groups, "groups").withColumn("one", F.lit(1)), "one", cell_members, "hot_cells").drop("one").join(known, "node")
+    first = groups.repartition(parts, "region", "x", "y").sortWithinPartitions("region", "x", "y").mapInArrow(_near(percent), "a long, b long")
     region = components(first)
     kept = described.select("doc_id", "n_shingles", "node").where("node is not null")
-    member = staged(kept.join(region, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("root").alias("region")), "members")
-    blocks = member.groupBy("region").agg(F.ceil(F.sum("n") / F.lit(region_shingles)).cast("int").alias("blocks"))
-    dealt = join_small(member, staged(blocks.where("blocks > 1"), "blocks"), ["region"], "left")
-    dealt = dealt.select("doc_id", "region", F.explode(F.expr("case when blocks > 1 then sequence(0, 2 * blocks - 1) else array(0) end")).alias("other"), "blocks")
-    # blocks are joined in pairs; with 2 * blocks half-size blocks a pair holds as much as one region may
-    dealt = dealt.withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("doc_id"), 2 * F.col("blocks")).cast("int")).otherwise(0))
-    dealt = staged(dealt.select("doc_id", "region", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")), "dealt")
+    member = kept.join(region, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("root").alias("region"))
+    dealt = staged(_deal(staged(member, "members"), "n", region_shingles, "blocks").select("doc_id", "region", "x", "y"), "dealt")
     texts = join_small(rows, dealt, ["doc_id"], "inner")
-    parts = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     texts = texts.select("region", "x", "y", "text").repartition(parts, "region", "x", "y").sortWithinPartitions("region", "x", "y")
     linked = components(texts.mapInArrow(_join_regions(k, percent), "a long, b long"))
     named = kept.groupBy("node").agg(F.min("doc_id").alias("least")).join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
