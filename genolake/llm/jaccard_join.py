@@ -32,8 +32,6 @@ RING = 1.5
 REGION_SHINGLES = 4_000_000
 #: Documents of a group of cells that one task compares by their coordinates; a larger group is dealt out likewise.
 CELL_MEMBERS = 16_384
-#: Parts of the universe of shingles that serve as pivots.
-PIVOTS_OF_UNIVERSE = 128
 #: Rows of a batch that a task hands out.
 ROWS_OUT = 100_000
 PIVOTS = 4
@@ -77,10 +75,16 @@ def _set_hash(shingles: np.ndarray) -> int:
 
 
 def coordinates(shingles: np.ndarray) -> bytes:
-    """Sizes of the set in PIVOTS_OF_UNIVERSE fixed parts of the universe, which are pivots: |A xor U| = |A| + |U| - 2 |A and U|, so
-    by the triangle inequality |A xor B| is at least the sum of the coordinates' differences."""
-    at = (mix(shingles ^ np.uint64(0x0123456789ABCDEF)) >> np.uint64(57)).astype(np.int64)
-    return np.minimum(np.bincount(at, minlength=PIVOTS_OF_UNIVERSE), 255).astype(np.uint8).tobytes()
+    """Sizes of the set in fixed parts of the universe, which are pivots: |A xor U| = |A| + |U| - 2 |A and U|, so by the triangle
+    inequality |A xor B| is at least the sum of the coordinates' differences. There are so many parts that 2 to 4 shingles lie
+    in each, as the sum tells little where parts are large; parts are nested, so coordinates of larger sets fold onto fewer."""
+    bits = min(max(3, int(np.ceil(np.log2(len(shingles) / 4)))), 16)
+    at = (mix(shingles ^ np.uint64(0x0123456789ABCDEF)) >> np.uint64(64 - bits)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def folded(coords: bytes, parts: int) -> np.ndarray:
+    return np.frombuffer(coords, np.uint8).reshape(parts, -1).sum(axis=1, dtype=np.int32)
 
 
 _FLAT = "cell long, node long, doc_id long, n_shingles long, coords binary"
@@ -126,11 +130,13 @@ def _near(percent: int):
             return []
         if len(nodes) == 2:
             (a, (n, x)), (b, (m, y)) = nodes.items()
-            apart = int(np.abs(np.frombuffer(x, np.uint8).astype(np.int16) - np.frombuffer(y, np.uint8)).sum())
+            parts = min(len(x), len(y))
+            apart = int(np.abs(folded(x, parts) - folded(y, parts)).sum())
             return [(a, b)] if 100 * min(n, m) >= percent * max(n, m) and apart * (100 + percent) <= (100 - percent) * (n + m) else []
         names = np.array(sorted(nodes, key=lambda x: nodes[x][0]), np.int64)
         sizes = np.array([nodes[x][0] for x in names.tolist()], np.int64)
-        at = np.frombuffer(b"".join(nodes[x][1] for x in names.tolist()), np.uint8).reshape(len(names), -1).astype(np.int16)
+        parts = min(len(c) for _, c in nodes.values())
+        at = np.stack([folded(nodes[x][1], parts) for x in names.tolist()])
         label, out = np.arange(len(names)), []
         last = np.searchsorted(sizes, 100 * sizes // percent, side="right")
         for i in range(len(names) - 1):
