@@ -1,8 +1,10 @@
 """Packing of documents into token windows, neighbours by a sharded BM25 inverted index.
 
 A document's whole windows are sequences by themselves. What is left of it (its rest) is packed with the rests of
-lexically near documents: rests are range-sorted by their rarest vocabulary pieces, so that a shard of the index holds
-documents that share them, however many there are, and each shard has an inverted index of its own. A seed retrieves
+lexically near documents. First each rest looks for its nearest one in the whole corpus, by postings of pairs of its
+rarest ids (rare by the corpus's document frequencies). Rests linked to their nearest ones stand together, and such groups
+are range-sorted by the rarest ids of one member, so that a shard of the index holds documents that share them, however
+many there are. Each shard has an inverted index of its own. A seed retrieves
 unused neighbours by BM25 score (document frequencies are those of the whole corpus) and they fill its window greedily;
 the one that doesn't fit is cut and opens the next window. So no window has padding; at the end of a partition the last,
 open window is cut into sequences whose lengths are powers of two."""
@@ -23,12 +25,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, staged, text_column
+from .common import join_small, prepare, staged, text_column
+from .components import components
 
 #: Words a worker remembers, with their ids.
 WORDS = 600_000
-#: Rests in a shard of the index.
-SHARD = 512
+#: Rests in a shard of the index; up to twice as many where rests that belong together would be parted.
+SHARD = 1024
+#: Ids of a rest by which it is compared with rests of other shards, its rarest ones; postings are by the pairs of the first RAREST.
+KNOWN, RAREST = 8, 5
+#: Rests of one posting list that are compared with each other; a longer list is dealt out to parts.
+POSTINGS = 256
+#: Postings that a task compares at once.
+POSTINGS_AT_ONCE = 100_000
 K1, B = 1.2, 0.75
 
 
@@ -119,16 +128,14 @@ def _tokenize(path: str, end: int, window: int):
         words = _loaded[path] = _loaded.get(path) or WordIds(path)
         stop = np.array([end], "<u4").tobytes()
         for batch in batches:
-            n, full, rest, shard = [], [], [], []
+            n, full, rest = [], [], []
             for text in batch.column("text"):
                 ids = words.text(text.as_py() or "") + stop
                 n.append(len(ids) // 4)
                 whole = n[-1] // window * window * 4
                 full.append([ids[i : i + 4 * window] for i in range(0, whole, 4 * window)])
                 rest.append(ids[whole:])
-                top = np.unique(np.frombuffer(ids, "<u4", offset=whole))[-3:].tolist()
-                shard.append(sum(t << (20 * i) for i, t in enumerate(top)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(shard, pa.int64()), pa.array(full, pa.list_(pa.binary())), pa.array(rest, pa.binary())], ["doc_id", "doc_tokens", "shard", "full", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(full, pa.list_(pa.binary())), pa.array(rest, pa.binary())], ["doc_id", "doc_tokens", "full", "rest"])
 
     return run
 
@@ -147,6 +154,103 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], ["id", "df"])
 
 
+def _rarest(rank: np.ndarray):
+    """The KNOWN rarest ids of each rest that is new to the task (rarest first, -1 where there are fewer) and its place among
+    others by its three rarest. rank: of each id by rarity, the rarest greatest; -1 for ids of a single document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            nodes, shard, known = [], [], []
+            for node, rest in zip(batch.column("node").to_pylist(), batch.column("rest"), strict=True):
+                if node not in seen:
+                    seen.add(node)
+                    ids = np.unique(np.frombuffer(rest.as_py(), "<u4"))
+                    order = np.argsort(-rank[ids], kind="stable")[:KNOWN]
+                    ids = ids[order][rank[ids[order]] >= 0]
+                    nodes.append(node)
+                    shard.append(sum(int(t) << (20 * (2 - i)) for i, t in enumerate(rank[ids[:3]])))
+                    known.append(np.concatenate([ids.astype("<i4"), np.full(KNOWN - len(ids), -1, "<i4")]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(shard, pa.int64()), pa.array(known, pa.binary())], ["node", "shard", "known"])
+
+    return run
+
+
+def _known(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(-1, KNOWN).astype(np.int64)
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each pair of a rest's RAREST rarest ids."""
+    for batch in batches:
+        known, at = _known(batch.column("known")), np.arange(len(batch))
+        for i in range(RAREST):
+            for j in range(i + 1, RAREST):
+                use = at[known[:, j] >= 0]
+                a, b = known[use, i], known[use, j]
+                key = pa.array(np.minimum(a, b) << 32 | np.maximum(a, b))
+                yield pa.RecordBatch.from_arrays([key, *(batch.column(c).take(pa.array(use)) for c in ("node", "known"))], ["key", "node", "known"])
+
+
+def _nearest(idf: np.ndarray):
+    """For each posting, the rest of its list that shares most with it: the sum of the inverse document frequencies of shared
+    known ids. Rows are sorted by (key, part)."""
+
+    def best(group: np.ndarray, node: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+        score, near = np.zeros(len(node)), np.zeros(len(node), np.int64)
+        for d in range(1, len(node)):
+            i = np.flatnonzero((group[d:] == group[:-d]).all(axis=1))
+            if not len(i):
+                break
+            i = i[node[i] != node[i + d]]
+            mine = known[i]
+            held = ((mine[:, :, None] == known[i + d][:, None, :]).any(axis=2)) & (mine >= 0)
+            shared = (held * idf[np.maximum(mine, 0)]).sum(axis=1)
+            for a, b in ((i, i + d), (i + d, i)):
+                more = (shared > score[a]) | (shared == score[a]) & (shared > 0) & (node[b] > near[a])
+                score[a[more]], near[a[more]] = shared[more], node[b[more]]
+        use = score > 0
+        return pa.RecordBatch.from_arrays([pa.array(node[use]), pa.array(near[use]), pa.array(score[use])], ["node", "near", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, node, known, parts = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros((0, KNOWN), np.int64), []
+
+        def gathered() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            new = [(np.stack([b.column(c).to_numpy() for c in ("key", "part")], axis=1), b.column("node").to_numpy(), _known(b.column("known"))) for b in parts]
+            return tuple(np.concatenate([old, *x]) for old, *x in zip((group, node, known), *new, strict=True))
+
+        for batch in batches:
+            parts.append(batch)
+            if sum(map(len, parts)) >= POSTINGS_AT_ONCE:
+                group, node, known = gathered()
+                parts = []
+                last = len(group) - int(np.argmin((group[::-1] == group[-1]).all(axis=1))) if (group[0] != group[-1]).any() else 0
+                yield best(group[:last], node[:last], known[:last])
+                group, node, known = group[last:], node[last:], known[last:]
+        yield best(*gathered())
+
+    return run
+
+
+def _places(rests: DataFrame, df: np.ndarray, idf: np.ndarray, parts: int) -> DataFrame:
+    """rests: (node, rest). (node, shard, root, at): a rest's place by its rarest ids, the group it is linked with by nearest ones, and
+    the group's place."""
+    rank = np.full(len(df), -1)
+    shared = np.flatnonzero(df > 1)
+    rank[shared[np.argsort(-df[shared], kind="stable")]] = np.arange(len(shared))
+    known = rests.mapInArrow(_rarest(rank), "node long, shard long, known binary").groupBy("node").agg(F.first("shard").alias("shard"), F.first("known").alias("known"))
+    known = staged(known, "known")
+    postings = staged(known.mapInArrow(_postings, "key long, node long, known binary"), "postings")
+    long = postings.groupBy("key").agg(F.ceil(F.count("*") / F.lit(POSTINGS)).alias("parts")).where("parts > 1")
+    dealt = join_small(postings, staged(long, "long_lists"), ["key"], "left")
+    dealt = dealt.select("key", F.coalesce(F.pmod(F.xxhash64("node", "key"), F.col("parts")), F.lit(0)).cast("long").alias("part"), "node", "known")
+    near = dealt.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_nearest(idf), "node long, near long, score double")
+    near = near.groupBy("node").agg(F.max(F.struct("score", "near")).alias("best"))
+    linked = components(near.select(F.col("node").alias("a"), F.col("best.near").alias("b")))
+    own = known.select("node", "shard").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return staged(own.join(known.select(F.col("node").alias("root"), F.col("shard").alias("at")), "root"), "places")
+
+
 class _Index:
     """The BM25 inverted index of one shard: postings by id, each with its weight."""
 
@@ -228,14 +332,14 @@ def _pack(idf: np.ndarray, window: int, shard: int):
                         left = pieces[seed]
 
         waiting: list[tuple] = []
+        last = None
         for batch in batches:
-            for doc, n, rest in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "rest")), strict=True):
-                ids = np.frombuffer(rest, "<u4")
-                if len(ids):
-                    waiting.append((doc, n - len(ids), ids, n))
-                if len(waiting) == shard:
+            for doc, n, rest, root in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "rest", "root")), strict=True):
+                if len(waiting) >= (shard if root != last else 2 * shard):
                     fill(waiting)
                     waiting = []
+                last, ids = root, np.frombuffer(rest, "<u4")
+                waiting.append((doc, n - len(ids), ids, n))
                 if len(rows) >= 4000:
                     yield _rows(rows)
                     rows.clear()
@@ -270,13 +374,17 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, s
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = staged(rows.mapInArrow(_tokenize(tokenizer, end_id, window), "doc_id long, doc_tokens long, shard long, full array<binary>, rest binary"), "tokens")
+    tokens = staged(rows.mapInArrow(_tokenize(tokenizer, end_id, window), "doc_id long, doc_tokens long, full array<binary>, rest binary"), "tokens")
     df = tokens.select("rest").mapInArrow(_document_frequencies, "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).toPandas()  # a row per vocabulary id at most
     count = tokens.count()
-    idf = np.zeros(int(df["id"].max()) + 1 if len(df) else 1)
-    idf[df["id"].to_numpy(int)] = np.log(1 + (count - df["df"].to_numpy() + 0.5) / (df["df"].to_numpy() + 0.5))
+    held = np.zeros(int(df["id"].max()) + 1 if len(df) else 1, np.int64)
+    held[df["id"].to_numpy(int)] = df["df"].to_numpy()
+    idf = np.where(held > 0, np.log(1 + (count - held + 0.5) / (held + 0.5)), 0.0)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rests = tokens.where("length(rest) > 0").select("doc_id", "doc_tokens", "shard", "rest").repartitionByRange(parts, "shard", "doc_id").sortWithinPartitions("shard", "doc_id", F.xxhash64("rest"))
+    rests = tokens.where("length(rest) > 0").select("doc_id", "doc_tokens", F.xxhash64("rest").alias("node"), "rest")
+    rests = join_small(rests, _places(rests.select("node", "rest"), held, idf, parts), ["node"], "inner")
+    order = ["at", "root", "shard", "node", "doc_id"]
+    rests = rests.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "doc_tokens", "rest", "root")
     packed = rests.mapInArrow(_pack(idf, window, shard), "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
     whole = tokens.select("doc_id", "doc_tokens", F.posexplode("full").alias("i", "ids"))
     whole = whole.select("doc_id", (F.col("i") * F.lit(window).cast("long")).alias("start"), "ids", "doc_tokens", (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -1,7 +1,9 @@
 """Packing, sharding and chat formatting: exact round trips."""
 
 import hashlib
+import json
 import zlib
+from pathlib import Path
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -68,6 +70,21 @@ def test_neighbours_share_windows(spark):
     assert np.mean([len(w) for w in windows.values()]) < 2.6
 
 
+def test_near_copies_meet_across_shards(spark):
+    """One of two near copies has one more id, greater than all others; it stands in other pairs, too."""
+    vocabulary = json.loads(Path(tokenizer_path()).read_text())["model"]["vocab"]
+    words = sorted((w[:-4] for w in vocabulary if w.endswith("</w>") and w[:-4].isascii() and w[:-4].isalpha() and len(w) > 7), key=lambda w: vocabulary[w + "</w>"])
+    rng = np.random.default_rng(3)
+    base = [" ".join(rng.choice(words[:-40:20], 30)) for _ in range(200)]
+    texts = [*enumerate(base), *((1000 + i, f"{t} {words[-1 - i % 40]}") for i, t in enumerate(base))]
+    rows = pack(docs(spark, texts), tokenizer_path(), window=64, shard=8).collect()
+    check(rows, texts, 64)
+    held = {}
+    for r in rows:
+        held.setdefault(r.doc_id, set()).add(r.sequence_id)
+    assert np.mean([bool(held[i] & held[1000 + i]) for i in range(len(base))]) > 0.9
+
+
 def test_longest_first():
     sizes = [(i, s) for i, s in enumerate([9, 7, 7, 5, 5, 4, 3, 1])]
     placed = longest_first(sizes, 3)
