@@ -205,10 +205,23 @@ def equivalence_sweep(spark, d) -> DataFrame:
 
 @query()
 def md_mismatch_matrix(spark, d) -> DataFrame:
-    """Mismatches by MD tag of reads of the documents' bases, one base in ten changed."""
-    c = contigs(spark, d).where("length(seq) >= 100")
-    r = c.select(F.substr("seq", F.lit(1), F.lit(100)).alias("seq"), F.concat(F.lit("20S"), F.lit("30M5I45M")).alias("cigar"), F.lit("30A44").alias("md"))
-    return generate.md_bases(r)
+    """Mismatches by MD tag of reads that tile the documents' bases."""
+    return generate.md_bases(md_reads(contigs(spark, d)))
+
+
+def md_reads(c: DataFrame) -> DataFrame:
+    """(seq, cigar, md): consecutive reads of 100 bases, the last of a contig shorter. A read's key sets its soft clip and insertion, where
+    it is long enough for them, and the one aligned base whose reference differs; the reference is the next base by alphabet there."""
+    at = lambda stream, n: F.floor(uniform(11, stream, F.concat_ws(":", "contig", F.col("tile_start").cast("string"))) * n).cast("int")
+    r = fit.sequence_tiles(c, 1, 100).where("seq != ''").withColumn("n", F.length("seq"))
+    r = r.withColumn("clip", F.least(at("md_clip", 21), F.col("n") - 1))
+    r = r.withColumn("ins", F.greatest(F.least(at("md_insert", 6), F.col("n") - F.col("clip") - 2), F.lit(0))).withColumn("aligned", F.col("n") - F.col("clip") - F.col("ins"))
+    r = r.withColumn("left", F.when(F.col("ins") > 0, 1 + at("md_left", F.col("aligned") - 1)).otherwise(F.col("aligned"))).withColumn("x", at("md_mismatch", F.col("aligned")))
+    base = F.substr("seq", F.col("clip") + F.col("x") + 1 + F.when(F.col("x") >= F.col("left"), F.col("ins")).otherwise(0), F.lit(1))
+    part = lambda n, op: F.when(n > 0, F.concat(n.cast("string"), F.lit(op))).otherwise("")
+    cigar = F.concat(part(F.col("clip"), "S"), part(F.col("left"), "M"), part(F.col("ins"), "I"), part(F.col("aligned") - F.col("left"), "M"))
+    md = F.concat(F.col("x").cast("string"), F.translate(base, "ACGTN", "CGTAA"), (F.col("aligned") - F.col("x") - 1).cast("string"))
+    return r.select("contig", "tile_start", "seq", cigar.alias("cigar"), md.alias("md"))
 
 
 FASTQ = """~ l as (select doc_id % 7 as file, doc_id, text from documents),

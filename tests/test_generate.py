@@ -1,8 +1,12 @@
 """Generators: known answers, and results that don't depend on how rows are dealt."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from genolake.operators import fit, generate, intervals
+from genolake.plans import generate as plans
+from genolake.plans import inputs
 
 
 def test_haplotype_sequence(spark):
@@ -50,6 +54,23 @@ def test_md_walk(spark):
     assert got == {("A", "A"): 2, ("A", "C"): 1, ("G", "G"): 1, ("T", "T"): 2, ("C", "C"): 1, ("STALE", ""): 1}
 
 
+def test_md_matrix_reads_whole_contigs(spark, tmp_path):
+    texts = ["acgtz" * 83 + "ca", "ttg", "a", "", None, "gattaca" * 60]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = inputs.contigs(spark, str(tmp_path))
+    r = plans.md_reads(c).collect()
+    joined = {}
+    for x in sorted(r, key=lambda x: x.tile_start):
+        joined[x.contig] = joined.get(x.contig, "") + x.seq
+    assert joined == {x.contig: x.seq for x in c.collect() if x.seq}
+    assert len({(x.cigar, x.md) for x in r}) > 5
+    aligned = sum(int(n) for x in r for n in re.findall(r"(\d+)M", x.cigar))
+    assert all(sum(map(int, re.findall(r"(\d+)[MIS]", x.cigar))) == len(x.seq) for x in r)
+    got = plans.md_mismatch_matrix(spark, str(tmp_path)).collect()
+    assert sum(x.n for x in got) == aligned and not any(x.ref == "STALE" for x in got)
+    assert sum(x.n for x in got if x.ref != x.read) == len(r)
+
+
 def test_smoothing_fills_gaps(spark):
     h = spark.createDataFrame([(100 + 7 * i, 1 + i % 3) for i in range(20)], "len long, n long")
     got = fit.smoothed(h, "len").collect()
