@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, prepare, staged, text_column
+from .common import fresh, join_small, prepare, staged, text_column
 from .components import components
 from .hashing import mix, shingle_set, word_hashes
 
@@ -87,7 +88,7 @@ def folded(coords: bytes, parts: int) -> np.ndarray:
     return np.frombuffer(coords, np.uint8).reshape(parts, -1).sum(axis=1, dtype=np.int32)
 
 
-_FLAT = "cell long, node long, doc_id long, n_shingles long, coords binary"
+_FLAT = "cell long, node long, doc_id long, text_hash long, n_shingles long, coords binary"
 
 
 def _describe(k: int, percent: int):
@@ -96,6 +97,7 @@ def _describe(k: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        task, done = mix(np.array([TaskContext.get().partitionId() + 1], np.uint64)), 0
         for batch in batches:
             data, starts, ends = text_column(batch.column("text"))
             sizes, nodes, coords, cell, of = [], [], [], [], []
@@ -110,14 +112,15 @@ def _describe(k: int, percent: int):
                     own = cells(shingles, percent).view(np.int64)
                     cell.append(own)
                     of.append(np.full(len(own), nodes[-1], np.int64))
-            spread = np.random.default_rng(len(sizes)).integers(-(1 << 62), 1 << 62, len(sizes))
-            columns = [pa.array(spread), pa.array(nodes, pa.int64()), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(coords, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["cell", "node", "doc_id", "n_shingles", "coords"])
+            spread = mix(task + np.arange(done, done + len(sizes), dtype=np.uint64)).view(np.int64)  # a key for each row of the input
+            done += len(sizes)
+            columns = [pa.array(spread), pa.array(nodes, pa.int64()), batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(coords, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["cell", "node", "doc_id", "text_hash", "n_shingles", "coords"])
             if cell:
                 x, y = np.concatenate(cell), np.concatenate(of)
                 for a in range(0, len(x), ROWS_OUT):
                     part = x[a : a + ROWS_OUT]
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(y[a : a + ROWS_OUT]), *(pa.nulls(len(part), t) for t in (pa.int64(), pa.int64(), pa.binary()))], ["cell", "node", "doc_id", "n_shingles", "coords"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(y[a : a + ROWS_OUT]), *(pa.nulls(len(part), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["cell", "node", "doc_id", "text_hash", "n_shingles", "coords"])
 
     return run
 
@@ -309,9 +312,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, region_sh
     doc_id take part, and a component of these alone has a null id. An empty table gives no rows.
 
     Sets are known by 64-bit hashes. Texts with equal sets are one node, so copies cost one set however many they are."""
+    return _components(docs, k, percent, region_shingles, cell_members).select("doc_id", "n_shingles", "component_id")
+
+
+def _row() -> Column:
+    """What tells rows with different texts apart, whether or not they have a doc_id; rows with one come first."""
+    return F.struct(F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("text_hash"))
+
+
+def _components(docs: DataFrame, k: int, percent: int, region_shingles: int = REGION_SHINGLES, cell_members: int = CELL_MEMBERS) -> DataFrame:
+    """As jaccard_components, with text_hash of each row and kept_hash, the text_hash of its component's least (doc_id, text_hash)."""
     prepare(docs.sparkSession)
     parts = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     cell = Window.partitionBy("cell")
     flat = rows.mapInArrow(_describe(k, percent), _FLAT)
     # cells with the same members are one group; a cell's members are known by the sum of their hashes
@@ -323,27 +336,31 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, region_sh
     groups = _deal(staged(groups, "groups").withColumn("one", F.lit(1)), "one", cell_members, "hot_cells").drop("one").join(known, "node")
     first = groups.repartition(parts, "region", "x", "y").sortWithinPartitions("region", "x", "y").mapInArrow(_near(percent), "a long, b long")
     region = components(first)
-    kept = described.select("doc_id", "n_shingles", "node").where("node is not null")
-    member = kept.join(region, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("root").alias("region"))
-    dealt = staged(_deal(staged(member, "members"), "n", region_shingles, "blocks").select("doc_id", "region", "x", "y"), "dealt")
-    texts = join_small(rows, dealt, ["doc_id"], "inner")
+    kept = described.select("doc_id", "text_hash", "n_shingles", "node").where("node is not null")
+    member = kept.join(region, "node").groupBy("node").agg(F.min(_row()).alias("row"), F.first("n_shingles").alias("n"), F.first("root").alias("region"))
+    dealt = staged(_deal(staged(member, "members"), "n", region_shingles, "blocks").select("row.*", "region", "x", "y"), "dealt")
+    texts = join_small(rows.select(_row().alias("row"), "text").select("row.*", "text"), dealt, ["nameless", "id", "text_hash"], "inner")
     texts = texts.select("region", "x", "y", "text").repartition(parts, "region", "x", "y").sortWithinPartitions("region", "x", "y")
     linked = components(texts.mapInArrow(_join_regions(k, percent), "a long, b long"))
-    named = kept.groupBy("node").agg(F.min("doc_id").alias("least")).join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("node", "component_id")
-    return described.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = kept.groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("least")).join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("least").alias("least"))
+    named = named.drop("least").join(least, "root").select("node", "least")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    return described.select("doc_id", "text_hash", "n_shingles", "node").join(named, "node", "left").select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("least.text_hash").alias("kept_hash"))
 
 
 def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each component: the least doc_id's; its columns are those of docs. Rows that repeat that doc_id
-    go too. Rows without shingles or without doc_id stay."""
-    found = staged(jaccard_components(docs, k, percent), "components")
-    gone = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id", "component_id").agg(F.count("*").alias("n"))
-    repeated = gone.where("n > 1 and doc_id = component_id").select("doc_id").limit(1).count() > 0
-    gone = staged(gone.where("doc_id != component_id").select("doc_id").distinct(), "gone")
-    out = join_small(docs, gone, ["doc_id"], "left_anti")
+    """docs with one row of each component: the least doc_id's, and of rows that repeat it, one; its columns are those of docs. A row
+    goes by its own text: another one under its doc_id, in another component, stays. Rows without shingles or without doc_id stay."""
+    text_hash = fresh(docs, "text_hash")
+    found = staged(_components(docs, k, percent), "components").withColumnRenamed("text_hash", text_hash)
+    found = found.where("n_shingles > 0 and doc_id is not null")
+    rows = found.groupBy("doc_id", text_hash, "component_id", "kept_hash").agg(F.count("*").alias("n"))
+    least = (F.col("doc_id") == F.col("component_id")) & (F.col(text_hash) == F.col("kept_hash"))
+    repeated = rows.where((F.col("n") > 1) & least).select("n").limit(1).count() > 0
+    gone = staged(rows.where(~least).select("doc_id", text_hash), "gone")
+    out = join_small(docs.withColumn(text_hash, F.xxhash64(F.col("text").cast("string"))), gone, ["doc_id", text_hash], "left_anti")
     if repeated:
         blank = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")) == 0
-        out = out.where(F.col("doc_id").isNull() | blank).unionByName(out.where(F.col("doc_id").isNotNull() & ~blank).dropDuplicates(["doc_id"]))
-    return out
+        out = out.where(F.col("doc_id").isNull() | blank).unionByName(out.where(F.col("doc_id").isNotNull() & ~blank).dropDuplicates(["doc_id", text_hash]))
+    return out.select(docs.columns)

@@ -91,6 +91,14 @@ def test_near_copies_leave_one_of_each(spark):
     assert without_near_copies(df.limit(0)).count() == 0
 
 
+def test_near_copies_of_nameless_and_repeated_rows(spark):
+    a, b, c = prose(60, 5), prose(60, 6), prose(60, 7)
+    got = jaccard_components(docs(spark, [(None, a), (2, near(a, 1, 1)), (None, b), (None, near(b, 1, 2)), (9, c)])).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (-1, -1), (-1, 2), (2, 2), (9, 9)]
+    df = docs(spark, [(3, near(a, 1, 1)), (5, a), (5, b), (6, near(b, 1, 2)), (5, c)])
+    assert sorted((r.doc_id, r.text) for r in without_near_copies(df).collect()) == sorted([(3, near(a, 1, 1)), (5, b), (5, c)])
+
+
 def repeats_by_force(texts, n):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(b[i : i + n] for b in raw for i in range(len(b) - n + 1))
