@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed import key_hash, pick, uniform
 from ..functions.sequence import reverse_complement
-from ..functions.workers import importable
+from ..staging import ship
 
 
 def _in_cdf(draws: DataFrame, segments: DataFrame, mass: Column) -> DataFrame:
@@ -201,7 +201,7 @@ def promote_equivalent(candidates: DataFrame) -> DataFrame:
             found = [(c, *row) for c, ref, at, v in zip(pdf["contig"], pdf["window"], pdf["window_start"], pdf["variants"], strict=True) for row in settle(ref, int(at), v)]
             yield pd.DataFrame(found, columns=["contig", "kind", "pos0", "ref", "alt"])
 
-    importable(candidates.sparkSession)
+    ship(candidates.sparkSession)
     grouped = candidates.groupBy("contig", "cluster").agg(F.first("window").alias("window"), F.first("window_start").alias("window_start"), F.collect_list(F.struct("kind", "pos0", "ref", "alt")).alias("variants"))
     return grouped.drop("cluster").mapInPandas(run, "contig string, kind string, pos0 long, ref string, alt string")
 
