@@ -1,55 +1,25 @@
-"""What several training-data operators share: staged tables, size-checked joins, Arrow text batches."""
+"""What several training-data operators share: staged tables, size-checked joins, Arrow text batches.
+
+Spark hands Python workers batches of 64 MB at most (spark.sql.execution.arrow.maxBytesPerBatch), unless one text is longer."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch: 500 texts of a few KB stay far below a worker's memory, long ones included.
-ARROW_ROWS = 500
-#: A table is broadcast only if it has been counted and has at most so many rows.
-BROADCAST_ROWS = 400_000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from ..staging import discard, join_hot, join_small, ship, size_of, staged
 
-def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches, and workers that can import this package where nobody has installed it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+prepare = ship
 
+__all__ = ["crc_of_id", "discard", "each_text", "fresh", "join_hot", "join_small", "ship", "size_of", "staged", "table", "text_column"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a fresh one where it names none, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if "GENOLAKE_SHARED_DIR" not in os.environ:
-        os.environ["GENOLAKE_SHARED_DIR"] = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-    return os.environ["GENOLAKE_SHARED_DIR"]
 
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcasts small if it has at most so many rows, and shuffles both sides otherwise. small: a staged or otherwise cheap table."""
-    return df.join(F.broadcast(small) if small.limit(rows + 1).count() <= rows else small, on, how)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -58,14 +58,14 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = SHINGLE, percent
     shingled = staged(item_shingles(items, k), "items")
     lengths = sorted(r.k for r in shingled.select("k").distinct().collect()) or [k]  # k values at most
     sketch = sketches(shingled, percent).select("k", "item", F.explode("sketch").alias("shingle"))
-    probe = staged(sketch.groupBy("k", "shingle").agg(F.collect_set("item").alias("items")), "probes")
+    probe = staged(sketch.distinct(), "probes")
 
     def held(rows: DataFrame) -> DataFrame:
         rows = rows.select("doc_id", words_of(F.col("text")).alias("words"))
         of = [F.transform(shingles_of(F.col("words"), n), _with_length(n)) for n in lengths]
         return rows.select("doc_id", F.explode(of[0] if len(of) == 1 else F.concat(*of)).alias("s")).select("doc_id", "s.k", "s.shingle")
 
-    pairs = join_small(held(docs), probe, ["k", "shingle"], "inner").select("doc_id", F.explode("items").alias("item")).distinct()
+    pairs = join_small(held(docs), probe, ["k", "shingle"], "inner").select("doc_id", "item").distinct()
     pairs = staged(pairs, "candidates")
     suspects = staged(pairs.where("doc_id is not null").select("doc_id").distinct(), "suspects")
     again = join_small(docs.select("doc_id", "text"), suspects, ["doc_id"], "left_semi").union(docs.select("doc_id", "text").where("doc_id is null"))

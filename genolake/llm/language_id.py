@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, prepare, text_column
+from .common import crc_of_id, ship, text_column
 from .embedding import BUCKETS, Model, gather, letter_ngrams, sample, scorer, train
 
 #: Rows that the model is trained on, at most (about).
@@ -43,7 +43,7 @@ def identify(docs: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     lang_pred: a learned value, or `und` with score 0 if the text is null or has no letter, or nothing could be learned.
     score: the calibrated probability of lang_pred. rejected: the score is under the floor that 99 % of right predictions
     on rows kept from training pass. A null doc_id counts as held out; an empty table gives no rows."""
-    prepare(docs.sparkSession)
+    ship(docs.sparkSession)
     held_out = F.coalesce(crc_of_id(F.col("doc_id")) % 4 == 2, F.lit(True))
     model = fit(docs, ~held_out, most)
     rows = docs.select("doc_id", held_out.alias("held_out"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))

@@ -34,7 +34,7 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     key, no_host, names, removed = (fresh(pages, c) for c in ("key", "no_host", "gone", "n_removed"))
     gone = staged(gone.select(F.coalesce("host", F.lit("")).alias(key), F.col("host").isNull().alias(no_host), F.col("gone").alias(names)), "boilerplate")
     rows = pages.withColumn(key, F.coalesce(F.col(host).cast("string"), F.lit(""))).withColumn(no_host, F.col(host).isNull())
-    rows = join_small(rows, gone, [key, no_host], "left", rows=20_000)
+    rows = join_small(rows, gone, [key, no_host], "left")
     lines = F.split(F.col(text).cast("string"), "\n")
     kept = F.filter(lines, lambda x: ~(F.array_contains(names, F.xxhash64(x)) & x.rlike(r"[^\x20\x09-\x0D]")))
     cut = F.when(F.col(names).isNull() | F.col(text).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))

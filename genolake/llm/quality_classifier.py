@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, prepare, text_column
+from .common import crc_of_id, ship, text_column
 from .embedding import WORDS_AND_NGRAMS, Model, gather, sample, scorer, train, words_and_ngrams
 
 #: Rows that the model is trained on, at most (about).
@@ -44,7 +44,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS,
     score: the probability that quality is 1, from the whole text and nothing else; a null text is empty and scored like
     any text (by the bias alone). predicted: 1 if score >= good, else 0. Labels repeated for a doc_id count once, the least
     of them. Without a usable label of 1 every score is 0. A null doc_id counts as held out; an empty table gives no rows."""
-    prepare(docs.sparkSession)
+    ship(docs.sparkSession)
     model = fit(docs, labels, most)
     held_out = F.coalesce(crc_of_id(F.col("doc_id")) % 5 == 0, F.lit(True))
     rows = docs.select("doc_id", held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
