@@ -1,69 +1,94 @@
 """Sharding by longest-processing-time scheduling: groups that must stay together go, largest first, to the least-loaded
 shard, taken from a heap.
 
-The schedule is made of a bounded number of items, however many groups there are. A group of a fair share of all bytes is
-an item; there are at most `LARGE` of these. The others are bundled by a hash of their key into bundles of three sizes
-(most of the bytes in coarse bundles, a tenth in finer, a hundredth in the finest), and a bundle is an item. The finest come
-last and level what the others leave. Only the items' sizes reach the driver."""
+Groups of one size are interchangeable, so the schedule is made of (size, number of groups): for each size, from the
+largest down, it says how many groups each shard gets, which is what the heap would give group by group. Only this
+histogram reaches the driver. Its rows are bounded by the bytes: k different sizes add up to k * k / 2 bytes or more, so
+100 TB have at most 14 million sizes, whatever the number of groups. Each group then finds its shard by its place
+among those of its size."""
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, staged
+from .common import discard, join_hot, join_small, ship, staged
 
-#: A group is scheduled by itself if it has more than 1 / LARGE of all bytes.
-LARGE = 4096
-#: Bundles of each of the three kinds.
-BUNDLES = 2048
 #: Rows that one task numbers.
 NUMBERED = 250_000
 
 
-def longest_first(sizes: list[tuple[int, int]], shards: int) -> dict[int, int]:
-    """(item, size) -> the shard of each item. Ties go by item, and to the lower shard."""
+def longest_first(sizes: Iterable[tuple[int, int]], shards: int) -> list[list[int]]:
+    """(size, groups) by falling size -> for each size, how many of its groups each shard gets. The least-loaded shard takes the next
+    group; of equal loads the lower shard. Once loads differ by less than a size, each shard takes one group a round."""
     heap = [(0, s) for s in range(shards)]
-    out = {}
-    for item, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        load, shard = heap[0]
-        out[item] = shard
-        heapq.heapreplace(heap, (load + size, shard))
+    out = []
+    for size, groups in sizes:
+        taken = [0] * shards
+        while groups:
+            load, shard = heap[0]
+            most = max(heap)[0] if groups > shards else 0
+            if groups > shards and most - load < size:
+                rounds = groups // shards
+                for s in range(shards):
+                    taken[s] += rounds
+                heap = [(x + rounds * size, s) for x, s in heap]  # all grow alike, so it stays a heap
+                groups -= rounds * shards
+            else:
+                heapq.heapreplace(heap, (load + size, shard))
+                taken[shard] += 1
+                groups -= 1
+        out.append(taken)
     return out
 
 
-def assign_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 24, numbered: int = NUMBERED) -> DataFrame:
     """Returns (doc_id, size, text_crc32, shard, slot), a row per row of docs (doc_id, text; other columns are ignored).
 
     size: UTF-8 bytes of the text (a null text has none) plus 8. Shards have nearly equal bytes. Rows with equal texts are
     in one shard, however many they are; a null text counts as empty. slot: the row's place in its shard, gapless from 0.
     Rows that repeat a doc_id, or have none, are rows like any others; an empty table gives no rows."""
     spark = docs.sparkSession
-    prepare(spark)
+    ship(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("group"))
-    groups = staged(rows.groupBy("group").agg(F.sum("size").alias("size")), "groups")
-    total = groups.agg(F.sum("size")).first()[0] or 0
-    large = groups.where(F.col("size") * LARGE > F.lit(total)).select("group", "size")
-    large = staged(large.withColumn("item", F.row_number().over(Window.orderBy("group")) + 3 * BUNDLES), "large")
-    number = F.conv(F.substring("group", 1, 12), 16, 10).cast("long")
-    kind = F.when(number % 100 == 0, 2).when(number % 100 < 11, 1).otherwise(0)
-    bundle = (kind * BUNDLES + F.floor(number / 100) % BUNDLES).cast("int")
-    bundles = groups.join(F.broadcast(large.select("group")), "group", "left_anti").groupBy(bundle.alias("item")).agg(F.sum("size").alias("size"))
-    sizes = [(r.item, r.size) for r in large.select("item", "size").union(bundles).toLocalIterator()]  # LARGE + 3 * BUNDLES at most
-    placed = spark.createDataFrame(sorted(longest_first(sizes, shards).items()), "item int, shard int")
-    own = rows.join(F.broadcast(large.select("group", F.col("item").alias("own"))), "group", "left").withColumn("item", F.coalesce("own", bundle))
-    own = staged(own.join(F.broadcast(placed), "item").select("doc_id", "size", "text_crc32", "shard"), "placed")
-    return _slots(own, max(1, math.ceil(own.count() / NUMBERED)))
+    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("group"))
+    rows = staged(rows, "rows")
+    groups = staged(rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("copies")), "groups")
+    sizes = [(r["bytes"], r["n"]) for r in groups.groupBy("bytes").agg(F.count("*").alias("n")).orderBy(F.desc("bytes")).toLocalIterator()]
+    if not sizes:
+        return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+    schedule = _schedule(sizes, longest_first(sizes, shards))
+    schedule = staged(spark.createDataFrame(schedule, "bytes long, ends array<long>"), "schedule")
+    placed = _numbered(groups, "bytes", ["group"], "place", sum(n for _, n in sizes), numbered)
+    # the first shards of a size have taken `ends` of its groups
+    placed = join_small(placed, schedule, ["bytes"], "inner").select("group", "copies", F.size(F.filter("ends", lambda e: e <= F.col("place"))).alias("shard"))
+    placed = staged(placed, "placed")
+    own = staged(join_hot(rows, placed, "group", "copies").select("doc_id", "size", "text_crc32", "shard"), "sharded")
+    discard(rows, groups, schedule, placed)
+    return _numbered(own, "shard", ["doc_id", "text_crc32"], "slot", own.count(), numbered).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
-def _slots(rows: DataFrame, parts: int) -> DataFrame:
-    """Numbers the rows of each shard: by parts of a shard, each of which starts where the parts before it end."""
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int"))
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("shard", "part").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    slot = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32")) - 1
-    return rows.withColumn("slot", slot).join(starts, ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("first")).cast("long").alias("slot"))
+def _schedule(sizes: list[tuple[int, int]], taken: list[list[int]]) -> pa.Table:
+    """(bytes, ends): ends[k] of a size's groups are in shards 0 to k."""
+    ends = []
+    for row in taken:
+        total = 0
+        ends.append([total := total + n for n in row])
+    return pa.table({"bytes": pa.array([b for b, _ in sizes], pa.int64()), "ends": pa.array(ends, pa.list_(pa.int64()))})
+
+
+def _numbered(rows: DataFrame, by: str, order: list[str], name: str, n: int, numbered: int) -> DataFrame:
+    """rows (staged) with their place among those of the same `by`, gapless from 0, ordered within parts of about `numbered` rows. A part
+    starts where those before it end. Rows are dealt to parts one by one, so equal ones are spread."""
+    parts = max(1, math.ceil(n / numbered))
+    dealt = staged(rows.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")), "dealt") if parts > 1 else rows.withColumn("part", F.lit(0))
+    before = Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(by, "part").agg(F.count("*").alias("n_part")).withColumn("first", F.coalesce(F.sum("n_part").over(before), F.lit(0))).drop("n_part")
+    place = F.row_number().over(Window.partitionBy(by, "part").orderBy(*order)) - 1
+    out = dealt.withColumn(name, place).join(starts, [by, "part"])
+    return out.withColumn(name, (F.col(name) + F.col("first")).cast("long")).drop("part", "first")

@@ -1,8 +1,10 @@
 """Packing, sharding and chat formatting: exact round trips."""
 
 import hashlib
+import heapq
 import json
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -85,11 +87,32 @@ def test_near_copies_meet_across_shards(spark):
     assert np.mean([bool(held[i] & held[1000 + i]) for i in range(len(base))]) > 0.9
 
 
-def test_longest_first():
-    sizes = [(i, s) for i, s in enumerate([9, 7, 7, 5, 5, 4, 3, 1])]
-    placed = longest_first(sizes, 3)
-    loads = [sum(s for i, s in sizes if placed[i] == k) for k in range(3)]
-    assert sum(loads) == 41 and max(loads) - min(loads) <= 2 and longest_first([], 3) == {}
+def test_longest_first_is_the_heap_over_all_groups():
+    rng = np.random.default_rng(4)
+    for shards, sizes in [(3, [9, 7, 7, 5, 5, 4, 3, 1]), (24, rng.integers(8, 400, 60_000).tolist() + [90_000, 4_000, 4_000, 333]), (5, [100] + [1] * 1000), (7, rng.geometric(0.01, 900).tolist())]:
+        sizes = sorted(sizes, reverse=True)
+        loads, want = [(0, s) for s in range(shards)], {}
+        for size in sizes:
+            load, s = heapq.heappop(loads)
+            heapq.heappush(loads, (load + size, s))
+            want.setdefault(size, [0] * shards)[s] += 1
+        counts = sorted(Counter(sizes).items(), reverse=True)
+        got = dict(zip((x for x, _ in counts), longest_first(counts, shards), strict=True))
+        assert got == want
+    assert longest_first([], 3) == []
+
+
+def test_many_groups_in_parts(spark):
+    """More groups than a task numbers; each stays whole, and the loads are those of the heap."""
+    texts = [prose(1 + i % 9, i) for i in range(3000)] + ["same"] * 400
+    rows = assign_shards(docs(spark, texts), 5, numbered=200).collect()
+    group, loads = {}, [0] * 5
+    for r in rows:
+        group.setdefault(texts[r.doc_id], set()).add(r.shard)
+        loads[r.shard] += r.size
+    assert len(rows) == len(texts) and all(len(s) == 1 for s in group.values()) and max(loads) - min(loads) <= 60
+    for k in range(5):
+        assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
 
 
 def test_shards(spark):
