@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from ..staging import discard, join_hot, join_small, ship, size_of, staged
 
-prepare = ship
-
 __all__ = ["crc_of_id", "discard", "each_text", "fresh", "join_hot", "join_small", "ship", "size_of", "staged", "table", "text_column"]
 
 

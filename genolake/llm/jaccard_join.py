@@ -8,8 +8,10 @@ partners agree on a slice wholly (slack + 1 slices, in fact): cells of radius ze
 distances to fixed parts of the universe, the pivots, differ by no more than partners' may (the triangle inequality) are
 candidates, and connected candidates form a region.
 
-Inside a region, documents are pivots under the Jaccard distance: Voronoi cells, windows of twice the threshold by the
-triangle inequality, recursion, then exact intersection sizes.
+Inside a region, documents are pivots under the Jaccard distance, each far from those before it. What a pivot's ball holds is linked
+with it, and what lies in the shell around a ball is compared with the part of the ball that the triangle inequality leaves.
+The other documents go to the Voronoi regions of the pivots, those near a border to both sides (windows of twice the
+threshold), and each region is joined likewise. All links come from exact intersection sizes.
 
 Whole-corpus document pivots were tried first and give no regions: unrelated texts are at distances of 0.95 to 1 from
 every pivot, so that each window holds every document."""
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, join_small, prepare, staged, text_column
+from .common import discard, fresh, join_hot, join_small, ship, staged, text_column
 from .components import components
 from .hashing import mix, shingle_set, word_hashes
 
@@ -35,8 +37,12 @@ REGION_SHINGLES = 4_000_000
 CELL_MEMBERS = 16_384
 #: Rows of a batch that a task hands out.
 ROWS_OUT = 100_000
+#: Pivots of a region at most.
 PIVOTS = 4
-DIRECT = 24
+#: One in so many texts (by hash) tells which cells are hot: those with HOT_SEEN sets or more among these texts.
+HOT_ONE_IN, HOT_SEEN = 64, 32
+#: Parts of a hot cell.
+HOT_PARTS = 64
 
 
 def rings_of(n: int, percent: int) -> Iterator[tuple[int, int, int]]:
@@ -202,6 +208,7 @@ class _Region:
         self.percent, self.radius = percent, 1 - percent / 100
         self.mark = np.zeros(len(self.df), bool)
         self.forest = _Forest(len(sets))
+        self.regions = self.depth = 0
 
     def of(self, i: int) -> np.ndarray:
         return self.tokens[self.offsets[i] : self.offsets[i + 1]]
@@ -231,41 +238,56 @@ class _Region:
         order = np.argsort(roots, kind="stable")
         return [g for g in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1) if len(g) > 1]
 
+    def link(self, x: int, others: np.ndarray) -> None:
+        for y in others.tolist():
+            self.forest.join(x, y)
+
     def voronoi(self, members: np.ndarray) -> None:
-        """Regions around far pivots; a document goes to each region whose pivot is at most 2 radii farther than its own.
-        For a linked pair x, y with pivots p, q: d(y,p) <= d(x,p) + r <= d(x,q) + r <= d(y,q) + 2r, so x's region holds both."""
-        todo = [members]
+        """Links the members, region by region."""
+        todo = [(members, 1)]
         while todo:
-            members = todo.pop()
-            if len(members) <= DIRECT:
-                self.ball(members)
+            members, depth = todo.pop()
+            if len(members) < 2:
                 continue
-            to, pivot = [], int(members[0])
-            for _ in range(PIVOTS):
-                to.append(self.distances(pivot, members)[0])
-                pivot = int(members[np.argmax(np.min(to, axis=0))])
-            to = np.array(to)
-            parts = [members[x <= to.min(axis=0) + 2 * self.radius + 1e-9] for x in to]
-            if max(map(len, parts)) > 0.7 * len(members):
-                self.ball(members)  # all are near each other, or all far: cells can't separate them
-            else:
-                todo += [p for p in parts if len(p) > 1]
-
-    def ball(self, members: np.ndarray) -> None:
-        """A pivot at a time: its ball is linked; those outside it go on without the ball; those in the shell around it
-        are compared with the part of the ball that the triangle inequality leaves, until a link is found."""
-        while len(members) > 1:
-            pivot, rest = int(members[0]), members[1:]
-            far, linked = self.distances(pivot, rest)
-            for x in rest[linked].tolist():
-                self.forest.join(pivot, x)
-            inside, ball = rest[linked], far[linked]
-            for y, d in zip(rest[~linked].tolist(), far[~linked].tolist(), strict=True):
-                if d <= 2 * self.radius + 1e-9 and self.forest.find(y) != self.forest.find(pivot):
-                    near = inside[ball >= d - self.radius - 1e-9]
-                    if len(near) and (hit := near[self.distances(y, near)[1]]).size:
-                        self.forest.join(y, int(hit[0]))
-            members = rest[~linked]
+            self.regions, self.depth = self.regions + 1, max(self.depth, depth)
+            to, balls, pivot = [], [], int(members[0])
+            while True:
+                far, linked = self.distances(pivot, members)
+                to.append(far)
+                balls.append(linked)
+                self.link(pivot, members[linked])
+                outside = ~np.any(balls, axis=0)
+                if len(to) == PIVOTS or not outside.any():
+                    break
+                pivot = int(members[np.argmax(np.where(outside, np.min(to, axis=0), -1.0))])
+            for far, ball in zip(to, balls, strict=True):
+                self.shell(members, far, ball)
+            rest = members[outside]
+            parts = self.parts(np.array(to)[:, outside]) if len(rest) > 1 else []
+            if sum(map(np.count_nonzero, parts)) > len(members) and (max(map(np.count_nonzero, parts)) > 0.7 * len(rest) or sum(map(np.count_nonzero, parts)) > 2 * len(rest)):
+                parts = [np.ones(len(rest), bool)]  # the windows hold nearly all: no border to part them at
+            todo += [(rest[p], depth + 1) for p in parts]
+
+    def parts(self, to: np.ndarray) -> list[np.ndarray]:
+        """The Voronoi regions of the pivots, out to a distance t, and the region beyond, each with its window. to: pivot x member.
+
+        Of a linked pair x, y let p be x's nearest pivot. If both are farther than t from all pivots, the region beyond holds
+        both. Else let x be within t. Then d(y,p) <= d(x,p) + r <= t + r, and for each pivot q d(y,p) <= d(x,q) + r <=
+        d(y,q) + 2r: so p's region with a window of r at its rim and of 2r at its borders holds both. t is where the
+        windows hold least."""
+        near, r = to.min(axis=0), self.radius + 1e-9
+        regions = lambda t: [(d <= t + r) & (d <= near + 2 * r) for d in to] + [near > t]
+        return min((regions(t) for t in np.linspace(self.radius, 1, 12)), key=lambda x: (sum(map(np.count_nonzero, x)), max(map(np.count_nonzero, x))))
+
+    def shell(self, members: np.ndarray, far: np.ndarray, ball: np.ndarray) -> None:
+        """Compares members at most two radii from a pivot with its ball, as far as d(x,p) >= d(y,p) - r, until a link is found."""
+        inside, at = members[ball], far[ball]
+        for i in np.flatnonzero(~ball & (far <= 2 * self.radius + 1e-9)).tolist():
+            y = int(members[i])
+            if self.forest.find(y) != self.forest.find(int(inside[0])):
+                near = inside[at >= far[i] - self.radius - 1e-9]
+                if len(near) and (hit := near[self.distances(y, near)[1]]).size:
+                    self.forest.join(y, int(hit[0]))
 
     def roots(self) -> list[int]:
         for group in self.groups():
@@ -320,33 +342,53 @@ def _row() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("text_hash"))
 
 
+def _hot_cells(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Cells that hold many sets, as a sample of the texts shows. It decides how rows are dealt to tasks, never what is compared."""
+    some = rows.where(F.pmod("text_hash", F.lit(HOT_ONE_IN)) == 0).mapInArrow(_describe(k, percent), _FLAT).where("n_shingles is null")
+    some = some.select("cell", "node").distinct().groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_SEEN)
+    return staged(some.select(F.col("cell").alias("hot")), "hot_cells")
+
+
 def _components(docs: DataFrame, k: int, percent: int, region_shingles: int = REGION_SHINGLES, cell_members: int = CELL_MEMBERS) -> DataFrame:
     """As jaccard_components, with text_hash of each row and kept_hash, the text_hash of its component's least (doc_id, text_hash)."""
-    prepare(docs.sparkSession)
-    parts = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    cell = Window.partitionBy("cell")
-    flat = rows.mapInArrow(_describe(k, percent), _FLAT)
+    hot = _hot_cells(rows, k, percent)
+    flat = join_small(rows.mapInArrow(_describe(k, percent), _FLAT).withColumn("hot", F.when(F.col("n_shingles").isNull(), F.col("cell"))), hot.withColumn("is_hot", F.lit(True)), ["hot"], "left")
     # cells with the same members are one group; a cell's members are known by the sum of their hashes
-    flat = flat.withColumn("least", F.min("node").over(cell)).withColumn("most", F.max("node").over(cell)).withColumn("region", F.sum(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))).over(cell))
-    flat = staged(flat.where("n_shingles is not null or least != most").drop("cell", "least", "most"), "cells")
+    mark = F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))
+    cell = Window.partitionBy("cell", "part")
+    flat = flat.withColumn("part", F.when(F.col("is_hot"), F.pmod(F.xxhash64("node"), F.lit(HOT_PARTS))).otherwise(0))
+    flat = flat.withColumn("least", F.min("node").over(cell)).withColumn("most", F.max("node").over(cell)).withColumn("region", F.sum(mark).over(cell))
+    flat = flat.withColumn("hot", F.when(F.col("is_hot"), F.col("cell"))).where("n_shingles is not null or is_hot or least != most")
+    flat = staged(flat.drop("cell", "part", "least", "most", "is_hot"), "cells")
     described = flat.where("n_shingles is not null")
-    groups = flat.where("n_shingles is null").select("region", "node").distinct()
+    in_hot = flat.where("n_shingles is null and hot is not null").select("hot", "node").distinct()
+    regions = in_hot.groupBy("hot").agg(F.sum(mark).alias("region"))
+    groups = flat.where("n_shingles is null and hot is null").select("region", "node").union(join_small(in_hot, regions, ["hot"], "inner").select("region", "node")).distinct()
+    groups = staged(groups, "groups")
     known = described.where("coords is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("coords").alias("coords"))
-    groups = _deal(staged(groups, "groups").withColumn("one", F.lit(1)), "one", cell_members, "hot_cells").drop("one").join(known, "node")
-    first = groups.repartition(parts, "region", "x", "y").sortWithinPartitions("region", "x", "y").mapInArrow(_near(percent), "a long, b long")
-    region = components(first)
-    kept = described.select("doc_id", "text_hash", "n_shingles", "node").where("node is not null")
-    member = kept.join(region, "node").groupBy("node").agg(F.min(_row()).alias("row"), F.first("n_shingles").alias("n"), F.first("root").alias("region"))
-    dealt = staged(_deal(staged(member, "members"), "n", region_shingles, "blocks").select("row.*", "region", "x", "y"), "dealt")
-    texts = join_small(rows.select(_row().alias("row"), "text").select("row.*", "text"), dealt, ["nameless", "id", "text_hash"], "inner")
-    texts = texts.select("region", "x", "y", "text").repartition(parts, "region", "x", "y").sortWithinPartitions("region", "x", "y")
-    linked = components(texts.mapInArrow(_join_regions(k, percent), "a long, b long"))
-    named = kept.groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("least")).join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("least").alias("least"))
-    named = named.drop("least").join(least, "root").select("node", "least")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
-    return described.select("doc_id", "text_hash", "n_shingles", "node").join(named, "node", "left").select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("least.text_hash").alias("kept_hash"))
+    first = _deal(groups.withColumn("one", F.lit(1)), "one", cell_members, "large_groups").drop("one").join(known, "node")
+    region = components(first.repartition("region", "x", "y").sortWithinPartitions("region", "x", "y").mapInArrow(_near(percent), "a long, b long"))
+    discard(hot, groups)
+    kept = described.where("node is not null")
+    nodes = kept.groupBy("node").agg(F.min(_row()).alias("row"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
+    nodes = staged(nodes.join(region, "node", "left").withColumnRenamed("root", "region"), "nodes")
+    dealt = staged(_deal(nodes.where("region is not null"), "n", region_shingles, "blocks").select("row.*", "region", "x", "y"), "dealt")
+    texts = rows.select(_row().alias("row"), "text").select("row.*", "text")
+    if kept.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():  # rows that equal each other count once
+        texts = texts.dropDuplicates(["nameless", "id", "text_hash"])
+    texts = join_small(texts, dealt, ["nameless", "id", "text_hash"], "inner").select("region", "x", "y", "text")
+    linked = components(texts.repartition("region", "x", "y").sortWithinPartitions("region", "x", "y").mapInArrow(_join_regions(k, percent), "a long, b long"))
+    named = nodes.join(linked, "node", "left").select("node", "copies", F.coalesce("root", "node").alias("root"), F.when(~F.col("row.nameless"), F.struct(F.col("row.id").alias("doc_id"), F.col("row.text_hash").alias("text_hash"))).alias("least"))
+    named = staged(named, "roots")
+    least = staged(named.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("n")), "least")
+    named = staged(join_hot(named.select("node", "copies", "root"), least, "root", "n").select("node", "copies", "least"), "named")
+    discard(nodes, dealt, least)
+    own = described.select("doc_id", "text_hash", "n_shingles", "node")
+    out = join_hot(own.where("node is not null"), named, "node", "copies")
+    blank = own.where("node is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("kept_hash"))
+    return out.select("doc_id", "text_hash", "n_shingles", F.col("least.doc_id").alias("component_id"), F.col("least.text_hash").alias("kept_hash")).union(blank)
 
 
 def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
