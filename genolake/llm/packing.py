@@ -2,9 +2,9 @@
 
 A document's whole windows are sequences by themselves. What is left of it (its rest) is packed with the rests of
 lexically near documents. First each rest looks for its nearest one in the whole corpus, by postings of pairs of its
-rarest ids (rare by the corpus's document frequencies). Rests linked to their nearest ones stand together, and such groups
-are range-sorted by the rarest ids of one member, so that a shard of the index holds documents that share them, however
-many there are. Each shard has an inverted index of its own. A seed retrieves
+rarest ids (rare by the corpus's document frequencies). Rests from which nearest ones lead to the same pair stand together,
+and such groups are range-sorted by the rarest ids of one member, so that a shard of the index holds documents that share
+them, however many there are. Each shard has an inverted index of its own. A seed retrieves
 unused neighbours by BM25 score (document frequencies are those of the whole corpus) and they fill its window greedily;
 the one that doesn't fit is cut and opens the next window. So no window has padding; at the end of a partition the last,
 open window is cut into sequences whose lengths are powers of two."""
@@ -20,22 +20,26 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, prepare, staged, text_column
-from .components import components
+from .common import discard, join_small, ship, staged, text_column
 
 #: Words a worker remembers, with their ids.
 WORDS = 600_000
+#: Bytes of text that a worker splits at once.
+TEXT_AT_ONCE = 24 << 20
 #: Rests in a shard of the index; up to twice as many where rests that belong together would be parted.
 SHARD = 1024
 #: Ids of a rest by which it is compared with rests of other shards, its rarest ones; postings are by the pairs of the first RAREST.
 KNOWN, RAREST = 8, 5
 #: Rests of one posting list that are compared with each other; a longer list is dealt out to parts.
 POSTINGS = 256
+#: Doublings of the way from a rest over its nearest one, that one's nearest and so on; rests at the end of a longer way stand apart.
+JUMPS = 3
 #: Postings that a task compares at once.
 POSTINGS_AT_ONCE = 100_000
 K1, B = 1.2, 0.75
@@ -49,8 +53,9 @@ _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\u00a1-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u0
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 
 
-def _letter_coder(path: str) -> Callable[[bytes], list[int]]:
-    """A byte-pair coder for lower-case words of letters, from the tokenizer's vocabulary.
+def _letter_coder(path: str) -> Callable[[bytes], list[int]] | None:
+    """A byte-pair coder for lower-case words of letters, from the tokenizer's vocabulary; None where the coding package no longer
+    offers its coder of single pieces.
 
     The vocabulary marks a word's end by a suffix to its last symbol. Here the last byte is written as another one, which
     words of letters never hold: a letter in upper case, a byte from 128 to 191 less by 128. A piece's place in the
@@ -64,15 +69,21 @@ def _letter_coder(path: str) -> Callable[[bytes], list[int]]:
         ends = piece.endswith("</w>")
         raw = bytes(byte[c] for c in (piece[:-4] if ends else piece))
         if raw and all(97 <= b <= 122 or b >= 128 for b in raw) and (not ends or raw[-1] < 192):
-            ranks[raw[:-1] + _LAST[raw[-1:]] if ends else raw] = rank
-    return tiktoken.Encoding("letters", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+            ranks[raw[:-1] + _LAST[raw[-1]] if ends else raw] = rank
+    coder = tiktoken.Encoding("letters", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    return getattr(getattr(coder, "_core_bpe", None), "encode_single_piece", None)
 
 
-_LAST = {bytes([b]): bytes([b - 32 if b < 128 else b - 128]) for b in [*range(97, 123), *range(128, 192)]}
+#: How a word's last byte is written.
+_LAST = [bytes([b - 32 if 97 <= b <= 122 else b - 128 if 128 <= b <= 191 else b]) for b in range(256)]
+
+
+#: What often ends a word.
+_STOPS = (".", ",")
 
 
 class WordIds(dict):
-    """Ids of white-space separated words: those of the tokenizer, whose pieces never cross white space. It is asked itself
+    """Ids of white-space separated lower-case words: those of the tokenizer, whose pieces never cross white space. It is asked itself
     for all but words of letters."""
 
     def __init__(self, path: str) -> None:
@@ -86,110 +97,155 @@ class WordIds(dict):
     def ids(self, text: str) -> bytes:
         return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def coded(self, word: str) -> bytes:
-        raw = word.encode()
-        return array("I", self.letters(raw[:-1] + _LAST[raw[-1:]])).tobytes()
+    def coded(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters."""
+        if self.letters is None:
+            return [self.ids(w) for w in words]
+        letters, last = self.letters, _LAST
+        return [array("I", letters(raw[:-1] + last[raw[-1]])).tobytes() for raw in map(str.encode, words)]
 
     def piece(self, piece: str) -> bytes:
         if piece.isalpha():
-            return self.coded(piece)
+            return self.coded([piece])[0]
         if piece not in self.pieces:
             if len(self.pieces) >= WORDS:
                 self.pieces.clear()
             self.pieces[piece] = self.ids(piece)
         return self.pieces[piece]
 
-    def __missing__(self, word: str) -> bytes:
-        low = word.lower()
-        if low.isalpha():
-            out = self.coded(low)
-        elif low[-1] in ".," and low[:-1].isalpha():
-            out = self.coded(low[:-1]) + self.piece(low[-1])
-        else:
-            out = b"".join(map(self.piece, _PIECES(low)))
+    def learn(self, words: list[str]) -> None:
+        """Takes up the words that it doesn't know."""
         if len(self) >= WORDS:
             self.clear()
-        self[word] = out
-        return out
+        new = [w for w in words if w not in self]
+        plain = [w for w in new if w.isalpha()]
+        self.update(zip(plain, self.coded(plain), strict=True))
+        stopped = [w for w in new if w[-1:] in _STOPS and w[:-1].isalpha()]
+        bases = [w for w in dict.fromkeys(w[:-1] for w in stopped) if w not in self]
+        base = dict(zip(bases, self.coded(bases), strict=True))
+        stop = {x: self.piece(x) for x in _STOPS}
+        self.update((w, (base.get(w[:-1]) or self[w[:-1]]) + stop[w[-1]]) for w in stopped)
+        self.update((w, b"".join(map(self.piece, _PIECES(w)))) for w in new if w not in self)
+
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Special strings count as such to the tokenizer, and on rare code points its view of letters, white
+        space and composition may differ from Python's: such texts go to it whole. Of the others, each word is looked up once."""
+        plain = [bool(_PLAIN(t)) and "<|" not in t for t in texts]
+        split = pc.ascii_split_whitespace(pa.array([t.lower() if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string()))
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self.learn(words)
+        ids = [self[w] for w in words]
+        pool, lengths = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        codes = coded.indices.to_numpy()
+        n = lengths[codes]
+        ends = np.cumsum(n)
+        at = np.repeat((np.cumsum(lengths) - lengths)[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        stream, edges = pool[at], np.concatenate([[0], ends])[split.offsets.to_numpy()]
+        return [stream[a:b] if p else np.frombuffer(self.ids(t), "<u4") for t, p, a, b in zip(texts, plain, edges.tolist(), edges[1:].tolist(), strict=False)]
 
     def text(self, text: str) -> bytes:
-        """The ids of a text. Special strings count as such to the tokenizer, and on rare code points its view of letters, white
-        space and composition may differ from Python's: such texts go to it whole."""
-        if not _PLAIN(text) or "<|" in text:
-            return self.ids(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return self.texts([text])[0].tobytes()
 
 
 _loaded: dict[str, WordIds] = {}
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch by some TEXT_AT_ONCE bytes of text, a longer text by itself."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + TEXT_AT_ONCE, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+_TOKENS = "doc_id long, doc_tokens long, full array<binary>, rest binary, id long, df long"
+
+
 def _tokenize(path: str, end: int, window: int):
+    """A row for each document, and at the task's end one for each id of its rests with their number (doc_tokens is null there)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _loaded[path] = _loaded.get(path) or WordIds(path)
         stop = np.array([end], "<u4").tobytes()
-        for batch in batches:
+        held = np.zeros(1 << 16, np.int64)
+        names = [x.split()[0] for x in _TOKENS.split(", ")]
+        for batch in (part for whole in batches for part in _parts(whole)):
             n, full, rest = [], [], []
-            for text in batch.column("text"):
-                ids = words.text(text.as_py() or "") + stop
+            for found in words.texts([t or "" for t in batch.column("text").to_pylist()]):
+                ids = found.tobytes() + stop
                 n.append(len(ids) // 4)
                 whole = n[-1] // window * window * 4
                 full.append([ids[i : i + 4 * window] for i in range(0, whole, 4 * window)])
                 rest.append(ids[whole:])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(full, pa.list_(pa.binary())), pa.array(rest, pa.binary())], ["doc_id", "doc_tokens", "full", "rest"])
+                own = np.unique(np.frombuffer(rest[-1], "<u4"))
+                if len(own):
+                    if own[-1] >= len(held):
+                        held = np.concatenate([held, np.zeros(int(own[-1]) + 1, np.int64)])
+                    held[own] += 1
+            none = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(full, pa.list_(pa.binary())), pa.array(rest, pa.binary()), none, none], names)
+        used = np.flatnonzero(held)
+        none = [pa.nulls(len(used), t) for t in (pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(used.astype(np.int64)), pa.array(held[used])], names)
 
     return run
 
 
-def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1, np.int64)
-    for batch in batches:
-        data, starts, ends = text_column(batch.column("rest").cast(pa.large_binary()).view(pa.large_string()))
-        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-            if b > a:
-                ids = np.unique(np.frombuffer(data[a:b].tobytes(), "<u4"))
-                if ids[-1] >= len(total):
-                    total = np.concatenate([total, np.zeros(int(ids[-1]) + 1 - len(total), np.int64)])
-                total[ids] += 1
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], ["id", "df"])
-
-
 def _rarest(rank: np.ndarray):
     """The KNOWN rarest ids of each rest that is new to the task (rarest first, -1 where there are fewer) and its place among
     others by its three rarest. rank: of each id by rarity, the rarest greatest; -1 for ids of a single document."""
+    of = np.zeros(len(rank) + 1, "<i4")
+    of[rank[rank >= 0]] = np.flatnonzero(rank >= 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             nodes, shard, known = [], [], []
-            for node, rest in zip(batch.column("node").to_pylist(), batch.column("rest"), strict=True):
+            data, starts, ends = text_column(batch.column("rest").cast(pa.large_binary()).view(pa.large_string()))
+            for node, a, b in zip(batch.column("node").to_pylist(), starts.tolist(), ends.tolist(), strict=True):
                 if node not in seen:
                     seen.add(node)
-                    ids = np.unique(np.frombuffer(rest.as_py(), "<u4"))
-                    order = np.argsort(-rank[ids], kind="stable")[:KNOWN]
-                    ids = ids[order][rank[ids[order]] >= 0]
+                    ranks = rank[data[a:b].view("<u4")]
+                    best = np.unique(np.partition(ranks, -_SOME)[-_SOME:] if len(ranks) > _SOME else ranks)
+                    if len(best) < KNOWN and len(ranks) > _SOME:  # some ids are repeated very often
+                        best = np.unique(ranks)
+                    best = best[::-1][:KNOWN]
+                    best = best[best >= 0]
                     nodes.append(node)
-                    shard.append(sum(int(t) << (20 * (2 - i)) for i, t in enumerate(rank[ids[:3]])))
-                    known.append(np.concatenate([ids.astype("<i4"), np.full(KNOWN - len(ids), -1, "<i4")]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(shard, pa.int64()), pa.array(known, pa.binary())], ["node", "shard", "known"])
+                    shard.append(sum(int(t) << (20 * (2 - i)) for i, t in enumerate(best[:3])))
+                    known.append(np.concatenate([of[best], np.full(KNOWN - len(best), -1, "<i4")]))
+            pairs = np.array(known, "<i4").reshape(-1, KNOWN).view("<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(shard, pa.int64()), *map(pa.array, pairs.T)], ["node", "shard", *_KNOWN])
 
     return run
 
 
-def _known(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(-1, KNOWN).astype(np.int64)
+#: Ids of a rest that are looked at first for its rarest ones.
+_SOME = 48
+
+
+#: The KNOWN ids of a rest, two in a column.
+_KNOWN = [f"known_{i}" for i in range(KNOWN // 2)]
+_KNOWN_SCHEMA = ", ".join(f"{c} long" for c in _KNOWN)
+
+
+def _known(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy() for c in _KNOWN], axis=1).view("<i4")
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each pair of a rest's RAREST rarest ids."""
     for batch in batches:
-        known, at = _known(batch.column("known")), np.arange(len(batch))
+        known, at = _known(batch), np.arange(len(batch))
         for i in range(RAREST):
             for j in range(i + 1, RAREST):
                 use = at[known[:, j] >= 0]
-                a, b = known[use, i], known[use, j]
+                a, b = known[use, i].astype(np.int64), known[use, j].astype(np.int64)
                 key = pa.array(np.minimum(a, b) << 32 | np.maximum(a, b))
-                yield pa.RecordBatch.from_arrays([key, *(batch.column(c).take(pa.array(use)) for c in ("node", "known"))], ["key", "node", "known"])
+                yield pa.RecordBatch.from_arrays([key, *(batch.column(c).take(pa.array(use)) for c in ("node", *_KNOWN))], ["key", "node", *_KNOWN])
 
 
 def _nearest(idf: np.ndarray):
@@ -198,25 +254,28 @@ def _nearest(idf: np.ndarray):
 
     def best(group: np.ndarray, node: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
         score, near = np.zeros(len(node)), np.zeros(len(node), np.int64)
-        for d in range(1, len(node)):
-            i = np.flatnonzero((group[d:] == group[:-d]).all(axis=1))
-            if not len(i):
-                break
-            i = i[node[i] != node[i + d]]
-            mine = known[i]
-            held = ((mine[:, :, None] == known[i + d][:, None, :]).any(axis=2)) & (mine >= 0)
-            shared = (held * idf[np.maximum(mine, 0)]).sum(axis=1)
+        edges = np.concatenate([np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1, [len(group)]])
+        stop = np.repeat(edges, np.diff(edges, prepend=0))  # where each row's list ends
+        i, d = np.arange(len(node)), 1
+        while len(i := i[i + d < stop[i]]):
+            mine, other = known[i], known[i + d]
+            shared = np.zeros(len(i))
+            for k in range(KNOWN):
+                held = (mine[:, k, None] == other).any(axis=1) & (mine[:, k] >= 0)
+                shared += held * idf[np.maximum(mine[:, k], 0)]
+            shared[node[i] == node[i + d]] = 0
             for a, b in ((i, i + d), (i + d, i)):
                 more = (shared > score[a]) | (shared == score[a]) & (shared > 0) & (node[b] > near[a])
                 score[a[more]], near[a[more]] = shared[more], node[b[more]]
+            d += 1
         use = score > 0
         return pa.RecordBatch.from_arrays([pa.array(node[use]), pa.array(near[use]), pa.array(score[use])], ["node", "near", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, node, known, parts = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros((0, KNOWN), np.int64), []
+        group, node, known, parts = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros((0, KNOWN), np.int32), []
 
         def gathered() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            new = [(np.stack([b.column(c).to_numpy() for c in ("key", "part")], axis=1), b.column("node").to_numpy(), _known(b.column("known"))) for b in parts]
+            new = [(np.stack([b.column(c).to_numpy() for c in ("key", "part")], axis=1), b.column("node").to_numpy(), _known(b)) for b in parts]
             return tuple(np.concatenate([old, *x]) for old, *x in zip((group, node, known), *new, strict=True))
 
         for batch in batches:
@@ -238,39 +297,48 @@ def _places(rests: DataFrame, df: np.ndarray, idf: np.ndarray, parts: int) -> Da
     rank = np.full(len(df), -1)
     shared = np.flatnonzero(df > 1)
     rank[shared[np.argsort(-df[shared], kind="stable")]] = np.arange(len(shared))
-    known = rests.mapInArrow(_rarest(rank), "node long, shard long, known binary").groupBy("node").agg(F.first("shard").alias("shard"), F.first("known").alias("known"))
+    known = rests.mapInArrow(_rarest(rank), f"node long, shard long, {_KNOWN_SCHEMA}").groupBy("node").agg(*[F.first(c).alias(c) for c in ("shard", *_KNOWN)])
     known = staged(known, "known")
-    postings = staged(known.mapInArrow(_postings, "key long, node long, known binary"), "postings")
+    postings = staged(known.drop("shard").mapInArrow(_postings, f"key long, node long, {_KNOWN_SCHEMA}"), "postings")
     long = postings.groupBy("key").agg(F.ceil(F.count("*") / F.lit(POSTINGS)).alias("parts")).where("parts > 1")
     dealt = join_small(postings, staged(long, "long_lists"), ["key"], "left")
-    dealt = dealt.select("key", F.coalesce(F.pmod(F.xxhash64("node", "key"), F.col("parts")), F.lit(0)).cast("long").alias("part"), "node", "known")
+    dealt = dealt.select("key", F.coalesce(F.pmod(F.xxhash64("node", "key"), F.col("parts")), F.lit(0)).cast("long").alias("part"), "node", *_KNOWN)
     near = dealt.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_nearest(idf), "node long, near long, score double")
-    near = near.groupBy("node").agg(F.max(F.struct("score", "near")).alias("best"))
-    linked = components(near.select(F.col("node").alias("a"), F.col("best.near").alias("b")))
-    own = known.select("node", "shard").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return staged(own.join(known.select(F.col("node").alias("root"), F.col("shard").alias("at")), "root"), "places")
+    near = near.groupBy("node").agg(F.max(F.struct("score", "near")).alias("best")).select("node", F.col("best.near").alias("near"))
+    near = staged(near, "nearest")
+    ways = [near.withColumnRenamed("near", "to")]
+    for _ in range(JUMPS):  # each jump doubles the way
+        onward = ways[-1].select(F.col("node").alias("to"), F.col("to").alias("on"))
+        ways.append(staged(join_small(ways[-1], onward, ["to"], "inner").select("node", F.col("on").alias("to")), "ways"))
+    # ways end in a pair of rests that are each other's nearest: the lesser one names it
+    roots = join_small(ways[-1], near.select(F.col("node").alias("to"), "near"), ["to"], "inner").select("node", F.least("to", "near").alias("root"))
+    own = known.select("node", "shard").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    places = staged(join_small(own, known.select(F.col("node").alias("root"), F.col("shard").alias("at")), ["root"], "inner"), "places")
+    discard(known, postings, near, *ways[1:])
+    return places
 
 
 class _Index:
-    """The BM25 inverted index of one shard: postings by id, each with its weight."""
+    """The BM25 inverted index of one shard: postings by id, each with its weight, and the ids of each document."""
 
     def __init__(self, rests: list[np.ndarray], idf: np.ndarray) -> None:
         self.n = len(rests)
         lengths = np.array([len(r) for r in rests], np.int64)
         pair, tf = np.unique((np.concatenate(rests).astype(np.int64) << 20) | np.repeat(np.arange(self.n), lengths), return_counts=True)
-        ids, doc = pair >> 20, pair & ((1 << 20) - 1)
-        weight = idf[ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / lengths.mean()))
-        edges = np.flatnonzero(np.diff(ids)) + 1
-        term = np.zeros(len(ids), np.int64)
-        term[edges] = 1
-        term = np.cumsum(term)
-        self.docs, self.weights = np.split(doc, edges), np.split(weight, edges)
-        order = np.argsort(doc, kind="stable")
-        self.terms = [t.tolist() for t in np.split(term[order], np.cumsum(np.bincount(doc, minlength=self.n))[:-1])]
+        ids, self.docs = pair >> 20, pair & ((1 << 20) - 1)
+        self.weights = idf[ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.docs] / lengths.mean()))
+        self.starts = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1])
+        self.sizes = np.diff(self.starts, append=len(ids))
+        order = np.argsort(self.docs.astype(np.uint16) if self.n < 1 << 16 else self.docs, kind="stable")
+        self.terms = np.repeat(np.arange(len(self.starts)), self.sizes)[order]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=self.n))])
 
     def scores(self, seed: int) -> np.ndarray:
-        docs, weights = self.docs, self.weights
-        return np.bincount(np.concatenate([docs[t] for t in self.terms[seed]]), np.concatenate([weights[t] for t in self.terms[seed]]), self.n)
+        terms = self.terms[self.first[seed] : self.first[seed + 1]]
+        n = self.sizes[terms]
+        ends = np.cumsum(n)
+        at = np.repeat(self.starts[terms] - ends + n, n) + np.arange(ends[-1])
+        return np.bincount(self.docs[at], self.weights[at], self.n)
 
 
 def _pack(idf: np.ndarray, window: int, shard: int):
@@ -317,15 +385,16 @@ def _pack(idf: np.ndarray, window: int, shard: int):
                     left = put(left)
                     if left is not None or not filled:
                         continue
-                    scores = np.where(unused, index.scores(seed), -1.0)
-                    for i in np.argsort(-scores, kind="stable").tolist():
-                        if scores[i] < 0:
+                    scores = index.scores(seed)
+                    near = np.flatnonzero(unused & (lengths <= window - filled))
+                    near = near[np.argsort(-scores[near], kind="stable")]
+                    while len(near):
+                        put(pieces[near[0]])
+                        unused[near[0]] = False
+                        if not filled:
                             break
-                        if lengths[i] <= window - filled:
-                            put(pieces[i])
-                            unused[i] = False
-                            if not filled:
-                                break
+                        near = near[1:]
+                        near = near[lengths[near] <= window - filled]
                     if filled and unused.any():  # none fits: the nearest is cut, and its end seeds the next window
                         seed = int(np.argmax(np.where(unused, scores, -2.0)))
                         unused[seed] = False
@@ -372,10 +441,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, s
     if window & (window - 1):
         raise ValueError("window must be a power of two")
     spark = docs.sparkSession
-    prepare(spark)
+    ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = staged(rows.mapInArrow(_tokenize(tokenizer, end_id, window), "doc_id long, doc_tokens long, full array<binary>, rest binary"), "tokens")
-    df = tokens.select("rest").mapInArrow(_document_frequencies, "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).toPandas()  # a row per vocabulary id at most
+    tokens = staged(rows.mapInArrow(_tokenize(tokenizer, end_id, window), _TOKENS), "tokens")
+    df = tokens.where("doc_tokens is null").groupBy("id").agg(F.sum("df").alias("df")).toPandas()  # a row per vocabulary id at most
+    tokens = tokens.where("doc_tokens is not null")
     count = tokens.count()
     held = np.zeros(int(df["id"].max()) + 1 if len(df) else 1, np.int64)
     held[df["id"].to_numpy(int)] = df["df"].to_numpy()
