@@ -23,13 +23,11 @@ def missed(truth: DataFrame, called: DataFrame) -> DataFrame:
 
 def rollup_metrics(truth: DataFrame, called: DataFrame) -> DataFrame:
     """(contig, tp, fn, fp, precision, recall, f1) by contig and, with contig TOTAL, for all. A ratio over 0 is null."""
-    kinds = [(matched(truth, called), "tp"), (missed(truth, called), "fn"), (missed(called, truth), "fp")]
-    rows = None
-    for df, kind in kinds:
-        own = df.groupBy("contig").agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
-        rows = own if rows is None else rows.union(own)
-    n = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(kind)
-    out = rows.rollup("contig").agg(n("tp"), n("fn"), n("fp"), F.grouping("contig").alias("total"))
+    t, c = F.col("t"), F.col("c")
+    sides = [df.select(*KEY, F.lit(int(df is truth)).cast("long").alias("t"), F.lit(int(df is called)).cast("long").alias("c")) for df in (truth, called)]
+    keys = sides[0].union(sides[1]).groupBy(*KEY).agg(F.sum("t").alias("t"), F.sum("c").alias("c"))  # both sides meet in one shuffle
+    n = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    out = keys.rollup("contig").agg(n(F.when((t > 0) & (c > 0), 1)).alias("tp"), n(F.when(c == 0, t)).alias("fn"), n(F.when(t == 0, c)).alias("fp"), F.grouping("contig").alias("total"))
     precision, recall = F.try_divide("tp", F.col("tp") + F.col("fp")), F.try_divide("tp", F.col("tp") + F.col("fn"))
     f1 = F.try_divide(2 * precision * recall, precision + recall)
     return out.select(F.when(F.col("total") == 1, "TOTAL").otherwise(F.col("contig")).alias("contig"), "tp", "fn", "fp", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
@@ -130,4 +128,5 @@ def deciles(pairs: DataFrame, planted: str, seen: str) -> DataFrame:
 def naming_mismatch(bed: DataFrame, contigs: DataFrame, sample: int = 5) -> DataFrame:
     """(n_unmatched, sample): contigs of the BED that the reference doesn't have, and the first few in order."""
     gone = bed.select("contig").distinct().join(contigs.select("contig").distinct(), "contig", "left_anti")
-    return gone.agg(F.count("*").alias("n_unmatched"), F.array_join(F.slice(F.array_sort(F.collect_list("contig")), 1, sample), ",").alias("sample"))
+    first = gone.orderBy("contig").limit(sample).agg(F.array_join(F.array_sort(F.collect_list("contig")), ",").alias("sample"))
+    return gone.agg(F.count("*").alias("n_unmatched")).join(F.broadcast(first))

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import ship, staged
+from . import kernel
+from .intervals import overlaps
+
 #: Bases that one row holds when sequence is cut into tiles.
 TILE = 4096
 
@@ -12,18 +20,7 @@ TILE = 4096
 def sequence_tiles(contigs: DataFrame, k: int = 1, tile: int = TILE) -> DataFrame:
     """(contig, tile_start, seq): pieces of each contig (contig, seq) that overlap by k - 1 bases, so that each k-mer lies in
     exactly one."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - k, F.lit(0)), F.lit(tile))
-    t = contigs.where(F.length("seq") >= k).select("contig", "seq", F.explode(starts).alias("tile_start"))
-    return t.select("contig", "tile_start", F.substr("seq", F.col("tile_start") + 1, F.lit(tile + k - 1)).alias("seq"))
-
-
-def kmers(contigs: DataFrame, k: int, tile: int = 256) -> DataFrame:
-    """(contig, pos0, kmer) of all k-mers of known bases; pos0 is that of the first base. Tiles are short: a character of a
-    string is found by counting from its start."""
-    t = sequence_tiles(contigs, k, tile)
-    at = F.transform(F.sequence(F.lit(1), F.length("seq") - k + 1), lambda i: F.struct((i - 1).alias("i"), F.substr("seq", i, F.lit(k)).alias("kmer")))
-    t = t.select("contig", "tile_start", F.explode(at).alias("x"))
-    return t.select("contig", (F.col("tile_start") + F.col("x.i")).alias("pos0"), F.col("x.kmer").alias("kmer")).where(~F.col("kmer").contains("N"))
+    return kernel.tiles(contigs, tile, 0, k - 1).where(F.length("seq") >= k).select("contig", F.col("tile_start").cast("int").alias("tile_start"), "seq")
 
 
 def runs(contigs: DataFrame, unknown: bool = False, tile: int = TILE) -> DataFrame:
@@ -143,23 +140,27 @@ def smoothed(hist: DataFrame, column: str, passes: int = 24, least_distinct: int
 
 
 def gc_windows(contigs: DataFrame, size: int = 100, stride: int = 100) -> DataFrame:
-    """(contig, start, gc): windows of `size` bases with a known one, at every `stride`; gc is a rounded percentage. Tiles carry
-    what a window that starts in them needs."""
-    tile = max(TILE // stride, 1) * stride
-    t = sequence_tiles(contigs, size, tile)
-    at = F.sequence(F.lit(0), F.least(F.length("seq") - size, F.lit(tile - stride)), F.lit(stride))
-    t = t.where(F.length("seq") >= size).select("contig", "tile_start", "seq", F.explode(at).alias("i"))
-    t = t.select("contig", (F.col("tile_start") + F.col("i")).alias("start"), F.substr("seq", F.col("i") + 1, F.lit(size)).alias("w"))
-    known, gc = F.length(F.translate("w", "N", "")), F.length("w") - F.length(F.translate("w", "GC", ""))
-    return t.where(known > 0).select("contig", "start", F.round(100 * gc / known).cast("int").alias("gc"))
+    """(contig, start, gc): windows of `size` bases with a known one, at every `stride`; gc is a rounded percentage."""
+    return kernel.gc_windows(contigs, size, stride)
+
+
+def window_coverage(windows: DataFrame, depth: DataFrame, size: int) -> DataFrame:
+    """windows (contig, start, ...; `size` bases) with `coverage`, the mean depth over their bases; depth: intervals (contig, start, end,
+    depth), 0 elsewhere."""
+    w = windows.withColumn("end", F.col("start") + size)
+    per = (F.col("hi") - F.col("lo")) * F.col("r_depth")
+    hit = overlaps(w.select("contig", "start", "end"), depth, size).groupBy("contig", "start").agg((F.sum(per) / size).alias("coverage"))
+    return windows.join(hit, ["contig", "start"], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
 
 
 def gc_weights(windows: DataFrame, least: int = 10) -> DataFrame:
     """(gc 0..100, weight) from windows (gc, coverage): the median of a percentage with `least` windows or more over the median
-    of all windows of such percentages; linear between supported percentages, flat beyond; 1 without any."""
+    of all windows of such percentages; linear between supported percentages, flat beyond; 1 without any. Medians are those of
+    the counts by (gc, coverage), so windows are read once."""
     spark = windows.sparkSession
-    supported = windows.groupBy("gc").agg(F.count("*").alias("n"), F.median("coverage").alias("median")).where(F.col("n") >= least)
-    pooled = windows.join(F.broadcast(supported.select("gc")), "gc", "left_semi").agg(F.median("coverage").alias("pooled"))
+    counts = staged(windows.groupBy("gc", "coverage").agg(F.count("*").alias("n")), "gc_counts")
+    supported = counts.groupBy("gc").agg(F.sum("n").alias("total"), F.percentile("coverage", 0.5, F.col("n")).alias("median")).where(F.col("total") >= least)
+    pooled = counts.join(F.broadcast(supported.select("gc")), "gc", "left_semi").agg(F.percentile("coverage", 0.5, F.col("n")).alias("pooled"))
     anchors = supported.join(F.broadcast(pooled)).where("pooled > 0").select(F.col("gc").alias("a"), (F.col("median") / F.col("pooled")).alias("w"))
     grid = spark.range(101).select(F.col("id").cast("int").alias("gc")).join(anchors, F.col("gc") == F.col("a"), "left")
     before, after = Window.orderBy("gc").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("gc").rowsBetween(0, Window.unboundedFollowing)
@@ -171,9 +172,21 @@ def gc_weights(windows: DataFrame, least: int = 10) -> DataFrame:
 
 
 def quality_transitions(reads: DataFrame) -> DataFrame:
-    """(pos, prev, next, n) from reads (scores): pos is 1-based, and prev is -1 at the first."""
-    pairs = F.transform("scores", lambda q, i: F.struct((i + 1).alias("pos"), F.when(i > 0, F.get("scores", F.greatest(i - 1, F.lit(0)))).otherwise(F.lit(-1)).alias("prev"), q.alias("next")))
-    return reads.select(F.explode(pairs).alias("x")).groupBy("x.pos", "x.prev", "x.next").agg(F.count("*").alias("n"))
+    """(pos, prev, next, n) from reads (scores): pos is 1-based, and prev is -1 at the first. Counted in the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("scores")
+            offsets, q = column.offsets.to_numpy(), column.values.to_numpy().astype(np.int64)
+            q, offsets = q[offsets[0] : offsets[-1]], offsets - offsets[0]
+            pos = np.arange(len(q)) - np.repeat(offsets[:-1], np.diff(offsets))
+            prev = np.where(pos > 0, np.roll(q, 1), -1)
+            found, n = np.unique((pos << 32) + ((prev + 1) << 16) + q, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((found >> 32) + 1, pa.int64()), pa.array((found >> 16 & 0xFFFF) - 1, pa.int32()), pa.array(found & 0xFFFF, pa.int32()), pa.array(n, pa.int64())], ["pos", "prev", "next", "n"])
+
+    ship(reads.sparkSession)
+    found = reads.where(F.size("scores") > 0).select("scores").mapInArrow(run, "pos long, prev int, next int, n long")
+    return found.groupBy("pos", "prev", "next").agg(F.sum("n").alias("n"))
 
 
 def degraded(reads: DataFrame, window: int = 50, cut: float = 25.0) -> DataFrame:

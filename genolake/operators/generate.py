@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keyed import key_hash, pick, uniform
-from ..functions.sequence import reverse_complement
+from ..functions.sequence import cigar_ops, reverse_complement
 from ..staging import ship
 
 
@@ -235,36 +235,17 @@ def place_structural(contigs: DataFrame, rate: float, types: dict[str, tuple[flo
 
 
 def md_bases(reads: DataFrame) -> DataFrame:
-    """(ref, read, n) of the aligned bases of reads (seq, cigar, md) whose MD tag fits; others count as ref STALE."""
-    import re
-
-    def walk(seq: str, cigar: str, md: str) -> list[tuple[str, str]] | None:
-        at, aligned = 0, []
-        for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar):
-            if op in "M=X":
-                aligned += seq[at : at + int(n)]
-            if op in "MIS=X":
-                at += int(n)
-        out, i = [], 0
-        for n, gone, base in re.findall(r"(\d+)|(\^[A-Z]+)|([A-Z])", md):
-            if n:
-                out += [(b, b) for b in aligned[i : i + int(n)]]
-                i += int(n)
-            elif base:
-                if i >= len(aligned):
-                    return None
-                out.append((base, aligned[i]))
-                i += 1
-        return out if i == len(aligned) else None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from collections import Counter
-
-        for pdf in batches:
-            c: Counter = Counter()
-            for s, g, m in zip(pdf["seq"], pdf["cigar"], pdf["md"], strict=True):
-                got = walk(s, g, m)
-                c.update([("STALE", "")] if got is None else got)
-            yield pd.DataFrame([(a, b, n) for (a, b), n in c.items()], columns=["ref", "read", "n"])
-
-    return reads.select("seq", "cigar", "md").mapInPandas(run, "ref string, read string, n long").groupBy("ref", "read").agg(F.sum("n").alias("n"))
+    """(ref, read, n) of the aligned bases of reads (seq, cigar, md) whose MD tag fits; others count as ref STALE. A deletion's bases
+    are passed over."""
+    step = lambda a, o: F.struct(F.when(o["op"].isin("M", "=", "X"), F.concat(a["bases"], F.substr("seq", a["at"] + 1, o["n"]))).otherwise(a["bases"]).alias("bases"), (a["at"] + F.when(o["op"].isin("M", "I", "S", "=", "X"), o["n"]).otherwise(0)).alias("at"))
+    aligned = F.aggregate(cigar_ops(F.col("cigar")), F.struct(F.lit("").alias("bases"), F.lit(0).alias("at")), step)["bases"]
+    tokens = F.regexp_extract_all("md", F.lit(r"(\d+|\^[A-Z]+|[A-Z])"), 1)
+    none = F.array().cast("array<struct<at:int,ref:string>>")
+    walk = lambda a, t: F.struct((a["at"] + F.when(t.rlike("^[0-9]"), t.try_cast("int")).when(t.startswith("^"), 0).otherwise(1)).alias("at"), F.when(t.rlike("^[A-Z]"), F.concat(a["off"], F.array(F.struct(a["at"].alias("at"), t.alias("ref"))))).otherwise(a["off"]).alias("off"))
+    r = reads.select("seq", "cigar", "md").withColumn("aligned", aligned).withColumn("w", F.aggregate(tokens, F.struct(F.lit(0).alias("at"), none.alias("off")), walk))
+    off = F.transform("w.off", lambda x: F.struct(x["ref"].alias("ref"), F.substr("aligned", x["at"] + 1, F.lit(1)).alias("read"), F.lit(1).cast("long").alias("n")))
+    changed = lambda b: F.size(F.filter(off, lambda x: x["read"] == b))
+    same = F.array(*[F.struct(F.lit(b).alias("ref"), F.lit(b).alias("read"), (F.length("aligned") - F.length(F.replace("aligned", F.lit(b), F.lit(""))) - changed(b)).cast("long").alias("n")) for b in "ACGTN"])
+    stale = F.array(F.struct(F.lit("STALE").alias("ref"), F.lit("").alias("read"), F.lit(1).cast("long").alias("n")))
+    counts = F.when(F.col("w.at") == F.length("aligned"), F.concat(same, off)).otherwise(stale)
+    return r.select(F.explode(counts).alias("x")).where("x.n > 0").groupBy("x.ref", "x.read").agg(F.sum("x.n").alias("n"))

@@ -95,11 +95,14 @@ def bed_semi_filter(spark, d) -> DataFrame:
 
 
 @query(
-    "select a.id, b.id r_id, greatest(a.start, b.start) lo, least(a.stop, b.stop) hi from bed a join orders_bed b on b.id % 11 = 0 and a.contig = b.contig and a.start < b.stop and b.start < a.stop",
+    "select a.id, count(*) n, sum(least(a.stop, b.stop + 11) - greatest(a.start, b.start + 11))::bigint bases from bed a join bed b on a.contig = b.contig and a.start < b.stop + 11 and b.start + 11 < a.stop group by 1",
     "bed",
 )
 def bed_intersect(spark, d) -> DataFrame:
-    return intervals.overlaps(bed(spark, d), bed(spark, d, "o_orderkey % 11 = 0")).select("id", "r_id", "lo", "hi")
+    """All intervals with all of the same ones moved on by 11 bases."""
+    moved = bed(spark, d).select("contig", (F.col("start") + 11).alias("start"), (F.col("end") + 11).alias("end"))
+    hit = intervals.overlaps(bed(spark, d).select("contig", "start", "end", "id"), moved)
+    return hit.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.col("hi") - F.col("lo")).alias("bases"))
 
 
 @query("select case when not regexp_full_match(alt, '[ACGTNacgtn]+') then 'SV' when length(ref) = 1 and length(alt) = 1 then 'SNP' when length(ref) = 1 then 'INS' when length(alt) = 1 then 'DEL' else 'Complex' end as type, contig, count(*) n from vcf_fields group by 1, 2", "vcf_fields")

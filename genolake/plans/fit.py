@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence, vcf
-from ..operators import fit
+from ..operators import fit, intervals, kernel
 from .compare import r6
-from .inputs import alignments, contigs, edited, fragments, reads, records, structural, vcf_fields, with_inputs
+from .inputs import alignments, contigs, edited, fragments, located, reads, records, structural, vcf_fields, with_inputs
 
 QUERIES, ORACLES = {}, {}
 
@@ -50,29 +50,42 @@ TRINUC = "~ t as (select substr(seq, i, 3) kmer, contig, i from (select contig,
 
 @query(TRINUC + "select kmer, count(*) n from k group by 1", "contigs")
 def trinuc_counts(spark, d) -> DataFrame:
-    return fit.kmers(contigs(spark, d), 3).groupBy("kmer").agg(F.count("*").alias("n"))
+    return kernel.count_kmers(contigs(spark, d), 3)
+
+
+#: Variants with the three bases around their place and an alternative to the middle one.
+FRAMES = "f as (select contig, substr(seq, pos0, 3) kmer, h from located where pos0 >= 1 and pos0 + 2 <= length), m as (select contig, kmer, substr('ACGT', ((position(kmer[2] in 'ACGT') + (h // 4) % 3) % 4)::int + 1, 1) alt, h from f where not contains(kmer, 'N')) "
+
+
+def framed(spark, d) -> DataFrame:
+    f = kernel.context(located(spark, d), contigs(spark, d)).where(~F.col("frame").contains("N"))
+    step = (F.instr(F.lit("ACGT"), F.substring("frame", 2, 1)) + F.floor(F.col("h") / 4) % 3) % 4
+    return f.select("contig", F.col("frame").alias("kmer"), F.substr(F.lit("ACGT"), (step + 1).cast("int"), F.lit(1)).alias("alt"), "h")
 
 
 @query(
-    TRINUC + """, m as (select kmer, substr('ACGT', ((position(kmer[2] in 'ACGT') - 1 + 1 + i % 3) % 4)::int + 1, 1) alt from k where i % 17 = 0), o as (select kmer, count(*) occ from k group by 1),
-c as (select kmer, alt, count(*) n from m group by 1, 2)
+    TRINUC + ", " + FRAMES + """, o as (select kmer, count(*) occ from k group by 1), c as (select kmer, alt, count(*) n from m group by 1, 2)
 select kmer, alt, n, round(n / occ, 6) p_mut, round(n / sum(n) over (partition by kmer), 6) p_alt from c join o using (kmer)""",
-    "contigs",
+    "contigs located",
 )
 def trinuc_transitions(spark, d) -> DataFrame:
-    k = fit.kmers(contigs(spark, d), 3)
-    i = F.col("pos0") + 1
-    step = (F.instr(F.lit("ACGT"), F.substring("kmer", 2, 1)) + i % 3) % 4
-    alt = F.substr(F.lit("ACGT"), (step + 1).cast("int"), F.lit(1))
-    occ = k.groupBy("kmer").agg(F.count("*").alias("occ"))
-    c = k.where(i % 17 == 0).groupBy("kmer", alt.alias("alt")).agg(F.count("*").alias("n"))
+    """Variants joined with the bases around them, against all frames of the contigs."""
+    occ = kernel.count_kmers(contigs(spark, d), 3).withColumnRenamed("n", "occ")  # 64 rows
+    c = framed(spark, d).groupBy("kmer", "alt").agg(F.count("*").alias("n"))
     return fit.row_shares(c.join(F.broadcast(occ), "kmer"), ["kmer"], "n").select("kmer", "alt", "n", r6(F.col("n") / F.col("occ")).alias("p_mut"), r6("share").alias("p_alt"))
 
 
+@query("select case when substr(seq, pos0::int + 1, 1) = ref then 'match' when substr(seq, pos0::int + 1, 1) = 'N' then 'unknown' else 'mismatch' end verdict, count(*) n from located group by 1", "located")
+def ref_check(spark, d) -> DataFrame:
+    """Stated REF bases against the contigs'."""
+    f = kernel.context(located(spark, d), contigs(spark, d), flank=0)
+    return f.groupBy(F.when(F.col("frame") == F.col("ref"), "match").when(F.col("frame") == "N", "unknown").otherwise("mismatch").alias("verdict")).agg(F.count("*").alias("n"))
+
+
 @query(TRINUC + "select kmer[1] || 'N' || kmer[3] context, kmer[2] base, count(*) n, round(count(*) / sum(count(*)) over (partition by kmer[1] || 'N' || kmer[3]), 6) share from k group by 1, 2", "contigs")
 def context_fold16(spark, d) -> DataFrame:
-    k = fit.kmers(contigs(spark, d), 3)
-    c = k.groupBy(fit.fold_context(F.col("kmer")).alias("context"), F.substring("kmer", 2, 1).alias("base")).agg(F.count("*").alias("n"))
+    k = kernel.count_kmers(contigs(spark, d), 3)
+    c = k.groupBy(fit.fold_context(F.col("kmer")).alias("context"), F.substring("kmer", 2, 1).alias("base")).agg(F.sum("n").alias("n"))
     return fit.row_shares(c, ["context"], "n").withColumn("share", r6("share"))
 
 
@@ -161,14 +174,18 @@ def gc_window_bins(spark, d) -> DataFrame:
 
 
 @query(
-    GC + """, c as (select gc, (gc * 7 + start % 101)::double coverage from g), s as (select gc, median(coverage) m from c group by 1 having count(*) >= 10),
+    GC + """, d as (select contig, pos0 s, least(pos0 + 100 + quantity * 6, length) e from located),
+c as (select g.gc, sum(case when s is null then 0 else least(e, g.start + 100) - greatest(s, g.start) end) / 100.0 coverage from g left join d on g.contig = d.contig and s < g.start + 100 and e > g.start group by g.contig, g.start, g.gc),
+s as (select gc, median(coverage) m from c group by 1 having count(*) >= 10),
 p as (select median(coverage) p from c where gc in (select gc from s)), a as (select gc a, m / p w from s, p where p > 0),
 b as (select r.gc::int gc, max(lo.a) la, min(hi.a) ha from range(101) r(gc) left join a lo on lo.a <= r.gc left join a hi on hi.a >= r.gc group by 1)
 select b.gc, round(coalesce(case when la = ha then x.w else x.w + (y.w - x.w) * (b.gc - la) / (ha - la) end, x.w, y.w, 1.0), 6) weight from b left join a x on x.a = la left join a y on y.a = ha""",
-    "contigs",
+    "contigs located",
 )
 def gc_weight_interp(spark, d) -> DataFrame:
-    w = fit.gc_windows(contigs(spark, d), 100, 50).select("gc", (F.col("gc") * 7 + F.col("start") % 101).cast("double").alias("coverage"))
+    """Depth of the fragments at their places, by windows of the contigs' bases."""
+    covered = located(spark, d).select("contig", F.col("pos0").alias("start"), F.least(F.col("pos0") + 100 + F.col("quantity") * 6, F.col("length")).alias("end"))
+    w = fit.window_coverage(fit.gc_windows(contigs(spark, d), 100, 50), intervals.depth(covered), 100)
     return fit.gc_weights(w).withColumn("weight", r6("weight"))
 
 

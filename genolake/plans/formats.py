@@ -106,8 +106,8 @@ def key_suggestions(spark, d) -> DataFrame:
     return p.groupBy(F.col("p_name").alias("n"), F.col("p_type").alias("t")).agg(F.count("*").alias("k")).withColumn("distance", F.levenshtein("n", "t").cast("long"))
 
 
-@query("select id, case when h % 3 = 0 then 'B=2;A=' || (h % 5) when h % 3 = 1 then 'A=' || (h % 5) else 'FLAG;A=' || (h % 5) end info from fragments where h % 50 = 0", "fragments")
+@query("select id, case when h % 3 = 0 then 'B=2;A=' || (h % 5) when h % 3 = 1 then 'A=' || (h % 5) else 'FLAG;A=' || (h % 5) end info from fragments", "fragments")
 def info_tag_append(spark, d) -> DataFrame:
     h = F.col("h")
     info = F.when(h % 3 == 0, "A=1;B=2").when(h % 3 == 1, ".").otherwise("FLAG")
-    return fragments(spark, d).where("h % 50 = 0").select("id", sinks.with_tag(info, "A", (h % 5).cast("string")).alias("info"))
+    return fragments(spark, d).select("id", sinks.with_tag(info, "A", (h % 5).cast("string")).alias("info"))

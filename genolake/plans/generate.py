@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keyed import uniform
-from ..operators import fit, generate, validate
+from ..operators import fit, generate, kernel, validate
 from .compare import r6
-from .inputs import contigs, edited, fragments, structural, table, with_inputs
+from .inputs import bases_of, contigs, edited, fragments, located, structural, table, with_inputs
 from .segments import SEG, _segments
 
 QUERIES, ORACLES = {}, {}
@@ -74,12 +74,13 @@ def place_fragments_gc(spark, d) -> DataFrame:
 
 
 @query(
-    "~ f as (select id, substr(repeat('ACGGT', 40), 1, (30 + h % 150)::int) s from fragments where h % 10 = 0) select id, rpad(s || 'AGATCGGAAGAGC', 100, 'A') bases, least(length(s), 100)::varchar || 'M' || case when length(s) < 100 then (100 - length(s))::varchar || 'S' else '' end cigar from f",
-    "fragments",
+    "~ f as (select id, substr(seq, pos0::int + 1, (30 + h % 150)::int) s from located) select id, rpad(s || 'AGATCGGAAGAGC', 100, 'A') bases, least(length(s), 100)::varchar || 'M' || case when length(s) < 100 then (100 - length(s))::varchar || 'S' else '' end cigar from f",
+    "located",
 )
 def adapter_read_through(spark, d) -> DataFrame:
-    f = fragments(spark, d).where("h % 10 = 0").select("id", F.substr(F.lit("ACGGT" * 40), F.lit(1), (30 + F.col("h") % 150).cast("int")).alias("s"))
-    bases, cigar = generate.read_through(F.col("s"), "AGATCGGAAGAGC", 100)
+    f = located(spark, d).select("id", "contig", "pos0", (30 + F.col("h") % 150).alias("n"))
+    f = kernel.reference_bases(f, contigs(spark, d), "pos0", "n", 180)
+    bases, cigar = generate.read_through(F.col("bases"), "AGATCGGAAGAGC", 100)
     return f.select("id", bases.alias("bases"), cigar.alias("cigar"))
 
 
@@ -149,15 +150,15 @@ def simulated_reads(spark, d) -> DataFrame:
 
 
 @query(
-    """~ s as (select contig, id, start, stop, case id % 3 when 0 then 'DEL' when 1 then 'DUP' else 'INV' end as type, seq from (select c.contig, length(c.seq) n, c.seq, i id, i * 40 + 60 as start, i * 40 + 60 + 50 + i % 30 as stop from contigs c, range(0, 500) r(i) where i * 40 + 200 < length(c.seq))),
+    """~ s as (select contig, id, start, stop, case id % 3 when 0 then 'DEL' when 1 then 'DUP' else 'INV' end as type, seq from (select c.contig, length(c.seq) n, c.seq, i, i id, i * 40 + 60 as start, i * 40 + 60 + 50 + i % 30 as stop from (select *, unnest(range(0, (length(seq) - 201) // 40 + 1)) i from contigs where length(seq) > 200) c)),
 p as (select contig, id, type, substr(seq, start - 30 + 1, 30) l, substr(seq, stop + 1, 30) r, substr(seq, start + 1, 30) a, substr(seq, stop - 30 + 1, 30) b from s where stop + 30 <= length(seq))
 select contig || ':' || id::varchar id, type, case type when 'DEL' then l || r when 'DUP' then b || a else l || reverse(translate(b, 'ACGT', 'TGCA')) end seq from p""",
     "contigs",
 )
 def chimeric_junctions(spark, d) -> DataFrame:
     c = contigs(spark, d)
-    i = F.explode(F.sequence(F.lit(0), F.lit(499))).alias("i")
-    s = c.select("contig", F.length("seq").alias("n"), i).where("i * 40 + 200 < n")
+    i = F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 201) / 40).cast("int"))).alias("i")
+    s = c.where("length(seq) > 200").select("contig", F.length("seq").alias("n"), i)
     s = s.select(F.concat_ws(":", "contig", F.col("i").cast("string")).alias("id"), "contig", (F.col("i") * 40 + 60).alias("start"), (F.col("i") * 40 + 110 + F.col("i") % 30).alias("end"), F.when(F.col("i") % 3 == 0, "DEL").when(F.col("i") % 3 == 1, "DUP").otherwise("INV").alias("type"))
     return generate.junction_reads(s, c, 30)
 
@@ -193,9 +194,8 @@ select contig, 'fn' kind, pos0::bigint pos0, w[1:2] ref, w[1:1] alt from r union
 )
 def equivalence_sweep(spark, d) -> DataFrame:
     """A base lost from a run of three: the miss names its first base, and the false call its last (or, at odd places, another change)."""
-    k = fit.kmers(contigs(spark, d), 5).withColumnRenamed("kmer", "window").withColumn("window_start", F.col("pos0").cast("long"))
+    k = kernel.runs_of(contigs(spark, d), 3).withColumn("window_start", F.col("pos0"))
     b = lambda i: F.substring("window", i, 1)
-    k = k.where((b(2) == b(3)) & (b(3) == b(4)) & (b(1) != b(2)) & (b(5) != b(2)))
     fn = F.struct(F.lit("fn").alias("kind"), F.col("window_start").alias("pos0"), F.substring("window", 1, 2).alias("ref"), b(1).alias("alt"))
     lost = F.struct(F.lit("fp").alias("kind"), (F.col("window_start") + 2).alias("pos0"), F.substring("window", 3, 2).alias("ref"), b(3).alias("alt"))
     changed = F.struct(F.lit("fp").alias("kind"), (F.col("window_start") + 2).alias("pos0"), b(3).alias("ref"), b(1).alias("alt"))
@@ -203,7 +203,19 @@ def equivalence_sweep(spark, d) -> DataFrame:
     return generate.promote_equivalent(v.select("contig", "cluster", "window", "window_start", "v.*"))
 
 
-@query()
+def _md(stream: str, n: str) -> str:
+    return f"floor({U(stream, "contig || ':' || tile_start::varchar")} * ({n}))::int"
+
+
+@query(
+    f"""~ t as (select contig, i::int tile_start, substr(seq, i + 1, 100) s from (select contig, seq, unnest(range(0, length(seq), 100)) i from contigs)),
+a as (select *, least({_md('md_clip', '21')}, length(s) - 1) clip from t), b as (select *, greatest(least({_md('md_insert', '6')}, length(s) - clip - 2), 0) ins from a), c as (select *, length(s) - clip - ins al from b),
+e as (select *, case when ins > 0 then 1 + {_md('md_left', 'al - 1')} else al end l, {_md('md_mismatch', 'al')} x from c),
+g as (select substr(s, clip + 1, l) || substr(s, clip + l + ins + 1, al - l) bases, x from e), m as (select bases, bases[x + 1] rd from g),
+n as (select b.b ref, b.b rd, length(bases) - length(replace(bases, b.b, '')) - (rd = b.b)::int n from m, unnest(['A', 'C', 'G', 'T', 'N']) b(b) union all select translate(rd, 'ACGTN', 'CGTAA'), rd, 1 from m)
+select ref, rd "read", sum(n)::bigint n from n group by 1, 2 having sum(n) > 0""",
+    "contigs",
+)
 def md_mismatch_matrix(spark, d) -> DataFrame:
     """Mismatches by MD tag of reads that tile the documents' bases."""
     return generate.md_bases(md_reads(contigs(spark, d)))
@@ -224,21 +236,23 @@ def md_reads(c: DataFrame) -> DataFrame:
     return r.select("contig", "tile_start", "seq", cigar.alias("cigar"), md.alias("md"))
 
 
-FASTQ = """~ l as (select doc_id % 7 as file, doc_id, text from documents),
-r as (select doc_id, case when doc_id % 11 = 0 then 'name' else '@name' end || doc_id::varchar || case when doc_id % 17 = 0 then chr(13) else '' end name, case when doc_id % 5 = 0 then substr(text, 1, 30) when doc_id % 23 = 0 then '' else 'ACGTN' end seq, case when doc_id % 13 = 0 then '-' else '+' end plus, case when doc_id % 3 = 0 then '!!!!' else 'IIIII' end quality, case when doc_id % 19 = 0 then 3 else 4 end n_lines from documents),
-w as (select doc_id, case when n_lines = 3 then null else quality end quality, name, seq, plus, n_lines from r),
+FASTQ = """~ r as (select doc_id, case when doc_id % 11 = 0 then 'name' else '@name' end || doc_id::varchar || case when doc_id % 17 = 0 then chr(13) else '' end name, case when doc_id % 23 = 0 then '' when doc_id % 5 = 0 then replace(text, chr(10), ' ') else seq end seq, case when doc_id % 13 = 0 then '-' else '+' end plus, case when doc_id % 19 = 0 then 3 else 4 end n_lines
+  from documents join contigs on contig = concat('doc', doc_id::varchar) where text is not null),
+w as (select *, length(seq) - (doc_id % 3 = 0)::int q from r),
 f as (select doc_id, unnest(list_filter([case when n_lines < 4 then 'truncated_record' end, case when name not like '@%' then 'name_without_at' end, case when n_lines = 4 and plus not like '+%' then 'plus_line' end,
- case when n_lines = 4 and length(seq) <> length(quality) then 'length_mismatch' end, case when not regexp_full_match(seq, '[ACGTUNRYSWKMBDHVacgtunryswkmbdhv]*') then 'bad_base' end, case when seq = '' then 'empty_sequence' end, case when name like '%' || chr(13) then 'carriage_return' end], lambda x: x is not null)) rule from w)
+ case when n_lines = 4 and length(seq) <> greatest(q, 0) then 'length_mismatch' end, case when not regexp_full_match(seq, '[ACGTUNRYSWKMBDHVacgtunryswkmbdhv]*') then 'bad_base' end, case when seq = '' then 'empty_sequence' end, case when name like '%' || chr(13) then 'carriage_return' end], lambda x: x is not null)) rule from w)
 select rule, count(*) n from f group by 1"""
 
 
-@query(FASTQ)
+@query(FASTQ, "contigs")
 def fastq_findings(spark, d) -> DataFrame:
+    """A record for each document: its bases, or, for some, its text as it is."""
     i = F.col("doc_id")
-    t = table(spark, d, "documents")
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("raw"), bases_of(F.col("text")).alias("bases"))
     name = F.concat(F.when(i % 11 == 0, "name").otherwise("@name"), i.cast("string"), F.when(i % 17 == 0, "\r").otherwise(""))
-    seq = F.when(i % 5 == 0, F.substring("text", 1, 30)).when(i % 23 == 0, "").otherwise("ACGTN")
-    four = F.array(name, seq, F.when(i % 13 == 0, "-").otherwise("+"), F.when(i % 3 == 0, "!!!!").otherwise("IIIII"))
+    t = t.withColumn("seq", F.when(i % 23 == 0, "").when(i % 5 == 0, F.col("raw")).otherwise(F.col("bases")))
+    quality = F.repeat(F.lit("I"), F.greatest(F.length("seq") - (i % 3 == 0).cast("int"), F.lit(0)))
+    four = F.array(name, "seq", F.when(i % 13 == 0, "-").otherwise("+"), quality)
     lines = t.select(i.alias("file"), F.posexplode(F.slice(four, F.lit(1), F.when(i % 19 == 0, 3).otherwise(4))).alias("line_no", "text"))
     out = validate.findings(validate.fastq_records(lines), validate.fastq_rules(), ["file", "record"])
     return out.groupBy("rule").agg(F.count("*").alias("n"))

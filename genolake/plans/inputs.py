@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keyed import key_hash
+from ..staging import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +26,16 @@ def base_at(index: Column) -> Column:
     return F.substring(F.lit("ACGT"), (index + 1).cast("int"), F.lit(1))
 
 
-def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(contig, seq): a contig for each document, its letters read as bases (Z as N)."""
+def bases_of(text: Column) -> Column:
+    """The letters of a text, read as bases (Z as N)."""
     # A cyclic reading of the alphabet as bases.
     letters, bases = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "AACCGGTTAACCGGTTAACCGGTTAN"
-    seq = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), letters, bases)
+    return F.translate(F.upper(F.regexp_replace(text, "[^A-Za-z]", "")), letters, bases)
+
+
+def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(contig, seq): a contig for each document."""
+    seq = bases_of(F.col("text"))
     return table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("contig"), seq.alias("seq"))
 
 
@@ -56,7 +67,7 @@ def called(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).where("h % 10 >= 1")
 
 
-def bed(spark: SparkSession, sf_dir: str, keep: str = "o_orderkey % 7 = 0") -> DataFrame:
+def bed(spark: SparkSession, sf_dir: str, keep: str = "true") -> DataFrame:
     """(contig, start, end, id, value): 0-based half-open intervals from orders."""
     o = table(spark, sf_dir, "orders").where(keep)
     start = F.col("o_custkey") * 5
@@ -121,12 +132,27 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(read_id, seq, scores): the first 100 characters after every 500 of each document's text, as qualities 2 to 41."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    d = d.select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.length("text") / 500))).alias("piece"))
-    piece = F.substr("text", (F.col("piece") * 500 + 1).cast("int"), F.lit(100))
-    d = d.select(F.concat(F.lit("r"), F.col("doc_id").cast("string"), F.lit("_"), F.col("piece").cast("string")).alias("read_id"), F.regexp_replace(piece, "[^ -~]", "~").alias("seq"))
-    return d.where("length(seq) >= 2").withColumn("scores", F.transform(F.filter(F.split("seq", ""), lambda c: c != ""), lambda c: (F.ascii(c) % 40 + 2).cast("int")))
+    """(read_id, seq, scores): each document's text cut into pieces of 100 characters, as qualities 2 to 41."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                seq = re.sub("[^ -~]", "~", text.as_py() or "")
+                pieces = [seq[i : i + 100] for i in range(0, len(seq), 100) if len(seq) - i >= 2]
+                scores = np.frombuffer("".join(pieces).encode(), np.uint8).astype(np.int32) % 40 + 2
+                edges = np.minimum(np.arange(len(pieces) + 1) * 100, len(scores)).astype(np.int32)
+                ids = [f"r{name}_{i}" for i in range(len(pieces))]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(pieces, pa.string()), pa.ListArray.from_arrays(pa.array(edges), pa.array(scores))], ["read_id", "seq", "scores"])
+
+    ship(spark)
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "read_id string, seq string, scores array<int>")
+
+
+def located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(contig, pos0, length, h, ref, id, quantity): the records of line items whose part names a document, at a place of its contig."""
+    c = contigs(spark, sf_dir).select("contig", F.length("seq").cast("long").alias("length")).where("length > 0")
+    r = records(spark, sf_dir).select(F.concat(F.lit("doc"), F.col("part_id").cast("string")).alias("contig"), "h", "ref", F.concat_ws(":", F.col("order_id").cast("string"), F.col("line_id").cast("string"), (F.col("h") % 1000).cast("string")).alias("id"), F.col("quantity").cast("long").alias("quantity"))
+    return r.join(c, "contig").withColumn("pos0", F.col("h") % F.col("length"))
 
 
 #: The same as SQL, by name; an entry may use those above it.
@@ -137,7 +163,7 @@ SQL = {
     "truth": "select * from records where h % 10 < 8",
     "called": "select * from records where h % 10 >= 1",
     "orders_bed": "select concat('chr', (o_custkey % 5 + 1)::varchar) contig, o_custkey * 5 as start, o_custkey * 5 + 20 + o_orderkey % 60 as stop, o_orderkey id, o_totalprice as value from orders",
-    "bed": "select * from orders_bed where id % 7 = 0",
+    "bed": "select * from orders_bed",
     "contigs": "select concat('doc', doc_id::varchar) contig, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'AACCGGTTAACCGGTTAACCGGTTAN') seq from documents",
     "edited": """select r.* replace (case when (h // 128) % 10 in (7, 9) then ref || more else ref end as ref, case when (h // 128) % 10 in (8, 9) then alt || more else alt end as alt)
   from (select *, substr('ACGTACGTACGT', 1, ((h // 16) % 9 + 1)::int) more from records) r""",
@@ -149,10 +175,12 @@ SQL = {
     "alignments": """select contig, start pos0, ((h // 64) % 70)::int mapq, case when (h // 8) % 2 = 0 then stop - start else start - stop end tlen, (h // 256) % 20 > 0 paired, (h // 32) % 2 = 0 as first,
   (h // 512) % 20 > 0 mate_mapped, (h // 4096) % 20 > 0 same_ref, (h // 1024) % 30 = 0 secondary, case when (h // 2048) % 6 = 0 then (h // 16384) % 40 else 0 end left_clip, 100 read_len, id from fragments""",
     "reads": """select read_id, seq, list_transform(range(1, length(seq) + 1), lambda i: ascii(seq[i]) % 40 + 2) scores from (
-  select concat('r', doc_id::varchar, '_', piece::varchar) read_id, regexp_replace(substr(text, (piece * 500 + 1)::int, 100), '[^ -~]', '~', 'g') seq from (
-    select doc_id, text, unnest(range(0, length(text) // 500 + 1)) piece from documents)) where length(seq) >= 2""",
+  select concat('r', doc_id::varchar, '_', piece::varchar) read_id, regexp_replace(substr(text, (piece * 100 + 1)::int, 100), '[^ -~]', '~', 'g') seq from (
+    select doc_id, text, unnest(range(0, length(text) // 100 + 1)) piece from documents)) where length(seq) >= 2""",
+    "located": """select c.contig, seq, length(seq)::bigint length, h % length(seq) pos0, h, ref, concat_ws(':', order_id::varchar, line_id::varchar, (h % 1000)::varchar) id, quantity::bigint quantity
+  from records r join contigs c on c.contig = concat('doc', r.part_id::varchar) where length(seq) > 0""",
 }
-_NEEDS = {"records": ["li"], "truth": ["records"], "called": ["records"], "bed": ["orders_bed"], "edited": ["records"], "vcf_fields": ["edited"], "fragments": ["records"], "alignments": ["fragments"]}
+_NEEDS = {"records": ["li"], "located": ["records", "contigs"], "truth": ["records"], "called": ["records"], "bed": ["orders_bed"], "edited": ["records"], "vcf_fields": ["edited"], "fragments": ["records"], "alignments": ["fragments"]}
 
 
 def with_inputs(names: str, sql: str) -> str:

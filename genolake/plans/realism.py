@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import fit, intervals, realism
+from ..operators import intervals, realism
 from .compare import r6
-from .fit import TRINUC
-from .inputs import alignments, contigs, fragments, records, structural, table, with_inputs
+from .fit import FRAMES, framed
+from .inputs import alignments, fragments, structural, table, with_inputs
 
 QUERIES, ORACLES = {}, {}
 
@@ -70,26 +70,24 @@ def region_rates(spark, d) -> DataFrame:
     return alignments(spark, d).where("not secondary").groupBy("contig").agg(F.count("*").alias("n"), share(F.col("left_clip") > 0).alias("clip_rate"), share(~proper).alias("improper_rate"), share(F.col("mapq") == 0).alias("mapq0_rate"))
 
 
-SBS = TRINUC + """, m as (select kmer, substr('ACGT', ((position(kmer[2] in 'ACGT') + i % 3) % 4)::int + 1, 1) alt, i from k where i % {n} = 0),
-c as (select case when kmer[2] in ('A', 'G') then reverse(translate(kmer, 'ACGT', 'TGCA')) else kmer end kmer, case when kmer[2] in ('A', 'G') then translate(alt, 'ACGT', 'TGCA') else alt end alt, i from m),
-s as (select kmer[1] || '[' || kmer[2] || '>' || alt || ']' || kmer[3] class, i from c) """
+SBS = "~ " + FRAMES + """, c as (select case when kmer[2] in ('A', 'G') then reverse(translate(kmer, 'ACGT', 'TGCA')) else kmer end kmer, case when kmer[2] in ('A', 'G') then translate(alt, 'ACGT', 'TGCA') else alt end alt, h from m),
+s as (select kmer[1] || '[' || kmer[2] || '>' || alt || ']' || kmer[3] class, h from c) """
 
 
-def _sbs(spark, d, n: int) -> DataFrame:
-    k = fit.kmers(contigs(spark, d), 3).withColumn("i", F.col("pos0") + 1).where(F.col("i") % n == 0)
-    step = (F.instr(F.lit("ACGT"), F.substring("kmer", 2, 1)) + F.col("i") % 3) % 4
-    return k.select(realism.sbs96(F.col("kmer"), F.substr(F.lit("ACGT"), (step + 1).cast("int"), F.lit(1))).alias("class"), "i")
+def _sbs(spark, d) -> DataFrame:
+    return framed(spark, d).select(realism.sbs96(F.col("kmer"), F.col("alt")).alias("class"), "h")
 
 
-@query(SBS.format(n=5) + "select class, count(*) n from s group by 1", "contigs")
+@query(SBS + "select class, count(*) n from s group by 1", "located")
 def sbs96_spectrum(spark, d) -> DataFrame:
-    return _sbs(spark, d, 5).groupBy("class").agg(F.count("*").alias("n"))
+    return _sbs(spark, d).groupBy("class").agg(F.count("*").alias("n"))
 
 
-@query(SBS.format(n=5) + ", a as (select class, count(*) x from s where i % 2 = 0 group by 1), b as (select class, count(*) y from s where i % 3 = 0 group by 1) select round(sum(coalesce(x, 0) * coalesce(y, 0)) / (sqrt(sum(coalesce(x, 0) * coalesce(x, 0))) * sqrt(sum(coalesce(y, 0) * coalesce(y, 0)))), 6) cosine from a full join b using (class)", "contigs")
+@query(SBS + ", a as (select class, count(*) x from s where h % 2 = 0 group by 1), b as (select class, count(*) y from s where h % 2 = 1 group by 1) select round(sum(coalesce(x, 0) * coalesce(y, 0)) / (sqrt(sum(coalesce(x, 0) * coalesce(x, 0))) * sqrt(sum(coalesce(y, 0) * coalesce(y, 0)))), 6) cosine from a full join b using (class)", "located")
 def sbs96_cosine(spark, d) -> DataFrame:
-    s = _sbs(spark, d, 5)
-    a, b = (s.where(F.col("i") % n == 0).groupBy("class").agg(F.count("*").alias("n")) for n in (2, 3))
+    """The spectra of two samples into which all variants are dealt."""
+    n = _sbs(spark, d).groupBy("class", (F.col("h") % 2).alias("sample")).agg(F.count("*").alias("n"))
+    a, b = (n.where(F.col("sample") == i).select("class", "n") for i in (0, 1))
     return realism.cosine(a, b, "class", "n").withColumn("cosine", r6("cosine"))
 
 

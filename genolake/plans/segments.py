@@ -46,28 +46,28 @@ def depth_by_events(spark, d) -> DataFrame:
 
 
 @query(
-    SEG + """, b as (select * from orders_bed where id % 13 = 0),
+    SEG + """, b as (select * from orders_bed),
 p as (select contig, start, stop, value, unnest(range(start, stop)) x from seg),
 v as (select p.contig, x, coalesce(arg_max(b.value, b.id), any_value(p.value)) v from p left join b on p.contig = b.contig and x >= b.start and x < b.stop group by 1, 2)
 select contig, count(*) bases, round(sum(v), 2) total from v group by 1""",
     "orders_bed",
 )
 def segment_override(spark, d) -> DataFrame:
-    changes = bed(spark, d, "o_orderkey % 13 = 0").withColumnRenamed("id", "seq").select("contig", "start", "end", "value", "seq")
+    changes = bed(spark, d).withColumnRenamed("id", "seq").select("contig", "start", "end", "value", "seq")
     out = intervals.override(_segments(spark, d), changes)
     n = F.col("end") - F.col("start")
     return out.groupBy("contig").agg(F.sum(n).alias("bases"), F.round(F.sum(n * F.col("value")), 2).alias("total"))
 
 
 @query(
-    SEG + """, b as (select contig, start, stop, (1 + id % 3) / 2.0 f from orders_bed where id % 13 = 0),
+    SEG + """, b as (select contig, start, stop, (9 + id % 3) / 10.0::double f from orders_bed),
 p as (select contig, value, unnest(range(start, stop)) x from seg),
 v as (select p.contig, x, any_value(p.value) * coalesce(product(b.f), 1) v from p left join b on p.contig = b.contig and x >= b.start and x < b.stop group by 1, 2)
 select contig, count(*) bases, round(sum(v), 2) total from v group by 1""",
     "orders_bed",
 )
 def segment_multiply(spark, d) -> DataFrame:
-    factors = bed(spark, d, "o_orderkey % 13 = 0").select("contig", "start", "end", ((1 + F.col("id") % 3) / 2.0).alias("value"))
+    factors = bed(spark, d).select("contig", "start", "end", ((9 + F.col("id") % 3) / F.lit(10.0)).alias("value"))
     out = intervals.multiply(_segments(spark, d), factors)
     n = F.col("end") - F.col("start")
     return out.groupBy("contig").agg(F.sum(n).alias("bases"), F.round(F.sum(n * F.col("value")), 2).alias("total"))
@@ -81,14 +81,14 @@ def rate_at_points(spark, d) -> DataFrame:
 
 
 @query(
-    SEG + """, x as (select distinct contig, part_id * 3 p from records where h % 5 = 0),
+    SEG + """, x as (select distinct contig, part_id * 3 p from records),
 k as (select contig, start, unnest(range(start, stop)) p from seg), l as (select * from k anti join x using (contig, p)),
 g as (select contig, start, p, p - row_number() over (partition by contig, start order by p) g from l)
 select contig, min(p) as start, max(p) + 1 as stop from g group by contig, start, g""",
     "records",
 )
 def segment_exclude(spark, d) -> DataFrame:
-    points = records(spark, d).where("h % 5 = 0").select("contig", (F.col("part_id") * 3).alias("pos0"))
+    points = records(spark, d).select("contig", (F.col("part_id") * 3).alias("pos0"))
     return intervals.exclude_points(_segments(spark, d).select("contig", "start", "end"), points).select("contig", "start", F.col("end").alias("stop"))
 
 
@@ -115,16 +115,16 @@ def sv_multiplier(kind, homozygous, copies, ploidy: int):
     return F.when(kind == "DEL", F.when(homozygous, 0.0).otherwise((ploidy - 1) / ploidy)).when(kind == "DUP", F.when(homozygous, 2.0).otherwise((ploidy + 1) / ploidy)).when(kind == "CNV", copies / ploidy)
 
 
-@query("~ f as (select contig, start, stop, h from fragments where h % 20 = 0), s as (select contig, pos - 1 x, (1 + id % 4) / 4.0 f from structural where id % 3 = 0) select f.h, count(s.x) junctions, round(coalesce(max(s.f), 0), 6) broken from f left join s on s.contig = f.contig and s.x >= f.start and s.x < f.stop group by f.h", "fragments structural")
+@query("~ f as (select contig, start, stop, h from fragments), s as (select contig, pos - 1 x, (1 + id % 4) / 4.0 f from structural) select f.h, count(s.x) junctions, round(coalesce(max(s.f), 0), 6) broken from f left join s on s.contig = f.contig and s.x >= f.start and s.x < f.stop group by f.h", "fragments structural")
 def fragment_junctions(spark, d) -> DataFrame:
-    f = fragments(spark, d).where("h % 20 = 0").select("contig", "start", "end", "h")
-    s = structural(spark, d).where("id % 3 = 0").select("contig", (F.col("pos") - 1).alias("start"), F.col("pos").alias("end"), ((1 + F.col("id") % 4) / 4.0).alias("f"))
+    f = fragments(spark, d).select("contig", "start", "end", "h")
+    s = structural(spark, d).select("contig", (F.col("pos") - 1).alias("start"), F.col("pos").alias("end"), ((1 + F.col("id") % 4) / 4.0).alias("f"))
     hit = intervals.overlaps(f, s).groupBy("h").agg(F.count("*").alias("junctions"), F.max("r_f").alias("broken"))
     return f.select("h").distinct().join(hit, "h", "left").select("h", F.coalesce("junctions", F.lit(0)).alias("junctions"), r6(F.coalesce("broken", F.lit(0.0))).alias("broken"))
 
 
-@query("~ v as (select contig, pos - 1 p from records where h % 10 = 3) select f.contig, count(*) pairs, count(distinct f.id) fragments from fragments f join v on f.contig = v.contig and v.p >= f.start and v.p < f.stop where f.h % 4 = 0 group by 1", "fragments records")
+@query("~ v as (select contig, pos - 1 p from records) select f.contig, count(*) pairs, count(distinct f.id) fragments from fragments f join v on f.contig = v.contig and v.p >= f.start and v.p < f.stop group by 1", "fragments records")
 def fragment_variants(spark, d) -> DataFrame:
-    f = fragments(spark, d).where("h % 4 = 0").select("contig", "start", "end", "id")
-    v = records(spark, d).where("h % 10 = 3").select("contig", (F.col("pos") - 1).alias("start"), F.col("pos").alias("end"))
+    f = fragments(spark, d).select("contig", "start", "end", "id")
+    v = records(spark, d).select("contig", (F.col("pos") - 1).alias("start"), F.col("pos").alias("end"))
     return intervals.overlaps(f, v).groupBy("contig").agg(F.count("*").alias("pairs"), F.countDistinct("id").alias("fragments"))
