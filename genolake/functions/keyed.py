@@ -33,3 +33,22 @@ def pick(u: Column, cumulative: list[tuple[object, float]]) -> Column:
         at += weight / total
         out = F.when(u <= at, F.lit(value)) if out is None else out.when(u <= at, F.lit(value))
     return out.otherwise(F.lit(cumulative[-1][0]))
+
+
+def lognormal(u: Column, v: Column, mu: float, sigma: float) -> Column:
+    return F.exp(mu + sigma * normal(u, v))
+
+
+def poisson(u: Column, mean: float) -> Column:
+    """The least k whose cumulative probability reaches u. The terms are written out, up to where a double adds no more."""
+    import math
+
+    term = total = math.exp(-mean)
+    k, out = 0, F.lit(0)
+    steps = []
+    while total < 1 - 1e-12 and k < 1000:
+        steps.append((total, k))
+        k += 1
+        term *= mean / k
+        total += term
+    return F.coalesce(F.array_min(F.transform(F.filter(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(i).alias("k")) for c, i in steps]), lambda x: u <= x["c"]), lambda x: x["k"])), F.lit(k)) if steps else out

@@ -78,3 +78,18 @@ def allele_fractions(format: Column, sample: Column, info: Column, n_alts: Colum
     total = F.aggregate(depth, F.lit(0.0), lambda a, x: a + x)
     by_depth = F.when(total > 0, F.transform(F.slice(depth, F.lit(2), n_alts), lambda x: x / total))
     return F.coalesce(whole(numbers(present("AF")), n_alts), whole(numbers(info_value(info, "AF")), n_alts), by_depth)
+
+
+def site_depth(format: Column, sample: Column) -> Column:
+    """The sum of FORMAT/AD; null without one, or if any part of it is no number."""
+    at = F.array_position(F.split(format, ":"), F.lit("AD"))
+    parts = F.transform(F.split(F.when(at > 0, F.get(F.split(sample, ":"), (at - 1).cast("int"))), ","), lambda x: x.try_cast("double"))
+    return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+
+
+def renamed_tags(info: Column, names: dict[str, str]) -> Column:
+    """INFO with tags renamed; their values and order stay."""
+    out = info
+    for old, new in names.items():
+        out = F.regexp_replace(out, rf"(^|;){old}(=|;|$)", f"$1{new}$2")
+    return out

@@ -130,3 +130,30 @@ def naming_mismatch(bed: DataFrame, contigs: DataFrame, sample: int = 5) -> Data
     gone = bed.select("contig").distinct().join(contigs.select("contig").distinct(), "contig", "left_anti")
     first = gone.orderBy("contig").limit(sample).agg(F.array_join(F.array_sort(F.collect_list("contig")), ",").alias("sample"))
     return gone.agg(F.count("*").alias("n_unmatched")).join(F.broadcast(first))
+
+
+def gated(bins: DataFrame, most: float = 0.10) -> DataFrame:
+    """deciles() as they are, or an error if more than `most` of the planted alleles went unscored: a mean error over the rest would
+    be one over a part of them only."""
+    total = bins.agg((F.sum("unscored") / F.sum("planted")).alias("share"))
+    ok = F.when(F.coalesce("share", F.lit(0.0)) <= most, True).otherwise(F.raise_error(F.format_string("%.1f %% of the planted alleles went unscored", F.col("share") * 100)).cast("boolean"))
+    return bins.join(F.broadcast(total.select(ok.alias("ok")))).where("ok").drop("ok")
+
+
+def in_truth_order(merged: DataFrame, contigs: DataFrame) -> DataFrame:
+    """merged records with `place` in their contig: by position, then as they came (seq_no). contigs: (contig, ord), in order of first sight."""
+    w = Window.partitionBy("contig").orderBy("pos", "seq_no")
+    return merged.join(F.broadcast(contigs), "contig").withColumn("place", F.row_number().over(w) - 1)
+
+
+def first_at_position(records: DataFrame, order: list[str]) -> DataFrame:
+    """The first record of each (contig, pos) by `order`. Aggregated before the shuffle, so a crowded position is no hot task."""
+    rest = [c for c in records.columns if c not in ("contig", "pos", *order)]
+    g = records.groupBy("contig", "pos").agg(F.min(F.struct(*order, *rest)).alias("r"))
+    return g.select("contig", "pos", "r.*").select(records.columns)
+
+
+def planted_inputs(germline: DataFrame, somatic: DataFrame, purity: float) -> DataFrame:
+    """Both inputs' records (key, af) with their provenance; a somatic fraction is that of the tumor cells, so purity scales it."""
+    g = germline.withColumn("provenance", F.lit("input"))
+    return g.unionByName(somatic.withColumn("af", F.col("af") * purity).withColumn("provenance", F.lit("somatic_input")))

@@ -102,12 +102,14 @@ def median_and_mad(hist: DataFrame, column: str) -> DataFrame:
     return median.join(F.broadcast(histogram_quantile(dev, "dev", 0.5).withColumnRenamed("x", "mad")))
 
 
-def trimmed(hist: DataFrame, column: str, factor: float = 10.0, mass: float = 1e-5) -> DataFrame:
-    """hist up to median + factor * MAD (all of it if the MAD is 0), without ends that hold less than `mass` of the total."""
+def trimmed(hist: DataFrame, column: str, factor: float = 10.0, mass: float = 1e-5, min_reads: int = 2) -> DataFrame:
+    """A total under min_reads is refused. hist up to median + factor * MAD (all of it if the MAD is 0), without ends that hold less than `mass` of the total."""
     h = hist.join(F.broadcast(median_and_mad(hist, column))).where((F.col("mad") == 0) | (F.col(column) <= F.col("median") + F.lit(factor) * F.col("mad")))
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     up, down = F.sum("n").over(Window.orderBy(column)), F.sum("n").over(Window.orderBy(F.col(column).desc()))
     h = h.withColumn("total", total).withColumn("up", up).withColumn("down", down)
+    enough = F.when(F.sum("n").over(Window.partitionBy(F.lit(0))) >= min_reads, True).otherwise(F.raise_error(F.lit("too few reads")).cast("boolean"))
+    h = h.withColumn("enough", enough).where("enough")
     return h.where((F.col("up") >= mass * F.col("total")) & (F.col("down") >= mass * F.col("total"))).select(column, "n")
 
 

@@ -59,3 +59,11 @@ def vcf_rules(contigs: list[str], info_keys: list[str], integers: list[str]) ->
         ("ERROR", "info_type", F.exists(items, lambda x: key(x).isin(*integers) & value(x).try_cast("long").isNull())),
         ("WARNING", "contig_not_declared", ~c("contig").isin(*contigs)),
     ]
+
+
+def verdicts(found: DataFrame, files: DataFrame, by: str = "file") -> DataFrame:
+    """(by, errors, warnings, passed) of every file (by), from the findings of all its rules; one without an error passes."""
+    of = lambda s: F.sum(F.when(F.col("severity") == s, 1).otherwise(0))
+    g = found.groupBy(by).agg(of("ERROR").alias("errors"), of("WARNING").alias("warnings"))
+    out = files.select(by).distinct().join(g, by, "left").fillna(0, ["errors", "warnings"])
+    return out.withColumn("passed", F.col("errors") == 0)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import compare, fit, formats, generate, realism, segments
+from .plans import compare, files, fit, formats, generate, reads, realism, segments
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _plan in (compare, segments, fit, realism, generate, formats):
+for _plan in (compare, segments, fit, realism, generate, formats, files, reads):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES

@@ -51,6 +51,46 @@ def write_vcf(records: DataFrame, path: str, contigs: list[tuple[str, int]], par
     lines.repartitionByRange(parts, "ord", "pos").sortWithinPartitions("ord", "pos", "value").select("value").write.mode("errorifexists").text(f"{path}/records")
 
 
+def write_fasta(contigs: DataFrame, path: str, width: int = 60) -> None:
+    """A header line and lines of `width` bases for each contig (contig, seq)."""
+    cut = F.array_join(F.regexp_extract_all("seq", F.lit(f"(.{{1,{width}}})"), 1), "\n")
+    contigs.select(F.concat(F.lit(">"), F.col("contig"), F.lit("\n"), cut).alias("value")).write.mode("errorifexists").text(path)
+
+
+def tagged_fastq(reads: DataFrame, tag: str) -> DataFrame:
+    """reads with their names under a tag, so that several sets can be one."""
+    return reads.withColumn("name", F.concat(F.lit(f"{tag}_"), F.col("name")))
+
+
+def missed_lines(records: DataFrame, reasons: Column) -> DataFrame:
+    """(contig, pos, value): VCF lines of records (contig, pos, ref, alt) with their reasons in INFO."""
+    info = F.concat(F.lit("REASON="), F.array_join(reasons, ","))
+    return records.select("contig", "pos", F.concat_ws("\t", "contig", F.col("pos").cast("string"), F.lit("."), "ref", "alt", F.lit("."), F.lit("PASS"), info, F.lit("GT"), F.lit("0/1")).alias("value"))
+
+
+def missed_header(inherited: list[str], contigs: list[str]) -> list[str]:
+    """The source's declarations, and those of the reasons, the genotype and of contigs that it lacks."""
+    out = [x for x in inherited if x.startswith("##")] or ["##fileformat=VCFv4.3"]
+    held = "\n".join(out)
+    # The VCF format's header lines.
+    own = [("INFO=<ID=REASON,", '##INFO=<ID=REASON,Number=.,Type=String,Description="Why the record was missed">'), ("FORMAT=<ID=GT,", '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">')]
+    out += [line for mark, line in own if mark not in held]
+    out += [f"##contig=<ID={c}>" for c in dict.fromkeys(contigs) if f"##contig=<ID={c}," not in held and f"##contig=<ID={c}>" not in held]
+    return [*out, "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tSAMPLE"]
+
+
+def report_lines(metrics: DataFrame) -> DataFrame:
+    """(contig, value): a line of the text report for each row of the comparison's metrics, ratios to four places or n/a."""
+    share = lambda c: F.when(F.col(c).isNull(), "n/a").otherwise(F.format_string("%.4f", c))
+    return metrics.select("contig", F.concat_ws("\t", "contig", *[F.col(c).cast("string") for c in ("tp", "fn", "fp")], share("precision"), share("recall"), share("f1")).alias("value"))
+
+
+def write_report(metrics: DataFrame, path: str) -> None:
+    """The metrics as JSON lines and as text. They are a row a contig."""
+    metrics.coalesce(1).write.mode("errorifexists").json(f"{path}/json")
+    report_lines(metrics).coalesce(1).sortWithinPartitions(F.col("contig") == "TOTAL", "contig").select("value").write.mode("errorifexists").text(f"{path}/txt")
+
+
 def with_tag(info: Column, key: str, value: Column) -> Column:
     """INFO with a tag appended, in place of its older value."""
     kept = F.filter(F.split(F.coalesce(info, F.lit(".")), ";"), lambda x: (x != ".") & (x != "") & ~x.startswith(f"{key}="))

@@ -5,19 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..staging import join_small, staged
+
+
+#: Lines of a file over which one task sums.
+LINES = 1_000_000
+
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, text): lines in file order. monotonically_increasing_id orders the lines of a file across its splits, and
-    line_no counts from 0 within the file."""
-    t = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
-    return t.withColumn("line_no", (F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1).cast("long")).drop("at")
+    """(file, line_no, text): lines in file order, from 0 in each file. A split's lines are numbered where they are read; what lies
+    before a split is the sum of the counts of the file's earlier splits, a row each."""
+    t = spark.read.text(path).select(F.input_file_name().alias("file"), F.spark_partition_id().alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
+    counts = t.groupBy("file", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    counts = staged(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "splits")
+    return join_small(t, counts, ["file", "split"], "inner").select("file", (F.col("before") + F.col("at") - F.col("first")).alias("line_no"), "text")
+
+
+def _running(lines: DataFrame, value: Column, name: str) -> DataFrame:
+    """lines (file, line_no, ...) with the running sum of value in each file, LINES at a time."""
+    t = lines.withColumn("block", F.floor(F.col("line_no") / LINES)).withColumn(name, value.cast("long"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = t.groupBy("file", "block").agg(F.sum(name).alias("own")).select("file", "block", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("before"))
+    within = F.sum(name).over(Window.partitionBy("file", "block").orderBy("line_no"))
+    return t.withColumn(name, within).join(sums, ["file", "block"]).withColumn(name, F.col(name) + F.col("before")).drop("block", "before")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(contig, ord, seq): the name is the header's first token. Text before the first header is refused."""
     t = numbered(spark, path).where("text != ''")
     name = F.when(F.col("text").startswith(">"), F.regexp_extract("text", r"^>\s*(\S+)", 1))
-    t = t.withColumn("ord", F.sum(F.col("text").startswith(">").cast("int")).over(Window.partitionBy("file").orderBy("line_no"))).withColumn("name", name)
+    t = _running(t, F.col("text").startswith(">"), "ord").withColumn("name", name)
     t = t.withColumn("ok", F.when(F.col("ord") == 0, F.raise_error(F.lit("not FASTA: text before the first header"))).otherwise(True).cast("boolean"))
     lines = F.array_sort(F.collect_list(F.when(F.col("name").isNull() & F.col("ok"), F.struct("line_no", "text"))))
     g = t.groupBy("file", "ord").agg(F.max("name").alias("contig"), lines.alias("lines"))
@@ -28,7 +46,7 @@ def fasta_lengths(spark: SparkSession, path: str) -> DataFrame:
     """(contig, length) without putting sequences together."""
     t = numbered(spark, path)
     head = F.col("text").startswith(">")
-    t = t.withColumn("ord", F.sum(head.cast("int")).over(Window.partitionBy("file").orderBy("line_no")))
+    t = _running(t, head, "ord")
     g = t.groupBy("file", "ord").agg(F.max(F.when(head, F.regexp_extract("text", r"^>\s*(\S+)", 1))).alias("contig"), F.sum(F.when(head, 0).otherwise(F.length(F.trim("text")))).alias("length"))
     return g.select("contig", "length")
 
@@ -77,6 +95,11 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     return r.select("file", "record", whole.alias("name"), "seq", "quality")
 
 
+def count_fastq(spark: SparkSession, path: str) -> int:
+    """Records of FASTQ files, from the number of lines alone."""
+    return spark.read.text(path).count() // 4
+
+
 def fragment_of_name(name: Column) -> Column:
     """struct(start, end, uniq) from the last three `_` parts of a read's name."""
     p = lambda i: F.regexp_extract(name, r"_(\d+)_(\d+)_([^_/]+)(?:/[12])?$", i)
