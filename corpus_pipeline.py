@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from genolake.llm.common import staged, table
+from genolake.llm.common import discard, staged, table
 from genolake.llm.decontamination import without_leaks
 from genolake.llm.jaccard_join import without_near_copies
 from genolake.llm.line_dedup import without_boilerplate
@@ -45,7 +45,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, done = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
+        discard(*done)
+        done = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
