@@ -3,7 +3,7 @@
 import numpy as np
 import zlib
 
-from genolake.llm.embedding import BUCKETS, letter_ngrams, train, words_and_ngrams
+from genolake.llm.embedding import BUCKETS, Model, letter_ngrams, scorer, train, words_and_ngrams
 from genolake.llm.language_id import identify
 from genolake.llm.quality_classifier import classify_quality
 
@@ -66,3 +66,16 @@ def test_features_count_all_of_a_text():
     text = np.frombuffer(("ab cd " * 200_000).encode(), np.uint8)
     assert letter_ngrams(text).sum() == 3 * len(text) - (1 + 2 + 3)
     assert words_and_ngrams(np.frombuffer(b"a a b a", np.uint8))[-2:].tolist() == [1, 1]
+
+
+def test_scores_are_the_softmax_of_averages():
+    """The scorer against a plain loop: the mean of the features' rows, plus the bias, over the temperature, as a softmax."""
+    rng = np.random.default_rng(2)
+    for features, width in ((letter_ngrams, BUCKETS), (words_and_ngrams, 2 * BUCKETS + 2)):
+        model = Model(["a", "b", "c"], rng.normal(0, 3, (width, 3)).astype(np.float32), np.array([0.1, -0.2, 0.3], np.float32), 1.7)
+        score = scorer(model, features)
+        for text in ("", "x", "the river the river", prose(300, 4), "é ß 12 ###"):
+            counts = features(np.frombuffer(text.encode(), np.uint8))
+            mean = sum((int(n) * model.table[i].astype(float) for i, n in enumerate(counts) if n), np.zeros(3)) / max(int(counts.sum()), 1)
+            logits = [np.exp((m + b) / 1.7) for m, b in zip(mean, model.bias, strict=True)]
+            assert np.allclose(score(np.frombuffer(text.encode(), np.uint8)), np.array(logits) / sum(logits), atol=1e-5)

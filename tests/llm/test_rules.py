@@ -1,11 +1,12 @@
 """Quality rules, line dedup and the pipeline's filters."""
 
+import math
 import re
 
 from genolake.llm.line_dedup import drop_boilerplate, without_boilerplate
-from genolake.llm.quality_rules import judge, keep_good
+from genolake.llm.quality_rules import CLASS_CHARS, CLASS_DISTANCE, WORD_COUNT, WORD_DISTANCE, WORDS, judge, keep_good
 
-from .fixtures import ODD, WORD, docs, prose
+from .fixtures import DOCS, ODD, WORD, docs, prose
 
 
 def counts(text):
@@ -62,3 +63,39 @@ def test_share_is_by_host(spark):
     assert kept.where(f"{removed} > 0").count() == 0
     kept, removed = drop_boilerplate(df, host="host", ratio=0.3, least=5)
     assert kept.where(f"{removed} > 0").count() == 12
+
+
+def distance(p, q):
+    bits = lambda x, y: sum(a * math.log2(a / b) for a, b in zip(x, y, strict=True) if a > 0)
+    m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+    return math.sqrt(max(0.0, (bits(p, m) + bits(q, m)) / 2))
+
+
+def test_distances_and_verdicts_as_brute_force(spark):
+    """Histograms, references by language and Jensen-Shannon distances, written out."""
+    texts = [prose(160, s) for s in range(8)] + ["### ".join(prose(150, 90).split()) + "***", "1234 5678 " * 2 + " ".join(str(i * 7919) for i in range(150)), "short but fine " + prose(12, 3), prose(130, 41).upper(), None, ""]
+    rows = [(i, t, "en" if i % 2 else None, "s", 1, "k", 1) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in judge(spark.createDataFrame(rows, DOCS), ["doc_id"]).collect()}
+    patterns = ["[a-z]", r"[\x20\x09-\x0D]", r"[#*$%&|<>]", "[A-Z]", r"[.,;:!?'\"()-]", "[0-9]"]
+    chars = lambda t: (c := [len(re.findall(p, t)) for p in patterns]) + [len(t) - sum(c)]
+
+    def common(t):
+        w = [x.lower() for x in WORD.findall(t)]
+        c = [w.count(x) for x in WORDS]
+        return [*c, len(w) - sum(c)]
+
+    share = lambda c: [x / max(sum(c), 1) for x in c]
+    references = []
+    for lang in (0, 1):
+        own = [t or "" for i, t in enumerate(texts) if i % 2 == lang and not got[i].base_failed]
+        references.append(tuple(share([sum(x) for x in zip(*map(f, own), strict=True)]) for f in (chars, common)))
+    for i, t in enumerate(texts):
+        r, n = got[i], len(WORD.findall(t or ""))
+        if not n:
+            assert not r.kept
+            continue
+        of_chars, of_words = (min(distance(share(f(t)), ref[k]) for ref in references) for k, f in enumerate((chars, common)))
+        assert abs(r.class_distance - of_chars) < 1e-6 and abs(r.word_distance - of_words) < 1e-6, i
+        fits = (r.word_chars < CLASS_CHARS or of_chars <= CLASS_DISTANCE) and (n < WORD_COUNT or of_words <= WORD_DISTANCE)
+        assert r.kept == (fits and not r.base_failed)
+    assert {got[i].kept for i in (8, 9)} == {False}
