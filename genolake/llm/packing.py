@@ -14,8 +14,8 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, join_small, ship, staged, text_column
 
-#: Words a worker remembers, with their ids.
-WORDS = 600_000
+#: Pieces without letters that a worker remembers, with their ids.
+SIGNS = 100_000
 #: Bytes of text that a worker splits at once.
 TEXT_AT_ONCE = 24 << 20
 #: Rests in a shard of the index; up to twice as many where rests that belong together would be parted.
@@ -69,22 +69,22 @@ def _letter_coder(path: str) -> Callable[[bytes], list[int]] | None:
         ends = piece.endswith("</w>")
         raw = bytes(byte[c] for c in (piece[:-4] if ends else piece))
         if raw and all(97 <= b <= 122 or b >= 128 for b in raw) and (not ends or raw[-1] < 192):
-            ranks[raw[:-1] + _LAST[raw[-1]] if ends else raw] = rank
+            ranks[raw[:-1] + bytes([_LAST[raw[-1]]]) if ends else raw] = rank
     coder = tiktoken.Encoding("letters", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
     return getattr(getattr(coder, "_core_bpe", None), "encode_single_piece", None)
 
 
 #: How a word's last byte is written.
-_LAST = [bytes([b - 32 if 97 <= b <= 122 else b - 128 if 128 <= b <= 191 else b]) for b in range(256)]
+_LAST = np.array([b - 32 if 97 <= b <= 122 else b - 128 if 128 <= b <= 191 else b for b in range(256)], np.uint8)
 
 
 #: What often ends a word.
-_STOPS = (".", ",")
+_STOPS = ".,"
 
 
-class WordIds(dict):
-    """Ids of white-space separated lower-case words: those of the tokenizer, whose pieces never cross white space. It is asked itself
-    for all but words of letters."""
+class WordIds:
+    """Ids of lower-case words without white space: those of the tokenizer, whose pieces never cross white space. It is asked itself
+    for all pieces but words of letters."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -92,57 +92,67 @@ class WordIds(dict):
 
         self.encode = Tokenizer.from_file(path).encode
         self.letters = _letter_coder(path)
-        self.pieces: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def coded(self, words: list[str]) -> list[bytes]:
-        """The ids of words of letters."""
+        self.signs: dict[str, list[int]] = {}
+
+    def ids(self, text: str) -> list[int]:
+        return self.encode(text, add_special_tokens=False).ids
+
+    def pieces(self, pieces: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """The ids of each piece, as bytes."""
+        alpha = pc.utf8_is_alpha(pieces).to_numpy(zero_copy_only=False)
+        words, signs = pieces.filter(pa.array(alpha)), pieces.filter(pa.array(~alpha)).to_pylist()
+        if len(self.signs) > SIGNS:
+            self.signs.clear()
+        self.signs.update((p, self.ids(p)) for p in signs if p not in self.signs)
+        ids = []
         if self.letters is None:
-            return [self.ids(w) for w in words]
-        letters, last = self.letters, _LAST
-        return [array("I", letters(raw[:-1] + last[raw[-1]])).tobytes() for raw in map(str.encode, words)]
-
-    def piece(self, piece: str) -> bytes:
-        if piece.isalpha():
-            return self.coded([piece])[0]
-        if piece not in self.pieces:
-            if len(self.pieces) >= WORDS:
-                self.pieces.clear()
-            self.pieces[piece] = self.ids(piece)
-        return self.pieces[piece]
-
-    def learn(self, words: list[str]) -> None:
-        """Takes up the words that it doesn't know."""
-        if len(self) >= WORDS:
-            self.clear()
-        new = [w for w in words if w not in self]
-        plain = [w for w in new if w.isalpha()]
-        self.update(zip(plain, self.coded(plain), strict=True))
-        stopped = [w for w in new if w[-1:] in _STOPS and w[:-1].isalpha()]
-        bases = [w for w in dict.fromkeys(w[:-1] for w in stopped) if w not in self]
-        base = dict(zip(bases, self.coded(bases), strict=True))
-        stop = {x: self.piece(x) for x in _STOPS}
-        self.update((w, (base.get(w[:-1]) or self[w[:-1]]) + stop[w[-1]]) for w in stopped)
-        self.update((w, b"".join(map(self.piece, _PIECES(w)))) for w in new if w not in self)
+            ids += [self.ids(p) for p in words.to_pylist()]
+        elif len(words):
+            data, starts, ends = text_column(words)
+            data = data[starts[0] : ends[-1]].copy()
+            data[ends - starts[0] - 1] = _LAST[data[ends - starts[0] - 1]]
+            offsets = pa.py_buffer(np.append(starts, ends[-1]) - starts[0])
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, offsets, pa.py_buffer(data)])
+            ids += [self.letters(x) for x in raw.to_numpy(zero_copy_only=False)]
+        ids += [self.signs[p] for p in signs]
+        edges = np.cumsum([0, *map(len, ids)]) * 4
+        flat = np.fromiter(chain.from_iterable(ids), "<u4", edges[-1] // 4)
+        sorted_ = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(edges), pa.py_buffer(flat)])
+        return sorted_.take(pa.array(np.argsort(np.argsort(~alpha, kind="stable"))))  # words of letters stand first in it
+
+    def words(self, words: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """The ids of each word, as bytes. Each piece that they hold is coded once."""
+        if not len(words):
+            return words.cast(pa.large_binary())
+        base = pc.ascii_rtrim(words, _STOPS)
+        stops = pc.subtract(pc.binary_length(words), pc.binary_length(base)).to_numpy()
+        plain = pc.utf8_is_alpha(base).to_numpy(zero_copy_only=False) & (stops <= 1)
+        split = [_PIECES(w) for w in words.filter(pa.array(~plain)).to_numpy(zero_copy_only=False)]
+        counts = np.where(plain, 1 + stops, 0)
+        counts[~plain] = list(map(len, split))
+        edges = np.append(0, np.cumsum(counts))
+        coded = pa.concat_arrays([base.filter(pa.array(plain)), pa.array([*chain.from_iterable(split), *_STOPS], pa.large_string())]).dictionary_encode()
+        codes = coded.indices.to_numpy()
+        at = np.zeros(edges[-1], codes.dtype)
+        once, stopped, other = np.flatnonzero(plain), np.flatnonzero(plain & (stops == 1)), np.repeat(~plain, counts)
+        at[edges[once]] = codes[: len(once)]
+        data, _, ends = text_column(words)
+        at[edges[stopped] + 1] = np.where(data[ends[stopped] - 1] == ord(_STOPS[0]), codes[-2], codes[-1])
+        at[other] = codes[len(once) : -2]
+        found = self.pieces(coded.dictionary).take(pa.array(at))
+        offsets = np.frombuffer(found.buffers()[1], np.int64)[edges]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(offsets), found.buffers()[2]])
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. Special strings count as such to the tokenizer, and on rare code points its view of letters, white
-        space and composition may differ from Python's: such texts go to it whole. Of the others, each word is looked up once."""
+        space and composition may differ from Python's: such texts go to it whole. Of the others, each word is coded once."""
         plain = [bool(_PLAIN(t)) and "<|" not in t for t in texts]
         split = pc.ascii_split_whitespace(pa.array([t.lower() if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string()))
         coded = split.values.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self.learn(words)
-        ids = [self[w] for w in words]
-        pool, lengths = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        codes = coded.indices.to_numpy()
-        n = lengths[codes]
-        ends = np.cumsum(n)
-        at = np.repeat((np.cumsum(lengths) - lengths)[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-        stream, edges = pool[at], np.concatenate([[0], ends])[split.offsets.to_numpy()]
-        return [stream[a:b] if p else np.frombuffer(self.ids(t), "<u4") for t, p, a, b in zip(texts, plain, edges.tolist(), edges[1:].tolist(), strict=False)]
+        found = self.words(coded.dictionary).take(coded.indices)
+        stream, ends = text_column(found.view(pa.large_string()))[0].view("<u4"), np.frombuffer(found.buffers()[1], np.int64)
+        edges = (ends[split.offsets.to_numpy()] // 4).tolist() if len(found) else [0] * (len(texts) + 1)
+        return [stream[a:b] if p else np.array(self.ids(t), "<u4") for t, p, a, b in zip(texts, plain, edges, edges[1:], strict=False)]
 
     def text(self, text: str) -> bytes:
         return self.texts([text])[0].tobytes()
