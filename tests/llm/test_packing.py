@@ -28,6 +28,11 @@ def test_word_ids_are_the_tokenizers():
     for t in texts:
         assert ids.text(t) == np.array(encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t[:60]
 
+    assert [x.tolist() for x in ids.texts(texts)] == [encode(t, add_special_tokens=False).ids for t in texts]  # words and pieces shared by texts
+    ids.letters = None  # as where the coding package offers no coder of single pieces
+    assert [x.tolist() for x in ids.texts(texts)] == [encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.texts([]) == [] and [len(x) for x in ids.texts(["", " \n"])] == [0, 0]
+
 
 def check(rows, texts, window):
     encode = Tokenizer.from_file(tokenizer_path()).encode
