@@ -13,12 +13,15 @@ with it, and what lies in the shell around a ball is compared with the part of t
 The other documents go to the Voronoi regions of the pivots, those near a border to both sides (windows of twice the
 threshold), and each region is joined likewise. All links come from exact intersection sizes.
 
+A region too large for one task takes pivots as a whole, its members being many tasks: those in connected balls are its closed part,
+and only the members outside of it are compared with all others. So a family of near copies costs its size, not its square.
+
 Whole-corpus document pivots were tried first and give no regions: unrelated texts are at distances of 0.95 to 1 from
 every pivot, so that each window holds every document."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ from .components import components
 from .hashing import mix, shingle_set, word_hashes
 
 RING = 1.5
-#: Shingles that one region's task holds; a larger region is dealt out as pairs of blocks.
+#: Shingles that one region's task holds; of a larger region, what pivots' balls leave apart is dealt out as pairs of blocks.
 REGION_SHINGLES = 4_000_000
 #: Documents of a group of cells that one task compares by their coordinates; a larger group is dealt out likewise.
 CELL_MEMBERS = 16_384
@@ -39,6 +42,8 @@ CELL_MEMBERS = 16_384
 ROWS_OUT = 100_000
 #: Pivots of a region at most.
 PIVOTS = 4
+#: Turns in which a heavy region takes so many pivots for its closed part.
+TURNS = 4
 #: One in so many texts (by hash) tells which cells are hot: those with HOT_SEEN sets or more among these texts.
 HOT_ONE_IN, HOT_SEEN = 64, 32
 #: Parts of a hot cell.
@@ -134,19 +139,17 @@ def _describe(k: int, percent: int):
 def _near(percent: int):
     """Links the members of each group of cells whose coordinates let them be partners; a spanning forest of these links."""
 
-    def links(nodes: dict[int, tuple[int, bytes]]) -> list[tuple[int, int]]:
+    def links(nodes: dict[int, tuple[int, bytes, bool]]) -> list[tuple[int, int]]:
         if len(nodes) < 2:
             return []
         if len(nodes) == 2:
-            (a, (n, x)), (b, (m, y)) = nodes.items()
-            parts = min(len(x), len(y))
-            apart = int(np.abs(folded(x, parts) - folded(y, parts)).sum())
-            return [(a, b)] if 100 * min(n, m) >= percent * max(n, m) and apart * (100 + percent) <= (100 - percent) * (n + m) else []
+            (a, (n, x, _)), (b, (m, y, _)) = nodes.items()
+            return [(a, b)] if _may_link(n, x, m, y, percent) else []
         names = np.array(sorted(nodes, key=lambda x: nodes[x][0]), np.int64)
         sizes = np.array([nodes[x][0] for x in names.tolist()], np.int64)
-        parts = min(len(c) for _, c in nodes.values())
+        parts = min(len(c) for _, c, _ in nodes.values())
         at = np.stack([folded(nodes[x][1], parts) for x in names.tolist()])
-        label, out = np.arange(len(names)), []
+        label, out = np.where([nodes[x][2] for x in names.tolist()], -1, np.arange(len(names))), []
         last = np.searchsorted(sizes, 100 * sizes // percent, side="right")
         for i in range(len(names) - 1):
             others = np.flatnonzero(label[i + 1 : last[i]] != label[i]) + i + 1
@@ -162,25 +165,111 @@ def _near(percent: int):
         now, nodes = None, {}
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for *key, node, n, coords in zip(*(batch.column(c).to_pylist() for c in ("region", "x", "y", "node", "n_shingles", "coords")), strict=True):
+            for *key, node, n, coords, closed in zip(*(batch.column(c).to_pylist() for c in ("region", "x", "y", "node", "n_shingles", "coords", "closed")), strict=True):
                 if key != now:
                     found += links(nodes)
                     now, nodes = key, {}
-                nodes[node] = (n, coords)
+                nodes[node] = (n, coords, closed)
             yield _pairs(found)
         yield _pairs(links(nodes))
 
     return run
 
 
-def _deal(members: DataFrame, weight: str, most: int, name: str) -> DataFrame:
-    """members (region, node, ...) with (x, y), the part of the region's work they go to: (0, 0), or, in a region of more than `most`
-    by weight, each pair of blocks that holds the member's own. Blocks are half as heavy, so a pair weighs as much as a region may."""
-    heavy = members.groupBy("region").agg(F.ceil(F.sum(weight) / F.lit(most)).cast("int").alias("blocks")).where("blocks > 1")
-    dealt = join_small(members, staged(heavy, name), ["region"], "left")
-    dealt = dealt.withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), 2 * F.col("blocks")).cast("int")).otherwise(0))
-    dealt = dealt.withColumn("other", F.explode(F.expr("case when blocks > 1 then sequence(0, 2 * blocks - 1) else array(0) end")))
-    return dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("own", "other", "blocks")
+def _heavy(members: DataFrame, weight: str, most: int, name: str) -> DataFrame:
+    """(region) of those that weigh more than a task may hold."""
+    return staged(members.groupBy("region").agg(F.sum(weight).alias("w")).where(F.col("w") > most).select("region"), name)
+
+
+def _closed(members: DataFrame, in_balls: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """members (staged): (region, node, ...) of heavy regions. Returns (region, node) of each region's closed part, and links (a, b).
+
+    Some members are pivots, and in_balls(members, pivots) gives (region, node, pivot) for members linked with one. Pivots of the next
+    turn come from those in no ball yet. Balls that share a member are one component; each region's largest is its closed part, of
+    which no two members need comparing. The members of one region are many tasks throughout."""
+    names, balls, turns = members.select("region", "node"), None, []
+    left = names
+    for turn in range(TURNS):
+        seeds = [F.min(F.struct(F.xxhash64("node", F.lit(turn * PIVOTS + i)).alias("h"), "node"))["node"] for i in range(PIVOTS)]
+        picks = staged(left.groupBy("region").agg(F.array_distinct(F.array(*seeds)).alias("p")).select("region", F.explode("p").alias("node")), "picks")
+        pivots = staged(join_small(members, picks, ["region", "node"], "inner"), "pivots")
+        found = staged(in_balls(members, pivots), "balls")
+        discard(picks, pivots, *([left] if turn else []))
+        turns.append(found)
+        balls = found if balls is None else balls.union(found)
+        left = staged(names.join(balls.select("region", "node").distinct(), ["region", "node"], "left_anti"), "left")
+        if left.isEmpty():
+            break
+    links = staged(balls.select(F.col("node").alias("a"), F.col("pivot").alias("b")).where("a != b").distinct(), "ball_links")
+    discard(left, *turns)
+    roots = staged(names.join(components(links), "node", "left").select("region", "node", F.coalesce("root", "node").alias("root")), "ball_roots")
+    largest = staged(roots.groupBy("region", "root").agg(F.count("*").alias("n")).groupBy("region").agg(F.max(F.struct("n", "root"))["root"].alias("root")), "largest")
+    closed = staged(join_small(roots, largest, ["region", "root"], "inner").select("region", "node"), "closed")
+    discard(roots, largest)
+    return closed, links
+
+
+def _deal(members: DataFrame, weight: str, most: int, heavy: DataFrame, closed: DataFrame | None) -> DataFrame:
+    """closed: None if no region is heavy. members (region, node, ...) with closed and (x, y), the part of the region's work they go to: (0, 0), or, in a heavy region, each
+    pair of blocks that holds the member's own, but for pairs of two closed blocks, whose members are linked already. Blocks are half as
+    heavy as a region may be, so a pair weighs as much."""
+    if closed is None:
+        return members.withColumn("closed", F.lit(False)).withColumn("x", F.lit(0)).withColumn("y", F.lit(0))
+    flagged = members.join(closed.withColumn("closed", F.lit(True)), ["region", "node"], "left").withColumn("closed", F.coalesce("closed", F.lit(False)))
+    weigh = lambda which: F.ceil(2 * F.sum(F.when(which, F.col(weight)).otherwise(0)) / F.lit(most)).cast("int")
+    blocks = join_small(flagged, heavy, ["region"], "left_semi").groupBy("region").agg(weigh(F.col("closed")).alias("shut"), weigh(~F.col("closed")).alias("open"))
+    dealt = join_small(flagged, staged(blocks, "blocks"), ["region"], "left")
+    dealt = dealt.withColumn("own", F.expr("case when open is null then 0 when closed then pmod(xxhash64(node), shut) else shut + pmod(xxhash64(node), open) end").cast("int"))
+    others = "case when open is null then array(0) when closed and open = 0 then cast(array() as array<int>) when closed then sequence(shut, shut + open - 1) else sequence(0, shut + open - 1) end"
+    dealt = dealt.withColumn("other", F.explode(F.expr(others)))
+    return dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("own", "other", "shut", "open")
+
+
+def _near_pivots(percent: int):
+    """(region, node, pivot) for rows of a member beside a pivot whose coordinates let them be partners."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, x, y = (batch.column(c).to_pylist() for c in ("n_shingles", "pivot_n", "coords", "pivot_coords"))
+            hit = [_may_link(n[i], x[i], m[i], y[i], percent) for i in range(len(n))]
+            yield batch.select(["region", "node", "pivot"]).filter(pa.array(hit, pa.bool_()))
+
+    return run
+
+
+def _may_link(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
+    parts = min(len(x), len(y))
+    apart = int(np.abs(folded(x, parts) - folded(y, parts)).sum())
+    return 100 * min(n, m) >= percent * max(n, m) and apart * (100 + percent) <= (100 - percent) * (n + m)
+
+
+def _cell_balls(percent: int) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    def run(members: DataFrame, pivots: DataFrame) -> DataFrame:
+        beside = pivots.select("region", F.col("node").alias("pivot"), F.col("n_shingles").alias("pivot_n"), F.col("coords").alias("pivot_coords"))
+        return join_small(members, beside, ["region"], "inner").mapInArrow(_near_pivots(percent), "region long, node long, pivot long")
+
+    return run
+
+
+def _set_balls(percent: int) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    def run(members: DataFrame, pivots: DataFrame) -> DataFrame:
+        beside = pivots.select("region", F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles"))
+        both = join_small(members, beside, ["region"], "inner").withColumn("both", F.size(F.array_intersect("shingles", "pivot_shingles")))
+        return both.where(100 * F.col("both") >= percent * (F.size("shingles") + F.size("pivot_shingles") - F.col("both"))).select("region", "node", "pivot")
+
+    return run
+
+
+def _sets(k: int):
+    """(region, node, shingles) from (region, node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, starts, ends = text_column(batch.column("text"))
+            sets = [shingle_set(word_hashes(data[a:b]), k).view(np.int64) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["region", "node", "shingles"])
+
+    return run
 
 
 class _Forest:
@@ -296,24 +385,28 @@ class _Region:
 
 
 def _join_regions(k: int, percent: int):
-    def links(nodes: dict[int, np.ndarray]) -> list[tuple[int, int]]:
+    def links(nodes: dict[int, tuple[np.ndarray, bool]]) -> list[tuple[int, int]]:
         names = sorted(nodes)
         if len(names) < 2:
             return []
-        return [(names[i], names[r]) for i, r in enumerate(_Region([nodes[x] for x in names], percent).roots()) if r != i]
+        region = _Region([nodes[x][0] for x in names], percent)
+        shut = [i for i, x in enumerate(names) if nodes[x][1]]
+        if shut:
+            region.link(shut[0], np.array(shut))
+        return [(names[i], names[r]) for i, r in enumerate(region.roots()) if r != i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes = None, {}
         for batch in batches:
             data, starts, ends = text_column(batch.column("text"))
             found: list[tuple[int, int]] = []
-            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("region", "x", "y")), strict=True)):
+            for i, (*key, closed) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("region", "x", "y", "closed")), strict=True)):
                 if key != now:
                     found += links(nodes)
                     now, nodes = key, {}
                 shingles = shingle_set(word_hashes(data[starts[i] : ends[i]]), k)
                 if len(shingles):
-                    nodes[_set_hash(shingles)] = shingles
+                    nodes[_set_hash(shingles)] = (shingles, closed)
             yield _pairs(found)
         yield _pairs(links(nodes))
 
@@ -368,18 +461,33 @@ def _components(docs: DataFrame, k: int, percent: int, region_shingles: int = RE
     groups = flat.where("n_shingles is null and hot is null").select("region", "node").union(join_small(in_hot, regions, ["hot"], "inner").select("region", "node")).distinct()
     groups = staged(groups, "groups")
     known = described.where("coords is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("coords").alias("coords"))
-    first = _deal(groups.withColumn("one", F.lit(1)), "one", cell_members, "large_groups").drop("one").join(known, "node")
-    region = components(first.repartition("region", "x", "y").sortWithinPartitions("region", "x", "y").mapInArrow(_near(percent), "a long, b long"))
+    heavy, closed, balls = _heavy(groups.withColumn("one", F.lit(1)), "one", cell_members, "large_groups"), None, None
+    if not heavy.isEmpty():
+        members = staged(join_small(groups, heavy, ["region"], "left_semi").join(known, "node"), "members")
+        closed, balls = _closed(members, _cell_balls(percent))
+        discard(members)
+    first = _deal(groups.withColumn("one", F.lit(1)), "one", cell_members, heavy, closed).drop("one").join(known, "node")
+    near = first.repartition("region", "x", "y").sortWithinPartitions("region", "x", "y").mapInArrow(_near(percent), "a long, b long")
+    region = components(near if balls is None else near.union(balls))
     discard(hot, groups)
     kept = described.where("node is not null")
     nodes = kept.groupBy("node").agg(F.min(_row()).alias("row"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
     nodes = staged(nodes.join(region, "node", "left").withColumnRenamed("root", "region"), "nodes")
-    dealt = staged(_deal(nodes.where("region is not null"), "n", region_shingles, "blocks").select("row.*", "region", "x", "y"), "dealt")
     texts = rows.select(_row().alias("row"), "text").select("row.*", "text")
     if kept.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():  # rows that equal each other count once
         texts = texts.dropDuplicates(["nameless", "id", "text_hash"])
-    texts = join_small(texts, dealt, ["nameless", "id", "text_hash"], "inner").select("region", "x", "y", "text")
-    linked = components(texts.repartition("region", "x", "y").sortWithinPartitions("region", "x", "y").mapInArrow(_join_regions(k, percent), "a long, b long"))
+    inner = nodes.where("region is not null")
+    heavy, closed, balls = _heavy(inner, "n", region_shingles, "large_regions"), None, None
+    if not heavy.isEmpty():
+        found = staged(join_small(inner, heavy, ["region"], "left_semi").select("row.*", "region", "node"), "heavy_nodes")
+        members = join_small(texts, found, ["nameless", "id", "text_hash"], "inner").select("region", "node", "text")
+        members = staged(members.mapInArrow(_sets(k), "region long, node long, shingles array<long>"), "members")
+        closed, balls = _closed(members, _set_balls(percent))
+        discard(found, members)
+    dealt = staged(_deal(inner, "n", region_shingles, heavy, closed).select("row.*", "region", "x", "y", "closed"), "dealt")
+    texts = join_small(texts, dealt, ["nameless", "id", "text_hash"], "inner").select("region", "x", "y", "closed", "text")
+    linked = texts.repartition("region", "x", "y").sortWithinPartitions("region", "x", "y").mapInArrow(_join_regions(k, percent), "a long, b long")
+    linked = components(linked if balls is None else linked.union(balls))
     named = nodes.join(linked, "node", "left").select("node", "copies", F.coalesce("root", "node").alias("root"), F.when(~F.col("row.nameless"), F.struct(F.col("row.id").alias("doc_id"), F.col("row.text_hash").alias("text_hash"))).alias("least"))
     named = staged(named, "roots")
     least = staged(named.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("n")), "least")

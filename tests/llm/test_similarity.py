@@ -5,8 +5,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from genolake.llm import jaccard_join
+from genolake.llm.common import staged
 from genolake.llm.components import components
 from genolake.llm.decontamination import contained_items, without_leaks
 from genolake.llm.hashing import shingle_set, word_hashes
@@ -61,6 +63,37 @@ def test_large_regions_are_dealt_as_blocks(spark):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want))
 
 
+@pytest.mark.parametrize(("edits", "percent"), [((0, 1, 2, 3, 5, 7, 9), 80), ((1, 2, 3, 4, 6), 90)])
+def test_heavy_regions_by_their_closed_parts(spark, edits, percent):
+    """Groups of cells and regions beyond a task, with a dense family, members at its rim, chains that leave it and other families."""
+    base = [prose(100, s) for s in range(3)]
+    texts = [near(base[0], edits[i % len(edits)], i) for i in range(150)] + [near(b, 1 + i % 3, 500 + i) for b in base[1:] for i in range(12)]
+    for i in range(8):  # each text a few words from the one before
+        texts.append(near(texts[-1] if i else texts[5], 2, 900 + i))
+    want, _ = linked(texts, 3, percent)
+    got = jaccard_components(docs(spark, texts), 3, percent, region_shingles=900, cell_members=16).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want))
+
+
+def test_closed_parts_leave_few_pairs(spark):
+    """All members in connected balls are closed, and what is dealt grows with the members outside."""
+    rows = [(7, i, 10) for i in range(400)]
+    members = staged(spark.createDataFrame(rows, "region long, node long, n long"), "members")
+    balls = lambda m, p: m.join(p.select("region", F.col("node").alias("pivot")), "region").where(
+        (F.col("node") == F.col("pivot")) | ((F.col("node") < 380) & (F.col("pivot") < 380) & (F.abs(F.col("node") - F.col("pivot")) < 300)))
+    closed, links = jaccard_join._closed(members, balls)
+    assert sorted(r.node for r in closed.collect()) == list(range(380)) and links.where("a >= 380 or b >= 380").count() == 0
+    heavy = jaccard_join._heavy(members, "n", 1000, "heavy")
+    dealt = jaccard_join._deal(members, "n", 1000, heavy, closed).collect()
+    assert len(dealt) <= 380 + 20 * 10
+    shut = {r.node for r in closed.collect()}
+    at = {}
+    for r in dealt:
+        at.setdefault((r.x, r.y), set()).add(r.node)
+    together = {(a, b) for group in at.values() for a in group if a >= 380 for b in group}
+    assert together >= {(a, b) for a in range(380, 400) for b in range(400) if a != b} and shut == {r.node for r in dealt if r.closed}
+
+
 def same_parts(got, up):
     return len({(a, b) for a, b in zip(got, up, strict=True)}) == len(set(got)) == len(set(up))
 
