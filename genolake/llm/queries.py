@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from .chat_format import format_chats, loss_text, read_chats
 from .common import table
 from .decontamination import contained_items
+from .filter_audit import audit_filters
 from .jaccard_join import jaccard_components
 from .language_id import identify
 from .line_dedup import drop_boilerplate
 from .packing import pack, tokenizer_path
+from .prefix_trie import prefix_trie, rebuilt
 from .quality_classifier import classify_quality
 from .quality_rules import judge
 from .repeats import remove_repeats
@@ -78,7 +80,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bm25_packing, op2_benchmark_decontamination, op3_language_id, op4_suffix_array_dedup, op5_chat_formatting, op6_line_dedup, op7_quality_rules, op8_lpt_sharding, op9_ngram_jaccard_join, op10_quality_classifier)}
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*rebuilt(table(spark, sf_dir, "conversations"), group=5, most=9))
+
+
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bm25_packing, op2_benchmark_decontamination, op3_language_id, op4_suffix_array_dedup, op5_chat_formatting, op6_line_dedup, op7_quality_rules, op8_lpt_sharding, op9_ngram_jaccard_join, op10_quality_classifier, op11_conversation_prefix_trie, op12_filter_interaction_audit)}
 
 ORACLES = {
     "op2_benchmark_decontamination": r"""
@@ -129,5 +139,46 @@ edge as (select a, b from link union all select b, a from link),
 reach(a, b) as (select doc_id, doc_id from documents union select r.a, e.b from reach r join edge e on r.b = e.a)
 select d.doc_id, coalesce(n.n, 0) n_shingles, c.component_id
 from documents d left join n using (doc_id) join (select a doc_id, min(b) component_id from reach group by 1) c using (doc_id)
+""",
+    "op11_conversation_prefix_trie": r"""
+with crc as (
+  select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) t),
+ids as (select distinct conv_id from conversations where conv_id is not null),
+h as (
+  select conv_id, conv_id - conv_id % 5 donor,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 9 h
+  from ids, crc),
+own as (
+  select conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} order by turn nulls first, coalesce(role, ''), coalesce(text, '')) s
+  from conversations where conv_id is not null group by 1),
+seq as (select h.conv_id c, coalesce(d.s[1:h.h], []) || o.s[h.h+1:] s from h join own o using (conv_id) left join own d on d.conv_id = h.donor),
+m as (select c, unnest(range(len(s) + 1)) d, s from seq),
+v as (select d, s[1:d] p, min(c) conv_id, count(*) n, string_agg(case when len(s) = d then c::varchar end, ',' order by c) ends from m group by 1, 2),
+kid as (select d - 1 d, p[1:d-1] p, count(*) n from v where d > 0 group by 1, 2),
+w as (select v.*, coalesce(kid.n, 0) kids, case when v.d = 0 then 0 else (v.n - 1) * strlen(p[-1].t) end saved from v left join kid using (d, p)),
+below as (select a.d, a.p, sum(b.saved) saved, count(*) filter (b.kids = 0) leaves from w a join w b on b.d >= a.d and b.p[1:a.d] = a.p group by 1, 2)
+select w.conv_id, w.d::bigint depth, up.conv_id parent_conv_id, w.n n_convs, w.kids n_children, below.leaves n_leaves, below.saved::bigint saved_tokens, sha256(coalesce(w.ends, '')) ends_sha256
+from w join below using (d, p) left join w up on up.d = w.d - 1 and up.p = w.p[1:w.d-1]
+""",
+    "op12_filter_interaction_audit": r"""
+with d as (select doc_id, coalesce(text, '') t, coalesce(lang, '') part from documents),
+w as (select *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') w, min(doc_id) over (partition by t) low from d),
+mark as (select doc_id, max((quality = 1)::int) good, max((toxic = 1)::int) toxic from labels group by 1),
+f as (
+  select part, coalesce(good, 0) good, coalesce(toxic, 0) toxic,
+    {'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t), 'D': regexp_matches(t, '[#$%&*|]'), 'E': low < doc_id} f
+  from w left join mark using (doc_id)),
+g as (select part, (case when f.A then 'A' else '' end) || (case when f.B then 'B' else '' end) || (case when f.C then 'C' else '' end) || (case when f.D then 'D' else '' end) || (case when coalesce(f.E, false) then 'E' else '' end) fails,
+  count(*) n, sum(good) good, sum(toxic) toxic from f group by 1, 2),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) c),
+o as (select a.c || b.c || x.c || y.c || z.c o from l a, l b, l x, l y, l z where len(list_distinct([a.c, b.c, x.c, y.c, z.c])) = 5),
+s as (select o, k, o[k] c, o[1:k-1] past from o, (select unnest(range(1, 6)) k)),
+r as (select part, o, k, c, n, good, toxic, fails, contains(fails, c) bad, len(list_filter(string_split(past, ''), lambda x: x <> '' and contains(fails, x))) > 0 gone from g, s),
+a as (
+  select part, o filter_order, k::int step, c,
+    coalesce(sum(n) filter (not bad and not gone), 0)::bigint kept, coalesce(sum(n) filter (bad and not gone), 0)::bigint removed, coalesce(sum(n) filter (bad and gone), 0)::bigint redundant,
+    coalesce(sum(n) filter (fails = c), 0)::bigint unique_fails, coalesce(sum(good) filter (bad and not gone), 0)::bigint good_lost, coalesce(sum(toxic) filter (bad and not gone), 0)::bigint toxic_lost
+  from r group by 1, 2, 3, 4)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, c))::bigint shapley from a
 """,
 }
