@@ -18,6 +18,7 @@ from .quality_classifier import classify_quality
 from .quality_rules import judge
 from .repeats import remove_repeats
 from .sharding import assign_shards
+from .toxicity import score_toxicity
 
 
 def op1_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +89,12 @@ def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bm25_packing, op2_benchmark_decontamination, op3_language_id, op4_suffix_array_dedup, op5_chat_formatting, op6_line_dedup, op7_quality_rules, op8_lpt_sharding, op9_ngram_jaccard_join, op10_quality_classifier, op11_conversation_prefix_trie, op12_filter_interaction_audit)}
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bm25_packing, op2_benchmark_decontamination, op3_language_id, op4_suffix_array_dedup, op5_chat_formatting, op6_line_dedup, op7_quality_rules, op8_lpt_sharding, op9_ngram_jaccard_join, op10_quality_classifier, op11_conversation_prefix_trie, op12_filter_interaction_audit, op13_toxicity)}
 
 ORACLES = {
     "op2_benchmark_decontamination": r"""
