@@ -90,3 +90,15 @@ def error_probability(q: Column) -> Column:
 def snap(q: Column, bins: list[int]) -> Column:
     """The nearest bin; ties go to the lower."""
     return F.array_min(F.transform(F.array(*[F.lit(b) for b in bins]), lambda b: F.struct(F.abs(b - q).alias("d"), b.alias("b"))))["b"]
+
+
+def general(x: Column, digits: int = 6) -> Column:
+    """A number with so many significant digits and no trailing zeros; with an exponent of two digits if that is under -4 or not under `digits`. (The form
+    of %g in C.)"""
+    e = F.format_string(f"%.{digits - 1}e", x)
+    power = F.split_part(e, F.lit("e"), F.lit(2)).try_cast("int")
+    bare = lambda s: F.when(s.contains("."), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
+    out = F.concat(bare(F.split_part(e, F.lit("e"), F.lit(1))), F.lit("e"), F.split_part(e, F.lit("e"), F.lit(2)))
+    for k in range(-4, digits):
+        out = F.when(power == k, bare(F.format_string(f"%.{digits - 1 - k}f", x))).otherwise(out)
+    return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").when(x.isNotNull(), out)

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vcf
+from ..staging import join_small
 from .intervals import points_in
+from .scan import ranged, running
 
 KEY = ["contig", "pos", "ref", "alt"]
 
@@ -93,10 +95,9 @@ def average_rank(column: str) -> Column:
 
 
 def ranks_by_value(df: DataFrame, column: str) -> DataFrame:
-    """(column, rank): average ranks from counts by value, so that only the distinct values are ordered together."""
+    """(column, rank): average ranks from counts by value, dealt out by ranges of the value."""
     n = df.groupBy(column).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return n.select(column, (before + (F.col("n") + 1) / 2.0).alias("rank"))
+    return ranged(n, column, "n", "before").select(column, (F.col("before") + (F.col("n") + 1) / 2.0).alias("rank"))
 
 
 def fraction_metrics(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -142,8 +143,8 @@ def gated(bins: DataFrame, most: float = 0.10) -> DataFrame:
 
 def in_truth_order(merged: DataFrame, contigs: DataFrame) -> DataFrame:
     """merged records with `place` in their contig: by position, then as they came (seq_no). contigs: (contig, ord), in order of first sight."""
-    w = Window.partitionBy("contig").orderBy("pos", "seq_no")
-    return merged.join(F.broadcast(contigs), "contig").withColumn("place", F.row_number().over(w) - 1)
+    placed = running(merged, ["contig"], "pos", {"place": ("sum", F.lit(1).cast("long"))}, ties=["seq_no"], before=True)
+    return join_small(placed, contigs, ["contig"], "inner")
 
 
 def first_at_position(records: DataFrame, order: list[str]) -> DataFrame:
@@ -157,3 +158,11 @@ def planted_inputs(germline: DataFrame, somatic: DataFrame, purity: float) -> Da
     """Both inputs' records (key, af) with their provenance; a somatic fraction is that of the tumor cells, so purity scales it."""
     g = germline.withColumn("provenance", F.lit("input"))
     return g.unionByName(somatic.withColumn("af", F.col("af") * purity).withColumn("provenance", F.lit("somatic_input")))
+
+
+def breakend_pairs(records: DataFrame) -> DataFrame:
+    """(low, high, first, n) of breakends (contig, pos, mate_contig, mate_pos, id): the two records of a junction name it from either end, so ends in order are one
+    key. first: the least id, by which the pair is kept once; n: how many records name it. A record without a mate names nothing."""
+    own, mate = F.struct("contig", F.col("pos").cast("long").alias("pos")), F.struct(F.col("mate_contig").alias("contig"), F.col("mate_pos").cast("long").alias("pos"))
+    r = records.where("contig is not null and pos is not null and mate_contig is not null and mate_pos is not null")
+    return r.groupBy(F.least(own, mate).alias("low"), F.greatest(own, mate).alias("high")).agg(F.min("id").alias("first"), F.count("*").alias("n"))

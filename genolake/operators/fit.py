@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..staging import ship, staged
 from . import kernel
-from .intervals import overlaps
+from .scan import following, running
 
 #: Bases that one row holds when sequence is cut into tiles.
 TILE = 4096
@@ -31,9 +31,10 @@ def runs(contigs: DataFrame, unknown: bool = False, tile: int = TILE) -> DataFra
     parts = F.aggregate(pieces, F.array().cast("array<struct<start:int,end:int,unknown:boolean>>"), lambda a, p: F.when(F.size(a) == 0, F.array(F.struct(F.lit(0).alias("start"), F.length(p).alias("end"), p.startswith("N").alias("unknown")))).otherwise(step(a, p)))
     t = t.select("contig", "tile_start", F.explode(parts).alias("r")).where(F.col("r.unknown") == unknown)
     t = t.select("contig", (F.col("tile_start") + F.col("r.start")).alias("start"), (F.col("tile_start") + F.col("r.end")).alias("end"))
-    w = Window.partitionBy("contig").orderBy("start")
-    t = t.withColumn("new", F.coalesce((F.lag("end").over(w) < F.col("start")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w))
-    return t.groupBy("contig", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+    # pieces are disjoint: where one begins and none ends, a run begins, and the runs are the stretches between such places
+    edges = t.select("contig", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("e"))
+    edges = edges.groupBy("contig", F.col("e.at").alias("start")).agg(F.sum("e.d").alias("d")).where("d != 0")
+    return following(edges, ["contig"], "start", "end").where("d = 1").select("contig", "start", "end")
 
 
 def homopolymers(contigs: DataFrame, cap: int) -> DataFrame:
@@ -147,18 +148,25 @@ def gc_windows(contigs: DataFrame, size: int = 100, stride: int = 100) -> DataFr
 
 
 def window_coverage(windows: DataFrame, depth: DataFrame, size: int) -> DataFrame:
-    """windows (contig, start, ...; `size` bases) with `coverage`, the mean depth over their bases; depth: intervals (contig, start, end,
-    depth), 0 elsewhere."""
-    w = windows.withColumn("end", F.col("start") + size)
-    per = (F.col("hi") - F.col("lo")) * F.col("r_depth")
-    hit = overlaps(w.select("contig", "start", "end"), depth, size).groupBy("contig", "start").agg((F.sum(per) / size).alias("coverage"))
-    return windows.join(hit, ["contig", "start"], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
-
-
-def gc_weights(windows: DataFrame, least: int = 10) -> DataFrame:
+    """windows (contig, start, ...; `size` bases) with `coverage`, the mean depth over their bases; depth: disjoint intervals (contig, start, end,
+    depth), 0 elsewhere.
+
+    A window holds what was summed up to its end less what was summed up to its start. Both ends of each window and the runs of depth go
+    through one scan along the contig, in which an end sees the sum of the runs before it and the last of them."""
+    w = windows.select("contig", F.struct(*windows.columns).alias("window"), F.inline(F.array(F.struct(F.col("start").cast("long").alias("at"), F.lit(-1).alias("sign")), F.struct((F.col("start") + size).cast("long").alias("at"), F.lit(1).alias("sign")))))
+    run = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("depth").cast("long").alias("depth"))
+    runs = depth.select("contig", F.col("start").cast("long").alias("at"), F.lit(0).alias("sign"), run.alias("run"), ((F.col("end") - F.col("start")) * F.col("depth")).cast("long").alias("held"))
+    both = runs.unionByName(w, allowMissingColumns=True).withColumn("later", F.abs("sign"))
+    seen = running(both, ["contig"], "at", {"total": ("sum", F.col("held")), "last": ("max", F.col("run"))}, ties=["later"]).where("later = 1")
+    beyond = F.coalesce(F.greatest(F.col("last.end") - F.col("at"), F.lit(0)) * F.col("last.depth"), F.lit(0))
+    g = seen.groupBy("window").agg((F.sum(F.col("sign") * (F.col("total") - beyond)) / size).alias("coverage"))
+    return g.select("window.*", "coverage")
+
+
+def gc_weights(windows: DataFrame, least: int = 10, fitted: bool = False) -> DataFrame:
     """(gc 0..100, weight) from windows (gc, coverage): the median of a percentage with `least` windows or more over the median
     of all windows of such percentages; linear between supported percentages, flat beyond; 1 without any. Medians are those of
-    the counts by (gc, coverage), so windows are read once."""
+    the counts by (gc, coverage), so windows are read once. fitted: with a column that tells the supported percentages."""
     spark = windows.sparkSession
     counts = staged(windows.groupBy("gc", "coverage").agg(F.count("*").alias("n")), "gc_counts")
     supported = counts.groupBy("gc").agg(F.sum("n").alias("total"), F.percentile("coverage", 0.5, F.col("n")).alias("median")).where(F.col("total") >= least)
@@ -170,7 +178,8 @@ def gc_weights(windows: DataFrame, least: int = 10) -> DataFrame:
         grid = grid.withColumn(f"{side}_a", f("a", ignorenulls=True).over(w)).withColumn(f"{side}_w", f("w", ignorenulls=True).over(w))
     part = (F.col("gc") - F.col("lo_a")) / (F.col("hi_a") - F.col("lo_a"))
     between = F.when(F.col("lo_a") == F.col("hi_a"), F.col("lo_w")).otherwise(F.col("lo_w") + (F.col("hi_w") - F.col("lo_w")) * part)
-    return grid.select("gc", F.coalesce(between, "lo_w", "hi_w", F.lit(1.0)).alias("weight"))
+    weight = F.coalesce(between, "lo_w", "hi_w", F.lit(1.0)).alias("weight")
+    return grid.select("gc", weight, *([F.col("a").isNotNull().alias("fitted")] if fitted else []))
 
 
 def quality_transitions(reads: DataFrame) -> DataFrame:

@@ -1,18 +1,15 @@
-"""Generators: variants, fragments, allele draws, haplotypes, reads, qualities, chimeric pieces, equivalence.
+"""Generators: variants, fragments, allele draws, haplotypes, reads, qualities, chimeric pieces.
 
 Every draw is a keyed uniform, so a row's result depends on its key and the seed alone."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keyed import key_hash, pick, uniform
-from ..functions.sequence import cigar_ops, reverse_complement
-from ..staging import ship
+from ..functions.sequence import reverse_complement
+from .scan import running
 
 
 def _in_cdf(draws: DataFrame, segments: DataFrame, mass: Column) -> DataFrame:
@@ -132,9 +129,8 @@ def subclone_draw(variants: DataFrame, key: Column, subclones: list[tuple[float,
 
 def haplotype_positions(variants: DataFrame) -> DataFrame:
     """variants (contig, pos0, ref, alt; one a position) with hap_pos: pos0 on the haplotype that carries all of them."""
-    shift = F.length("alt") - F.length("ref")
-    before = Window.partitionBy("contig").orderBy("pos0").rowsBetween(Window.unboundedPreceding, -1)
-    return variants.withColumn("hap_pos", F.col("pos0") + F.coalesce(F.sum(shift).over(before), F.lit(0)))
+    shifted = running(variants, ["contig"], "pos0", {"hap_pos": ("sum", F.length("alt") - F.length("ref"))}, before=True)
+    return shifted.withColumn("hap_pos", F.col("pos0") + F.col("hap_pos"))
 
 
 def quality_strings(reads: DataFrame, key: Column, start: list[tuple[int, float]], stay: float, step: int, low: int, high: int, length: int, seed: int) -> DataFrame:
@@ -166,46 +162,6 @@ def junction_reads(svs: DataFrame, contigs: DataFrame, arm: int) -> DataFrame:
     return s.where(seq.isNotNull()).select("id", "type", seq.alias("seq"))
 
 
-def _apply(ref: str, at: int, variants: list[tuple[int, str, str]]) -> str | None:
-    """ref (from position `at`) with the variants in it; None if they overlap or don't fit."""
-    out, end = [], 0
-    for pos, r, a in sorted(variants):
-        i = pos - at
-        if i < end or ref[i : i + len(r)] != r:
-            return None
-        out += [ref[end:i], a]
-        end = i + len(r)
-    return "".join(out) + ref[end:]
-
-
-def promote_equivalent(candidates: DataFrame) -> DataFrame:
-    """(contig, kind, pos0, ref, alt) of misses and false calls that spell the same sequence. candidates: contig, cluster, window,
-    window_start, kind (fn, fp), pos0, ref, alt: a cluster's variants lie near each other, and `window` is the reference around
-    all of them. False calls are taken by position; one is settled with the misses near it if both sides give the same bases,
-    and each miss is used once. A cluster is the unit, so a contig is many tasks."""
-
-    def settle(ref: str, at: int, variants: list) -> list[tuple]:
-        left = sorted((v["pos0"], v["ref"], v["alt"]) for v in variants if v["kind"] == "fn")
-        out = []
-        for fp in sorted((v["pos0"], v["ref"], v["alt"]) for v in variants if v["kind"] == "fp"):
-            spelled = _apply(ref, at, [fp])
-            spans = [left[i : i + n] for n in range(1, len(left) + 1) for i in range(len(left) - n + 1)]
-            same = next((x for x in spans if spelled is not None and _apply(ref, at, x) == spelled), None)
-            if same:
-                out += [("fp", *fp), *(("fn", *v) for v in same)]
-                left = [v for v in left if v not in same]
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [(c, *row) for c, ref, at, v in zip(pdf["contig"], pdf["window"], pdf["window_start"], pdf["variants"], strict=True) for row in settle(ref, int(at), v)]
-            yield pd.DataFrame(found, columns=["contig", "kind", "pos0", "ref", "alt"])
-
-    ship(candidates.sparkSession)
-    grouped = candidates.groupBy("contig", "cluster").agg(F.first("window").alias("window"), F.first("window_start").alias("window_start"), F.collect_list(F.struct("kind", "pos0", "ref", "alt")).alias("variants"))
-    return grouped.drop("cluster").mapInPandas(run, "contig string, kind string, pos0 long, ref string, alt string")
-
-
 def place_structural(contigs: DataFrame, rate: float, types: dict[str, tuple[float, float, float]], seed: int, retries: int = 10) -> DataFrame:
     """(contig, type, start, end): structural variants that don't overlap, placed one after another in each contig (contig, length);
     types: name -> (probability, mu, sigma) of log-normal lengths. A draw that overlaps or doesn't fit is drawn again, `retries` times."""
@@ -232,20 +188,3 @@ def place_structural(contigs: DataFrame, rate: float, types: dict[str, tuple[flo
         return pd.DataFrame(out, columns=["contig", "type", "start", "end"])
 
     return contigs.groupBy("contig").applyInPandas(place, "contig string, type string, start long, end long")
-
-
-def md_bases(reads: DataFrame) -> DataFrame:
-    """(ref, read, n) of the aligned bases of reads (seq, cigar, md) whose MD tag fits; others count as ref STALE. A deletion's bases
-    are passed over."""
-    step = lambda a, o: F.struct(F.when(o["op"].isin("M", "=", "X"), F.concat(a["bases"], F.substr("seq", a["at"] + 1, o["n"]))).otherwise(a["bases"]).alias("bases"), (a["at"] + F.when(o["op"].isin("M", "I", "S", "=", "X"), o["n"]).otherwise(0)).alias("at"))
-    aligned = F.aggregate(cigar_ops(F.col("cigar")), F.struct(F.lit("").alias("bases"), F.lit(0).alias("at")), step)["bases"]
-    tokens = F.regexp_extract_all("md", F.lit(r"(\d+|\^[A-Z]+|[A-Z])"), 1)
-    none = F.array().cast("array<struct<at:int,ref:string>>")
-    walk = lambda a, t: F.struct((a["at"] + F.when(t.rlike("^[0-9]"), t.try_cast("int")).when(t.startswith("^"), 0).otherwise(1)).alias("at"), F.when(t.rlike("^[A-Z]"), F.concat(a["off"], F.array(F.struct(a["at"].alias("at"), t.alias("ref"))))).otherwise(a["off"]).alias("off"))
-    r = reads.select("seq", "cigar", "md").withColumn("aligned", aligned).withColumn("w", F.aggregate(tokens, F.struct(F.lit(0).alias("at"), none.alias("off")), walk))
-    off = F.transform("w.off", lambda x: F.struct(x["ref"].alias("ref"), F.substr("aligned", x["at"] + 1, F.lit(1)).alias("read"), F.lit(1).cast("long").alias("n")))
-    changed = lambda b: F.size(F.filter(off, lambda x: x["read"] == b))
-    same = F.array(*[F.struct(F.lit(b).alias("ref"), F.lit(b).alias("read"), (F.length("aligned") - F.length(F.replace("aligned", F.lit(b), F.lit(""))) - changed(b)).cast("long").alias("n")) for b in "ACGTN"])
-    stale = F.array(F.struct(F.lit("STALE").alias("ref"), F.lit("").alias("read"), F.lit(1).cast("long").alias("n")))
-    counts = F.when(F.col("w.at") == F.length("aligned"), F.concat(same, off)).otherwise(stale)
-    return r.select(F.explode(counts).alias("x")).where("x.n > 0").groupBy("x.ref", "x.read").agg(F.sum("x.n").alias("n"))

@@ -44,7 +44,10 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
 
 def tiles(contigs: DataFrame, tile: int, before: int = 0, after: int = 0) -> DataFrame:
     """(contig, tile, tile_start, seq_start, seq): pieces of `tile` bases; seq also holds up to `before` bases before the piece, from
-    seq_start on, and up to `after` bases after it. Each contig is cut in one pass."""
+    seq_start on, and up to `after` bases after it. contigs: (contig, seq), each cut in one pass, or larger tiles (contig, tile, start, seq), whose
+    starts are multiples of `tile` and which meet their neighbours' edges first."""
+    if "tile" in contigs.columns:
+        return _recut(contigs, tile, before, after)
 
     def work(contig: str, seq: bytes) -> Iterator[tuple]:
         for i, start in enumerate(range(0, len(seq), tile)):
@@ -56,6 +59,21 @@ def tiles(contigs: DataFrame, tile: int, before: int = 0, after: int = 0) -> Dat
     return contigs.select("contig", "seq").mapInArrow(run, "contig string, tile long, tile_start long, seq_start long, seq string")
 
 
+def _recut(large: DataFrame, tile: int, before: int, after: int) -> DataFrame:
+    edge = lambda step, bases: F.struct((F.col("tile") + step).alias("tile"), F.lit(step).alias("side"), F.lit(None).cast("long").alias("start"), bases.alias("seq"))
+    own = F.struct(F.col("tile").cast("long").alias("tile"), F.lit(0).alias("side"), F.col("start").cast("long").alias("start"), F.col("seq").alias("seq"))
+    rows = large.select("contig", F.inline(F.array(own, edge(1, F.right("seq", F.lit(before))), edge(-1, F.left("seq", F.lit(after))))))
+    side = lambda k, c: F.max(F.when(F.col("side") == k, F.col(c)))
+    met = rows.groupBy("contig", "tile").agg(side(0, "start").alias("start"), F.coalesce(side(1, "seq"), F.lit("")).alias("lead"), side(0, "seq").alias("body"), F.coalesce(side(-1, "seq"), F.lit("")).alias("tail"))
+    met = met.where("body is not null")
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.length("body") - 1, F.lit(tile).cast("long")))
+    cut = met.where("body != ''").select("contig", "start", F.length("lead").alias("led"), F.concat("lead", "body", "tail").cast("binary").alias("all"), at.alias("at"))
+    first = F.greatest(F.col("led") + F.col("at") - before, F.lit(0))
+    seq = F.substr("all", (first + 1).cast("int"), (F.col("led") + F.col("at") + tile + after - first).cast("int")).cast("string")
+    place = F.col("start") + F.col("at")
+    return cut.select("contig", F.floor(place / tile).alias("tile"), place.alias("tile_start"), (F.col("start") - F.col("led") + first).alias("seq_start"), seq.alias("seq"))
+
+
 def reference_bases(spans: DataFrame, contigs: DataFrame, start: str, length: str, most: int, tile: int = 4096) -> DataFrame:
     """spans (contig, start, length <= most, ...) with `bases`, those of the contig there: fewer at its end. Spans meet the tile they
     start in, so no row carries a contig."""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import cigar_ops
 from ..sources.text import fragment_of_name
-from .intervals import depth, overlaps, points_in
+from .intervals import depth, overlaps, points_in, touching
+from .kernel import reference_bases
 
 # The flag bits of SAM.
 PAIRED, UNMAPPED, MATE_UNMAPPED, FIRST, SECONDARY, QC_FAIL, DUPLICATE, SUPPLEMENTARY = 0x1, 0x4, 0x8, 0x40, 0x100, 0x200, 0x400, 0x800
@@ -74,17 +75,28 @@ def mates(reads: DataFrame, keep: list[str]) -> DataFrame:
     return g.where("n = 2 and a is not null and b is not null").drop("n")
 
 
-def mate_overlaps(pairs: DataFrame, bins: int = 5) -> DataFrame:
-    """(contig, pos0, bin, base_a, base_b): a row for each reference base that both mates (structs of pos0, cigar, seq) align. bin: the
-    first mate's cycle, in `bins` parts of its read."""
+def mate_overlaps(pairs: DataFrame, contigs: DataFrame, bins: int = 5, most: int = 1000) -> DataFrame:
+    """(contig, pos0, bin_a, bin_b, base_a, base_b, frame): a row for each reference base that both mates (structs of pos0, cigar, seq, reverse) align, with
+    the contig's base there. bin: the cycle at which a mate read it, in `bins` parts of its read; a reverse read's first cycle is its last base.
+
+    Stretches that both align are cut out of both reads and of the contig before they become bases, so that no base's row carries a read. A
+    stretch of more than `most` bases is refused."""
     side = lambda s: blocks(F.col(f"{s}.cigar"), F.col(f"{s}.pos0"))
     p = pairs.withColumn("x", side("a")).withColumn("y", side("b")).withColumn("u", F.explode("x")).withColumn("v", F.explode("y"))
-    p = p.withColumn("lo", F.greatest("u.start", "v.start")).withColumn("hi", F.least("u.end", "v.end")).where("lo < hi")
-    p = p.select("contig", "a", "b", "u", "v", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("pos0"))
-    at = lambda block: F.col(f"{block}.at") + F.col("pos0") - F.col(f"{block}.start")
-    base = lambda seq, i: F.substr(F.col(seq), (i + 1).cast("int"), F.lit(1))
-    part = F.floor(at("u") * bins / F.length("a.seq"))
-    return p.select("contig", "pos0", part.alias("bin"), base("a.seq", at("u")).alias("base_a"), base("b.seq", at("v")).alias("base_b"))
+    lo, hi = F.greatest("u.start", "v.start"), F.least("u.end", "v.end")
+    p = p.withColumn("lo", lo).withColumn("n", (hi - lo).cast("int")).where("n > 0")
+    p = p.withColumn("n", F.when(F.col("n") <= most, F.col("n")).otherwise(F.raise_error(F.lit(f"mates share more than {most} bases in a row")).cast("int")))
+    at = lambda block: (F.col(f"{block}.at") + F.col("lo") - F.col(f"{block}.start")).cast("int")
+    piece = lambda s, block: F.struct(F.substr(F.col(f"{s}.seq"), at(block) + 1, F.col("n")).alias("bases"), at(block).alias("at"), F.length(f"{s}.seq").alias("long"), F.coalesce(F.col(f"{s}.reverse"), F.lit(False)).alias("reverse"))
+    p = reference_bases(p.select("contig", "lo", "n", piece("a", "u").alias("a"), piece("b", "v").alias("b")), contigs, "lo", "n", most)
+
+    def cycle(s: str, i: Column) -> Column:
+        place = F.col(f"{s}.at") + i
+        return F.floor(F.when(F.col(f"{s}.reverse"), F.col(f"{s}.long") - 1 - place).otherwise(place) * bins / F.col(f"{s}.long"))
+
+    base = lambda c, i: F.substr(F.col(c), i + 1, F.lit(1))
+    row = lambda i: F.struct((F.col("lo") + i).alias("pos0"), cycle("a", i).alias("bin_a"), cycle("b", i).alias("bin_b"), base("a.bases", i).alias("base_a"), base("b.bases", i).alias("base_b"), base("bases", i).alias("frame"))
+    return p.select("contig", F.inline(F.transform(F.sequence(F.lit(0), F.col("n") - 1), row)))
 
 
 def masked(bases: DataFrame, known: DataFrame, position: str = "pos0") -> DataFrame:
@@ -94,11 +106,12 @@ def masked(bases: DataFrame, known: DataFrame, position: str = "pos0") -> DataFr
 
 
 def in_bed(names: DataFrame, bed: DataFrame, contig: Column) -> DataFrame:
-    """FASTQ records (name, ...) whose name's fragment overlaps an interval of the BED; a name without a fragment goes."""
-    f = names.withColumn("f", fragment_of_name(F.col("name"))).where("f is not null").withColumn("contig", contig)
-    f = f.withColumn("start", F.col("f.start")).withColumn("end", F.col("f.end"))
-    hit = overlaps(f.select("contig", "start", "end", "name"), bed.select("contig", "start", "end")).select("name").distinct()
-    return names.join(hit, "name", "left_semi")
+    """FASTQ records (name, ...) whose name's fragment overlaps an interval of the BED, each once; a name without a fragment, or with an
+    empty one, goes."""
+    kept = names.columns
+    f = names.withColumn("_f", fragment_of_name(F.col("name"))).where("_f.start < _f.end")
+    f = f.select(F.struct(*kept).alias("_record"), contig.alias("contig"), "_f")
+    return touching(f, bed, F.col("_f.start"), F.col("_f.end") - 1).select("_record.*")
 
 
 def vcf_lines_in_bed(lines: DataFrame, bed: DataFrame) -> DataFrame:

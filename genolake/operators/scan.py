@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
+
 #: Values of the order column in a tile.
 TILE = 1 << 16
 #: name: (aggregate, how a carry meets the fold inside the tile).
@@ -48,3 +50,13 @@ def following(df: DataFrame, group: list[str], order: str, name: str, width: int
     carry = own.select(*group, "_tile", F.lead("_least").over(Window.partitionBy(*group).orderBy("_tile")).alias("_next"))
     local = tiled.withColumn("_lead", F.lead(order).over(Window.partitionBy(*group, "_tile").orderBy(order)))
     return local.join(carry, [*group, "_tile"], "left").select(*[c for c in df.columns if c != name], F.coalesce("_lead", "_next").alias(name))
+
+
+def ranged(df: DataFrame, order: str, count: str, name: str) -> DataFrame:
+    """df (one row a value of `order`, any type) with, in `name`, the sum of `count` over all rows of lesser order. Values are dealt out by
+    range, summed by part, and scanned inside a part; what lies before a part comes from the parts' sums, one row for all."""
+    parts = staged(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = parts.groupBy("_part").agg(F.sum(count).alias("n")).agg(F.collect_list(F.struct("_part", "n")).alias("_sums"))
+    past = F.aggregate(F.filter("_sums", lambda s: s["_part"] < F.col("_part")), F.lit(0).cast("long"), lambda a, s: a + s["n"])
+    inside = F.sum(count).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return parts.withColumn(name, F.coalesce(inside, F.lit(0))).join(F.broadcast(sums)).withColumn(name, F.col(name) + past).drop("_part", "_sums")

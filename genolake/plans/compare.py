@@ -247,6 +247,20 @@ def bnd_mate_pairs(spark, d) -> DataFrame:
     return pairs.groupBy("lo", "hi").agg(F.count("*").alias("n")).where("n >= 2")
 
 
+@query(
+    """~ b as (select l_orderkey * 8 + l_linenumber id, 'chr' || (l_suppkey % 5 + 1)::varchar c, (l_partkey * 7 % 3000)::bigint p, 'chr' || (l_partkey % 5 + 1)::varchar d, (l_suppkey * 11 % 3000)::bigint q from lineitem),
+r as (select *, (c, p) <= (d, q) o from b), k as (select case when o then c else d end c1, case when o then p else q end p1, case when o then d else c end c2, case when o then q else p end p2, id from r)
+select c1, p1, c2, p2, min(id)::bigint first, count(*) n from k group by all""",
+    "li",
+)
+def breakend_pairs(spark, d) -> DataFrame:
+    """Junctions that line items name from one end or the other."""
+    s, p = F.col("l_suppkey"), F.col("l_partkey")
+    name = lambda x: F.concat(F.lit("chr"), (x % 5 + 1).cast("string"))
+    b = table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), name(s).alias("contig"), (p * 7 % 3000).alias("pos"), name(p).alias("mate_contig"), (s * 11 % 3000).alias("mate_pos"))
+    return compare.breakend_pairs(b).select(F.col("low.contig").alias("c1"), F.col("low.pos").alias("p1"), F.col("high.contig").alias("c2"), F.col("high.pos").alias("p2"), "first", "n")
+
+
 @query("~ c as (select concat('doc', doc_id::varchar) contig from documents) select count(*) n from c semi join (select contig from contigs where length(seq) > 500) using (contig)", "contigs")
 def contig_filter(spark, d) -> DataFrame:
     long = contigs(spark, d).where("length(seq) > 500")

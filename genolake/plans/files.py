@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import compare, reads as aligned, validate
+from ..operators.scan import running
 from ..sources import sinks, text
-from ..staging import shared_dir
+from ..staging import shared_dir, staged
 from .compare import r6
-from .inputs import alignments, bed, called, contigs, edited, fragments, reads, records, truth, vcf_fields, with_inputs
+from .inputs import alignments, bases_of, bed, called, contigs, edited, fragments, reads, records, table, truth, vcf_fields, with_inputs
 
 QUERIES, ORACLES = {}, {}
 
@@ -38,6 +39,23 @@ def fasta_round_trip(spark, d) -> DataFrame:
     return text.read_fasta(spark, path).select("contig", F.md5(F.col("seq").cast("binary")).alias("seq_md5")).join(lengths, "contig").select("contig", "length", "seq_md5")
 
 
+@query(
+    """~ g as (select lang contig, string_agg(seq, '' order by doc_id) seq from (select doc_id, lang, c.seq from documents d join contigs c on c.contig = concat('doc', d.doc_id::varchar) where lang is not null and text is not null) group by 1)
+select contig, i::bigint "start", length(substr(seq, i + 1, 61440))::bigint length, md5(substr(seq, i + 1, 61440)) seq_md5 from (select contig, seq, unnest(range(0, length(seq), 61440)) i from g)""",
+    "contigs",
+)
+def fasta_long_contigs(spark, d) -> DataFrame:
+    """A contig for each language, the bases of its documents one after another, written and read in tiles: no row and no task holds a contig."""
+    docs = table(spark, d, "documents").where("lang is not null and text is not null").select("doc_id", F.col("lang").alias("contig"), bases_of(F.col("text")).alias("text"))
+    pieces = staged(docs.withColumn("long", F.length("text").cast("long")), "pieces")
+    placed = running(pieces, ["contig"], "doc_id", {"at": ("sum", F.col("long"))}, before=True)
+    path = _fresh(spark, "genome")
+    tiles = text.cut_tiles(placed, ["contig"]).withColumn("ord", F.col("contig"))
+    sinks.write_fasta_tiles(tiles, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = text.fasta_tiles(spark, path, joined=True)
+    return found.select("contig", "start", F.length("seq").cast("long").alias("length"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
+
+
 @query("select read_id, md5(seq || chr(10) || list_aggregate(list_transform(scores, lambda q: chr((q + 33)::int)), 'string_agg', '')) record_md5 from reads", "reads")
 def fastq_round_trip(spark, d) -> DataFrame:
     path = _fresh(spark, "fastq")
@@ -208,3 +226,63 @@ def planted_union(spark, d) -> DataFrame:
 def first_record_at_position(spark, d) -> DataFrame:
     v = vcf_fields(spark, d).select("contig", "pos", "h", "order_id", "line_id", "gt", "alt")
     return compare.first_at_position(v, ["h", "order_id", "line_id"]).select("contig", "pos", "gt", "alt")
+
+
+FOLDER = """~ r as (select 'v' || (l_suppkey % 20)::varchar || '.vcf' file, l_suppkey % 20 f, l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_partkey % 29 = 0 then 'chrZ' else 'chr' || (l_orderkey // 1000 % 3 + 1)::varchar end contig,
+  case when l_partkey % 31 = 0 then null when l_partkey % 37 = 0 then 5 else l_orderkey * 10 + l_linenumber end pos, case when l_partkey % 7 = 0 then 'AZ' else 'ACG' end ref, l_partkey % 4 i, case when l_partkey % 13 = 0 then 6 else 8 end n from lineitem),
+k as (select *, row_number() over (partition by file order by l_orderkey, l_linenumber, l_partkey, l_suppkey) k from r where f % 5 <> 4),
+w as (select *, n = 8 and f % 7 <> 3 as whole, n = 8 and f % 7 <> 3 and pos is not null as valid from k),
+s as (select *, last_value(case when valid then contig end ignore nulls) over u lc, last_value(case when valid then pos end ignore nulls) over u lp, min(case when valid then k end) over (partition by file, contig) first
+  from w window u as (partition by file order by k rows between unbounded preceding and 1 preceding)),
+v as (select file, unnest(list_filter([case when not whole then 'column_count' end, case when whole and pos is null then 'bad_position' end, case when valid and f % 3 <> 0 and contig = 'chrZ' then 'contig_not_declared' end, case when valid and ref = 'AZ' then 'bad_reference' end,
+  case when valid and lc = contig and lp > pos then 'unsorted' end, case when valid and lc <> contig and first < k then 'contig_again' end, case when valid and (i = 1 or (i = 3 and f % 4 = 1)) then 'info_not_declared' end, case when valid and i = 0 then 'info_type' end], lambda x: x is not null)) rule from s
+  union all select distinct file, 'no_column_line' from r where f % 5 = 4),
+d as (select 'q' || (doc_id % 10)::varchar || '.fastq' file, doc_id, case when doc_id % 5 = 0 then replace(text, chr(10), ' ') else c.seq end seq from documents join contigs c on c.contig = concat('doc', doc_id::varchar) where text is not null),
+q as (select file, unnest(list_filter([case when doc_id % 11 = 0 then 'name_without_at' end, case when doc_id % 13 = 0 then 'plus_line' end, case when doc_id % 3 = 0 and length(seq) > 0 then 'length_mismatch' end, case when not regexp_full_match(seq, '[ACGTUNRYSWKMBDHVacgtunryswkmbdhv]*') then 'bad_base' end], lambda x: x is not null)) rule from d
+  union all select distinct file, 'carriage_return' from d where doc_id % 17 = 0 union all select distinct file, 'truncated_record' from d where (doc_id % 10) % 4 = 1),
+a as (select file, case when rule in ('contig_not_declared', 'info_type') then 'WARNING' when rule = 'carriage_return' then 'TOLERATED' else 'ERROR' end severity, rule, count(*) n from (select * from v union all select * from q) group by all) """
+
+
+def _folder(spark, d) -> str:
+    """Twenty VCF files from line items and ten FASTQ files from documents, each with a header, faults and an end of its own."""
+    li, p = table(spark, d, "lineitem"), F.col("l_partkey")
+    f = F.col("l_suppkey") % 20
+    r = running(li.withColumn("f", f), ["f"], "l_orderkey", {"k": ("sum", F.lit(1).cast("long"))}, ties=["l_linenumber", "l_partkey", "l_suppkey"])
+    contig = F.when(p % 29 == 0, "chrZ").otherwise(F.concat(F.lit("chr"), (F.floor(F.col("l_orderkey") / 1000) % 3 + 1).cast("string")))
+    pos = F.when(p % 31 == 0, "x").when(p % 37 == 0, "5").otherwise((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string"))
+    info = F.when(p % 4 == 0, "DP=x").when(p % 4 == 1, "DP=3;ZZ=1").when(p % 4 == 2, ".").otherwise("DP=7;DB")
+    eight = F.array(contig, pos, F.lit("."), F.when(p % 7 == 0, "AZ").otherwise("ACG"), F.lit("T"), F.lit("50"), F.lit("PASS"), info)
+    records = r.select("f", "k", F.array_join(F.slice(eight, F.lit(1), F.when(p % 13 == 0, 6).otherwise(8)), "\t").alias("value"))
+    fixed = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"
+    i = F.col("f")
+    head = F.array_compact(F.array(F.lit("##fileformat=VCFv4.3"), *[F.when(i % 3 != 0, f"##contig=<ID=chr{n},length=9>") for n in (1, 2, 3)], F.lit('##INFO=<ID=DP,Number=1,Type=Integer,Description="d">'), F.when(i % 4 != 1, "##INFO=<ID=DB,Number=0,Type=Flag>"), F.when(i % 5 != 4, F.when(i % 7 == 3, f"{fixed}\tFORMAT\tS").otherwise(fixed))))
+    heads = records.select("f").distinct().select("f", F.posexplode(head).alias("k", "value")).select("f", (F.col("k") - 100).alias("k"), "value")
+    vcf = records.unionByName(heads).select(F.concat(F.lit("v"), i.cast("string"), F.lit(".vcf")).alias("file"), F.col("k").cast("long").alias("k"), "value")
+    n = F.col("doc_id")
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.when(n % 5 == 0, F.replace("text", F.lit("\n"), F.lit(" "))).otherwise(bases_of(F.col("text"))).alias("seq"))
+    name = F.concat(F.when(n % 11 == 0, "name").otherwise("@name"), n.cast("string"), F.when(n % 17 == 0, "\r").otherwise(""))
+    four = F.array(name, "seq", F.when(n % 13 == 0, "-").otherwise("+"), F.repeat(F.lit("I"), F.greatest(F.length("seq") - (n % 3 == 0).cast("int"), F.lit(0))))
+    name = F.concat(F.lit("q"), (n % 10).cast("string"), F.lit(".fastq"))
+    fastq = t.select(name.alias("file"), n, F.posexplode(four).alias("i", "value")).select("file", (n * 4 + F.col("i")).alias("k"), "value")
+    tail = t.where("(doc_id % 10) % 4 = 1").select(name.alias("file"), F.lit(1 << 60).alias("k"), F.lit("@tail").alias("value")).distinct()
+    path = _fresh(spark, "folder")
+    rows = vcf.unionByName(fastq).unionByName(tail)
+    rows.repartition("file").sortWithinPartitions("file", "k").select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
+def _own(file: str = "file"):
+    return F.regexp_extract(file, r"file=([^/]*)$", 1)
+
+
+@query(FOLDER + "select * from a", "contigs")
+def folder_findings(spark, d) -> DataFrame:
+    """A folder of files of two formats, each held against its own declarations."""
+    found, _ = validate.validate_folder(spark, _folder(spark, d))
+    return found.groupBy(_own().alias("file"), "severity", "rule").agg(F.count("*").alias("n"))
+
+
+@query(FOLDER + ", e as (select distinct file from r union select distinct file from d) select file, coalesce(sum(n) filter (severity = 'ERROR'), 0)::bigint errors, coalesce(sum(n) filter (severity = 'WARNING'), 0)::bigint warnings, coalesce(sum(n) filter (severity = 'ERROR'), 0) = 0 passed from e left join a using (file) group by 1", "contigs")
+def folder_verdicts(spark, d) -> DataFrame:
+    _, verdict = validate.validate_folder(spark, _folder(spark, d))
+    return verdict.withColumn("file", _own())

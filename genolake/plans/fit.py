@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence, vcf
-from ..operators import fit, intervals, kernel
+from ..operators import fit, intervals, kernel, qualities
+from ..sources import sinks
+from ..staging import shared_dir, staged
 from .compare import r6
 from .inputs import alignments, contigs, edited, fragments, located, reads, records, structural, vcf_fields, with_inputs
 
@@ -173,13 +177,17 @@ def gc_window_bins(spark, d) -> DataFrame:
     return fit.gc_windows(contigs(spark, d), 100, 50).groupBy("gc").agg(F.count("*").alias("n"), F.min("contig").alias("first_contig"))
 
 
-@query(
-    GC + """, d as (select contig, pos0 s, least(pos0 + 100 + quantity * 6, length) e from located),
+WEIGHTS = GC + """, d as (select contig, pos0 s, least(pos0 + 100 + quantity * 6, length) e from located),
 c as (select g.gc, sum(case when s is null then 0 else least(e, g.start + 100) - greatest(s, g.start) end) / 100.0 coverage from g left join d on g.contig = d.contig and s < g.start + 100 and e > g.start group by g.contig, g.start, g.gc),
 s as (select gc, median(coverage) m from c group by 1 having count(*) >= 10),
 p as (select median(coverage) p from c where gc in (select gc from s)), a as (select gc a, m / p w from s, p where p > 0),
 b as (select r.gc::int gc, max(lo.a) la, min(hi.a) ha from range(101) r(gc) left join a lo on lo.a <= r.gc left join a hi on hi.a >= r.gc group by 1)
-select b.gc, round(coalesce(case when la = ha then x.w else x.w + (y.w - x.w) * (b.gc - la) / (ha - la) end, x.w, y.w, 1.0), 6) weight from b left join a x on x.a = la left join a y on y.a = ha""",
+"""
+
+
+@query(
+    WEIGHTS
+    + """select b.gc, round(coalesce(case when la = ha then x.w else x.w + (y.w - x.w) * (b.gc - la) / (ha - la) end, x.w, y.w, 1.0), 6) weight from b left join a x on x.a = la left join a y on y.a = ha""",
     "contigs located",
 )
 def gc_weight_interp(spark, d) -> DataFrame:
@@ -198,6 +206,54 @@ def qual_transition_counts(spark, d) -> DataFrame:
     return fit.quality_transitions(reads(spark, d)).withColumn("pos", F.col("pos").cast("long"))
 
 
+@query(
+    WEIGHTS
+    + """, v as (select b.gc, coalesce(case when la = ha then x.w else x.w + (y.w - x.w) * (b.gc - la) / (ha - la) end, x.w, y.w, 1.0) weight, b.gc in (select a from a) fitted from b left join a x on x.a = la left join a y on y.a = ha)
+select v.gc, concat_ws(chr(9), v.gc::varchar, count(c.gc)::varchar, printf('%.3f', round(round(coalesce(median(coverage), 0.0)::double, 9), 3)), printf('%.3f', round(round(coalesce(avg(coverage), 0.0)::double, 9), 3)), printf('%.6f', weight::double), case when fitted then 'fitted' else 'interpolated' end) line from v left join c on c.gc = v.gc group by v.gc, weight, fitted""",
+    "contigs located",
+)
+def gc_bin_report(spark, d) -> DataFrame:
+    """The report's lines, written and read again."""
+    covered = located(spark, d).select("contig", F.col("pos0").alias("start"), F.least(F.col("pos0") + 100 + F.col("quantity") * 6, F.col("length")).alias("end"))
+    w = staged(fit.window_coverage(fit.gc_windows(contigs(spark, d), 100, 50), intervals.depth(covered), 100), "windows")
+    path = f"{shared_dir(spark)}/gc_bins-{uuid.uuid4().hex}"
+    sinks.write_bins(sinks.gc_bin_lines(w, fit.gc_weights(w, fitted=True)), "gc", sinks.GC_COLUMNS, path)
+    lines = spark.read.text(path).where("value not like 'gc%'")
+    return lines.select(F.split_part("value", F.lit("\t"), F.lit(1)).cast("int").alias("gc"), F.col("value").alias("line"))
+
+
+#: Pieces of even number as the first mate's reads, the others as the second's.
+MATES = """~ r as (select 2 - ((ascii(right(read_id, 1)) - 48 + 1) % 2)::int mate, scores, len(scores) >= 50 and list_sum(list_slice(scores, len(scores) - 49, len(scores))) / 50.0 < 25 degraded from reads),
+x as (select mate, degraded, unnest(range(1, len(scores) + 1)) i, scores from r), t as (select mate::bigint mate, coalesce(degraded, false) degraded, i::bigint pos, (case when i > 1 then scores[i - 1] else -1 end)::int prev, scores[i]::int nxt, count(*) n from x group by all) """
+
+
+def _tensor(spark, d) -> DataFrame:
+    odd = (F.ascii(F.right("read_id", F.lit(1))) - 48) % 2
+    return qualities.tensor(reads(spark, d).withColumn("mate", 1 + odd))
+
+
+@query(MATES + 'select mate, degraded, pos, prev, nxt "next", n from t', "reads")
+def quality_tensor(spark, d) -> DataFrame:
+    """Transitions of both mates' scores, of reads with a degraded tail and of the others."""
+    return _tensor(spark, d)
+
+
+@query(MATES + """, o as (select count(distinct nxt) k from t) select mate, degraded, pos, prev, nxt "next", round(n / sum(n) over (partition by mate, degraded, pos, prev), 12) share from t
+union all select distinct mate, degraded, pos, null, null, round(1 / k, 12) from t, o where prev >= 0""", "reads")
+def quality_populations(spark, d) -> DataFrame:
+    return qualities.shares(qualities.covering(_tensor(spark, d))).withColumn("share", F.round("share", 12))
+
+
+@query(MATES + """, g as (select mate, degraded, pos, prev, (prev + 3) % 42 nxt from t where prev >= 0 group by all), o as (select count(distinct nxt) k from t), w as (select mate, degraded, pos, prev, sum(n) total from t group by all)
+select mate, degraded, count(*) n, round(sum(case when w.total is null then 1 / k else coalesce(t.n, 0) / w.total end), 6) share from (select mate, degraded, pos, prev, nxt from g union all select mate, degraded, pos, -7, nxt from g) g left join t using (mate, degraded, pos, prev, nxt) left join w using (mate, degraded, pos, prev), o group by 1, 2""", "reads")
+def quality_lookup(spark, d) -> DataFrame:
+    """Shares that the model gives for a score three above each one, and after a score that no read has."""
+    t = staged(_tensor(spark, d), "tensor")
+    g = t.where("prev >= 0").select(*qualities.ROW, ((F.col("prev") + 3) % 42).alias("next")).distinct()
+    wanted = g.unionByName(g.withColumn("prev", F.lit(-7)))
+    return qualities.share_of(wanted, qualities.shares(t)).groupBy("mate", "degraded").agg(F.count("*").alias("n"), F.round(F.sum("share"), 6).alias("share"))
+
+
 @query("~ q as (select unnest(scores) q from reads), s as (select q, list_sort(list_transform([2, 11, 25, 37], lambda b: {'d': abs(b - q), 'b': b}))[1].b bin from q) select q::int q, bin::int bin, count(*) n from s group by 1, 2", "reads")
 def snap_to_bin(spark, d) -> DataFrame:
     q = reads(spark, d).select(F.explode("scores").alias("q"))

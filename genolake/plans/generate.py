@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keyed import uniform
-from ..operators import fit, generate, kernel, validate
+from ..operators import equivalence, fit, generate, kernel, mismatches, validate
+from ..staging import staged
 from .compare import r6
 from .inputs import bases_of, contigs, edited, fragments, located, structural, table, with_inputs
 from .segments import SEG, _segments
@@ -186,21 +187,68 @@ def structural_placement(spark, d) -> DataFrame:
     return generate.place_structural(c, 1e-4, {"DEL": (0.5, 6.0, 1.0), "DUP": (0.3, 6.5, 1.0), "INV": (0.2, 7.0, 0.5)}, 11)
 
 
+#: One variant for each eight bases of a document's contig, from the located records: a changed base, two changed bases, or a lost one.
+PLANTED = """~ o as (select contig, seq, pos0 // 8 * 8 + 1 p, min(h) h from located where length(seq) > 8 group by all),
+v as (select contig, p::bigint pos0, h, seq, case when h % 3 = 0 and p + 2 < length(seq) and substr(seq, p + 2, 1) <> 'N' then 'lost' when h % 3 = 1 and p + 1 < length(seq) then 'two' else 'one' end kind from o where p < length(seq)),
+w as (select *, substr(seq, pos0 + 1, 1) a, substr(seq, pos0 + 2, 1) b, translate(substr(seq, pos0 + 1, 2), 'ACGTN', 'CATGA') c from v),
+t as (select contig, h, kind, pos0, a, b, c, seq, case kind when 'one' then a else a || b end ref, case kind when 'one' then c[1:1] when 'two' then c else a end alt from w)"""
+
+
+def _planted(spark, d) -> DataFrame:
+    c = contigs(spark, d)
+    o = located(spark, d).where("length > 8").groupBy("contig", (F.floor(F.col("pos0") / 8) * 8 + 1).alias("pos0")).agg(F.min("h").alias("h"))
+    o = kernel.reference_bases(o.withColumn("n", F.lit(3)), c, "pos0", "n", 3).where("bases != ''")
+    n, h = F.length("bases"), F.col("h")
+    base = lambda i, k=1: F.substring("bases", i, k)
+    kind = F.when((h % 3 == 0) & (n > 2) & (base(2) != "N"), "lost").when((h % 3 == 1) & (n > 1), "two").otherwise("one")
+    o = o.withColumn("kind", kind).withColumn("a", base(1)).withColumn("b", base(2)).withColumn("c", F.translate(base(1, 2), "ACGTN", "CATGA"))
+    ref = F.when(F.col("kind") == "one", F.col("a")).otherwise(F.concat("a", "b"))
+    return o.withColumn("ref", ref).withColumn("alt", F.when(F.col("kind") == "one", F.substring("c", 1, 1)).when(F.col("kind") == "two", F.col("c")).otherwise(F.col("a")))
+
+
 @query(
-    """~ k as (select contig, i - 1 pos0, substr(seq, i, 5) w from (select contig, seq, unnest(range(1, length(seq) - 3)) i from contigs)),
-r as (select * from k where not contains(w, 'N') and w[2] = w[3] and w[3] = w[4] and w[1] <> w[2] and w[5] <> w[2] and pos0 % 2 = 0)
-select contig, 'fn' kind, pos0::bigint pos0, w[1:2] ref, w[1:1] alt from r union all select contig, 'fp', (pos0 + 2)::bigint, w[3:4], w[3:3] from r""",
-    "contigs",
+    PLANTED
+    + """, spelled as (
+  select contig, h, unnest(case when kind = 'two' then [{'pos0': pos0, 'ref': a, 'alt': c[1:1]}, {'pos0': pos0 + 1, 'ref': b, 'alt': c[2:2]}] when kind = 'lost' then [{'pos0': pos0 + 1, 'ref': b || substr(seq, pos0 + 3, 1), 'alt': case when h % 5 = 0 then b else substr(seq, pos0 + 3, 1) end}]
+    else [{'pos0': pos0, 'ref': ref, 'alt': case when h % 4 = 0 then translate(alt, 'ACGT', 'TGCA') else alt end}] end) x from t where h % 11 <> 0),
+c as (select contig, x.pos0::bigint pos0, x.ref ref, x.alt alt from spelled where x.ref <> x.alt),
+fn as (select contig, pos0, ref, alt from t where ref <> alt except select * from c), fp as (select * from c except select contig, pos0, ref, alt from t),
+near as (select x.contig, x.pos0, x.ref, x.alt, s.seq from fp x join contigs s using (contig)),
+calls as (select contig, seq, list({'pos0': pos0, 'ref': ref, 'alt': alt} order by pos0, ref, alt) fps from near group by all),
+g as (select contig, seq, fps, list({'pos0': f.pos0, 'ref': f.ref, 'alt': f.alt} order by f.pos0, f.ref, f.alt) fns from calls join fn f using (contig) group by all),
+walk as (
+  select contig, seq, fps, fns, 1 k, [x.pos0 for x in fps if false] gone_fp, [x.pos0 for x in fns if false] gone_fn from g
+  union all
+  select contig, seq, fps, fns, k + 1, case when same then list_concat(gone_fp, [x.pos0 for x in a]) else gone_fp end, case when same then list_concat(gone_fn, [x.pos0 for x in b]) else gone_fn end
+  from (
+    select *, not list_contains(gone_fp, here) and len(b) > 0 and (
+      list_reduce(list_prepend({'s': substr(seq, lo + 1, here + 51 - lo), 'd': 0::bigint, 'p': 0::bigint, 'r': '', 't': ''}, [{'s': '', 'd': 0::bigint, 'p': x.pos0 - lo, 'r': x.ref, 't': x.alt} for x in a]),
+        lambda u, x: {'s': case when x.p + u.d + length(x.r) <= length(u.s) then substr(u.s, 1, x.p + u.d) || x.t || substr(u.s, x.p + u.d + length(x.r) + 1) else u.s end, 'd': case when x.p + u.d + length(x.r) <= length(u.s) then u.d + length(x.t) - length(x.r) else u.d end, 'p': 0::bigint, 'r': '', 't': ''})).s
+      = (list_reduce(list_prepend({'s': substr(seq, lo + 1, here + 51 - lo), 'd': 0::bigint, 'p': 0::bigint, 'r': '', 't': ''}, [{'s': '', 'd': 0::bigint, 'p': x.pos0 - lo, 'r': x.ref, 't': x.alt} for x in b]),
+        lambda u, x: {'s': case when x.p + u.d + length(x.r) <= length(u.s) then substr(u.s, 1, x.p + u.d) || x.t || substr(u.s, x.p + u.d + length(x.r) + 1) else u.s end, 'd': case when x.p + u.d + length(x.r) <= length(u.s) then u.d + length(x.t) - length(x.r) else u.d end, 'p': 0::bigint, 'r': '', 't': ''})).s same
+    from (select *, fps[k].pos0 here, greatest(fps[k].pos0 - 50, 0) lo, [x for x in fps if abs(x.pos0 - fps[k].pos0) <= 50 and not list_contains(gone_fp, x.pos0)] a, [x for x in fns if abs(x.pos0 - fps[k].pos0) <= 50 and not list_contains(gone_fn, x.pos0)] b from walk where k <= len(fps)))),
+done as (select * from walk where k = len(fps) + 1)
+select contig, 'fp' kind, x.pos0, x.ref ref, x.alt alt from (select contig, gone_fp, unnest(fps) x from done) where list_contains(gone_fp, x.pos0)
+union all select contig, 'fn', x.pos0, x.ref, x.alt from (select contig, gone_fn, unnest(fns) x from done) where list_contains(gone_fn, x.pos0)""",
+    "located",
 )
 def equivalence_sweep(spark, d) -> DataFrame:
-    """A base lost from a run of three: the miss names its first base, and the false call its last (or, at odd places, another change)."""
-    k = kernel.runs_of(contigs(spark, d), 3).withColumn("window_start", F.col("pos0"))
-    b = lambda i: F.substring("window", i, 1)
-    fn = F.struct(F.lit("fn").alias("kind"), F.col("window_start").alias("pos0"), F.substring("window", 1, 2).alias("ref"), b(1).alias("alt"))
-    lost = F.struct(F.lit("fp").alias("kind"), (F.col("window_start") + 2).alias("pos0"), F.substring("window", 3, 2).alias("ref"), b(3).alias("alt"))
-    changed = F.struct(F.lit("fp").alias("kind"), (F.col("window_start") + 2).alias("pos0"), b(3).alias("ref"), b(1).alias("alt"))
-    v = k.select("contig", F.col("window_start").alias("cluster"), "window", "window_start", F.explode(F.array(fn, F.when(F.col("window_start") % 2 == 0, lost).otherwise(changed))).alias("v"))
-    return generate.promote_equivalent(v.select("contig", "cluster", "window", "window_start", "v.*"))
+    """Planted variants against calls that lose some, change some, name two changed bases one by one, and name a lost base from another place; misses
+    and false calls of the comparison go through the sweep."""
+    t = staged(_planted(spark, d), "planted")
+    h, pos = F.col("h"), F.col("pos0").cast("long")
+    one = lambda at, ref, alt: F.struct(at.alias("pos0"), ref.alias("ref"), alt.alias("alt"))
+    after = F.substring("bases", 3, 1)
+    two = F.array(one(pos, F.col("a"), F.substring("c", 1, 1)), one(pos + 1, F.col("b"), F.substring("c", 2, 1)))
+    lost = F.array(one(pos + 1, F.concat("b", after), F.when(h % 5 == 0, F.col("b")).otherwise(after)))
+    same = F.array(one(pos, F.col("ref"), F.when(h % 4 == 0, F.translate("alt", "ACGT", "TGCA")).otherwise(F.col("alt"))))
+    c = t.where("h % 11 != 0").select("contig", F.inline(F.when(F.col("kind") == "two", two).when(F.col("kind") == "lost", lost).otherwise(same))).where("ref != alt").distinct()
+    t = t.where("ref != alt").select("contig", pos.alias("pos0"), "ref", "alt").distinct()
+    key = ["contig", "pos0", "ref", "alt"]
+    return equivalence.equivalent(t.join(c, key, "left_anti"), c.join(t, key, "left_anti"), contigs(spark, d))
+
+
+ORACLES["equivalence_sweep"] = ORACLES["equivalence_sweep"].replace("with", "with recursive", 1)
 
 
 def _md(stream: str, n: str) -> str:
@@ -218,12 +266,28 @@ select ref, rd "read", sum(n)::bigint n from n group by 1, 2 having sum(n) > 0""
 )
 def md_mismatch_matrix(spark, d) -> DataFrame:
     """Mismatches by MD tag of reads that tile the documents' bases."""
-    return generate.md_bases(md_reads(contigs(spark, d)))
+    return mismatches.md_bases(md_reads(contigs(spark, d)))
+
+
+@query(
+    f"""~ t as (select contig, i::int tile_start, substr(seq, i + 1, 100) s from (select contig, seq, unnest(range(0, length(seq), 100)) i from contigs)),
+a as (select *, least({_md('md_clip', '21')}, length(s) - 1) clip from t), b as (select *, greatest(least({_md('md_insert', '6')}, length(s) - clip - 2), 0) ins from a), c as (select *, length(s) - clip - ins al from b),
+e as (select *, case when ins > 0 then 1 + {_md('md_left', 'al - 1')} else al end l, {_md('md_mismatch', 'al')} x from c),
+g as (select contig, tile_start + x pos0, substr(substr(s, clip + 1, l) || substr(s, clip + l + ins + 1, al - l), x + 1, 1) rd, x from e),
+m as (select g.*, case when x % 7 = 0 then rd else translate(rd, 'ACGTN', 'CGTAA') end rf, k.pos0 is not null known from g left join (select distinct contig, pos0 from located where h % 3 = 0) k using (contig, pos0))
+select rf ref, rd "read", (count(*) filter (rf <> rd and not known))::bigint n, (count(*) filter (rf <> rd and known))::bigint masked, (count(*) filter (rf = rd))::bigint stale from m where rd <> 'N' group by 1, 2""",
+    "contigs located",
+)
+def md_report(spark, d) -> DataFrame:
+    """Mismatches of the tiling reads with the sites of located records masked; the tags of one read in seven are older than the read."""
+    r = md_reads(contigs(spark, d), stale=7).withColumn("pos0", F.col("tile_start").cast("long"))
+    return mismatches.md_report(r, located(spark, d).where("h % 3 = 0").select("contig", "pos0"))
 
 
-def md_reads(c: DataFrame) -> DataFrame:
-    """(seq, cigar, md): consecutive reads of 100 bases, the last of a contig shorter. A read's key sets its soft clip and insertion, where
-    it is long enough for them, and the one aligned base whose reference differs; the reference is the next base by alphabet there."""
+def md_reads(c: DataFrame, stale: int = 0) -> DataFrame:
+    """(contig, tile_start, seq, cigar, md): consecutive reads of 100 bases, the last of a contig shorter. A read's key sets its soft clip and insertion, where
+    it is long enough for them, and the one aligned base whose reference differs; the reference is the next base by alphabet there, or, at
+    places divisible by `stale`, the read's own."""
     at = lambda stream, n: F.floor(uniform(11, stream, F.concat_ws(":", "contig", F.col("tile_start").cast("string"))) * n).cast("int")
     r = fit.sequence_tiles(c, 1, 100).where("seq != ''").withColumn("n", F.length("seq"))
     r = r.withColumn("clip", F.least(at("md_clip", 21), F.col("n") - 1))
@@ -232,7 +296,8 @@ def md_reads(c: DataFrame) -> DataFrame:
     base = F.substr("seq", F.col("clip") + F.col("x") + 1 + F.when(F.col("x") >= F.col("left"), F.col("ins")).otherwise(0), F.lit(1))
     part = lambda n, op: F.when(n > 0, F.concat(n.cast("string"), F.lit(op))).otherwise("")
     cigar = F.concat(part(F.col("clip"), "S"), part(F.col("left"), "M"), part(F.col("ins"), "I"), part(F.col("aligned") - F.col("left"), "M"))
-    md = F.concat(F.col("x").cast("string"), F.translate(base, "ACGTN", "CGTAA"), (F.col("aligned") - F.col("x") - 1).cast("string"))
+    other = F.translate(base, "ACGTN", "CGTAA")
+    md = F.concat(F.col("x").cast("string"), F.when(F.col("x") % stale == 0, base).otherwise(other) if stale else other, (F.col("aligned") - F.col("x") - 1).cast("string"))
     return r.select("contig", "tile_start", "seq", cigar.alias("cigar"), md.alias("md"))
 
 

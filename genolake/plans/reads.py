@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vcf
 from ..functions.keyed import poisson, uniform
-from ..operators import compare, fit, intervals, kernel, models, reads as aligned
+from ..operators import compare, corpus, fit, intervals, kernel, models, reads as aligned
+from ..sources import sinks
 from ..staging import shared_dir
 from .compare import AF, _af_pairs, r6
 from .fit import FRAMES, GC, TRINUC, framed
@@ -79,13 +80,13 @@ v as (select o.*, known.pos0 is not null masked from o left join known using (co
 def mate_overlap_matrix(spark, d) -> DataFrame:
     """Bases that two mates both align, against the contigs' bases and known sites."""
     o = _overlaps(spark, d)
-    return fit.overlap_matrix(o.select("bin", F.col("base_a").alias("b1"), F.col("base_b").alias("b2"), F.col("frame").alias("ref"), "masked"))
+    return fit.overlap_matrix(o.select(F.col("bin_a").alias("bin"), F.col("base_a").alias("b1"), F.col("base_b").alias("b2"), F.col("frame").alias("ref"), "masked"))
 
 
 def _overlaps(spark, d) -> DataFrame:
-    o = aligned.mate_overlaps(aligned.mates(_mates(spark, d), ["pos0", "cigar", "seq"]))
-    known = located(spark, d).where("h % 3 = 0").select("contig", "pos0")
-    return aligned.masked(kernel.context(o, contigs(spark, d), flank=0), known)
+    m = _mates(spark, d).withColumn("reverse", ~F.col("first"))
+    o = aligned.mate_overlaps(aligned.mates(m, ["pos0", "cigar", "seq", "reverse"]), contigs(spark, d))
+    return aligned.masked(o, located(spark, d).where("h % 3 = 0").select("contig", "pos0"))
 
 
 DIFFER = "w as (select bin, rf, case when ba = rf then bb else ba end rd, ba, bb, masked from v where ba <> 'N' and bb <> 'N' and rf <> 'N'), x as (select bin, rf, rd, count(*) n from w where not masked and ba <> bb and (ba = rf or bb = rf) group by 1, 2, 3) "
@@ -94,8 +95,9 @@ DIFFER = "w as (select bin, rf, case when ba = rf then bb else ba end rd, ba, bb
 def _disagreements(spark, d) -> tuple[DataFrame, DataFrame]:
     o = _overlaps(spark, d).where("base_a != 'N' and base_b != 'N' and frame != 'N'")
     a, b, r = F.col("base_a"), F.col("base_b"), F.col("frame")
-    counts = o.where(~F.col("masked") & (a != b) & ((a == r) | (b == r))).groupBy("bin", r.alias("ref"), F.when(a == r, b).otherwise(a).alias("read")).agg(F.count("*").alias("n"))
-    return counts, o.groupBy("bin").agg(F.count("*").alias("n"))
+    wrong = F.when(a == r, F.struct(F.col("bin_b").alias("bin"), r.alias("ref"), b.alias("read"))).otherwise(F.struct(F.col("bin_a").alias("bin"), r.alias("ref"), a.alias("read")))
+    counts = o.where(~F.col("masked") & (a != b) & ((a == r) | (b == r))).groupBy(wrong.alias("w")).agg(F.count("*").alias("n")).select("w.*", "n")
+    return counts, o.select(F.explode(F.array("bin_a", "bin_b")).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
 @query("~ " + OVERLAPS + ", " + DIFFER + ", k as (select a.x rf, b.x rd from unnest(['A', 'C', 'G', 'T']) a(x), unnest(['A', 'C', 'G', 'T']) b(x) where a.x <> b.x), s as (select rf, rd, sum(n) n from x group by 1, 2), f as (select k.*, coalesce(n, 0) n, sum(coalesce(n, 0)) over (partition by k.rf) t from k left join s using (rf, rd)) select rf ref, rd \"read\", round(case when t > 0 then n / t else 1 / 3 end, 6) share from f", "located")
@@ -103,6 +105,30 @@ def mate_overlap_fit(spark, d) -> DataFrame:
     return models.fitted_overlaps(_disagreements(spark, d)[0], 1).withColumn("share", r6("share"))
 
 
+@query(
+    "~ " + OVERLAPS + """, y as (select *, (57 - case when k < 30 then k else k - 2 end) * 5 // 58 bin_b from v where ba <> 'N' and bb <> 'N' and rf <> 'N')
+select bin::bigint bin, rf ref, rd "read", count(*) n from (select case when ba = rf then bin_b else bin end bin, rf, case when ba = rf then bb else ba end rd from y where not masked and ba <> bb and (ba = rf or bb = rf)) group by 1, 2, 3
+union all select bin::bigint, '', '', count(*) from (select bin from y union all select bin_b from y) group by 1""",
+    "located",
+)
+def cycle_errors(spark, d) -> DataFrame:
+    """Errors by the cycle of the mate that erred, and the bases compared by cycle (no ref and read)."""
+    counts, bases = _disagreements(spark, d)
+    return counts.unionByName(bases.withColumn("ref", F.lit("")).withColumn("read", F.lit("")))
+
+
+@query(
+    "~ " + OVERLAPS + """, y as (select *, (57 - case when k < 30 then k else k - 2 end) * 5 // 58 bin_b from v where ba <> 'N' and bb <> 'N' and rf <> 'N'),
+e as (select case when ba = rf then bin_b else bin end bin, rf || case when ba = rf then bb else ba end x from y where not masked and ba <> bb and (ba = rf or bb = rf)), n as (select bin, count(*) bases from (select bin from y union all select bin_b from y) group by 1), l as (select n.bin, bases, count(x) k, coalesce(list(x) filter (x is not null), []) xs from n left join e using (bin) group by all)
+select bin::bigint bin, concat_ws(chr(9), bin::varchar, (bin * 20)::varchar || '-' || (bin * 20 + 20)::varchar, bases::varchar, k::varchar, printf('%.6f', k / bases::double),
+  array_to_string(list_transform(['AC', 'AG', 'AT', 'CA', 'CG', 'CT', 'GA', 'GC', 'GT', 'TA', 'TC', 'TG'], lambda c: len(list_filter(xs, lambda z: z = c))::varchar), chr(9))) line from l""",
+    "located",
+)
+def overlap_bin_report(spark, d) -> DataFrame:
+    """A line for each part of the read: bases compared, errors, and which ones."""
+    return sinks.overlap_bin_lines(*_disagreements(spark, d)).withColumnRenamed("value", "line")
+
+
 @query()
 def cycle_spectrum(spark, d) -> DataFrame:
     counts, bases = _disagreements(spark, d)
@@ -242,6 +268,36 @@ def breakpoint_records(spark, d) -> DataFrame:
     return models.mutation_of_breakpoints(b).groupBy("contig", "pos", "alt", "info").agg(F.count("*").alias("n"))
 
 
+@query(
+    """~ s as (select *, id % 20 sample, pos s1, pos + length % 700 s2, case id % 7 when 0 then 'DEL' when 1 then 'DUP' when 2 then 'h2hINV' when 3 then 't2tINV' when 4 then 'TRA' when 5 then 'INV' else 'OTHER' end k from structural),
+c as (select * from s where sample % 3 <> 1), h as (select sample, contig, s1 lo, s2 hi, count(*) n from c where k = 'h2hINV' group by all), t as (select distinct sample, contig, s1 tlo, s2 thi from c where k = 't2tINV'),
+p as (select sample, contig, lo, hi, tlo, thi, abs(lo - tlo) + abs(hi - thi) far from h join t using (sample, contig) where abs(lo - tlo) <= 5000 and abs(hi - thi) <= 5000),
+a as (select * from p qualify row_number() over (partition by sample, contig, lo, hi order by far, tlo, thi) = 1), b as (select * from p qualify row_number() over (partition by sample, contig, tlo, thi order by far, lo, hi) = 1),
+m as (select * from a intersect select * from b),
+r as (select contig, least(lo, tlo) lo, greatest(hi, thi) hi, 'INV' kind, ';EVENTS=2' more, 1 n from m
+  union all select h.contig, h.lo, h.hi, 'INV', '', n - (m.far is not null)::int from h left join m using (sample, contig, lo, hi)
+  union all select contig, s1, s2, case k when 'TRA' then 'BND' else k end, '', 1 from c where k in ('DEL', 'DUP', 'INV', 'TRA')),
+y as (select id % 20 sample, round(avg(cn))::int neutral from structural where id % 20 < 10 group by 1),
+v as (select contig, lo + 1 pos, '<' || kind || '>' alt, case kind when 'BND' then 'SVTYPE=BND' else 'SVTYPE=' || kind || ';END=' || hi::varchar end || more info, '0/1' gt, n from r where kind = 'BND' or hi - lo >= 50
+  union all select contig, pos + 1, '<CNV>', 'SVTYPE=CNV;END=' || (pos + length)::varchar || ';CN=' || cn::varchar, case when cn = 0 then '1/1' else '0/1' end, 1 from c left join y using (sample) where length between 50 and 1500 and cn <> coalesce(neutral, 2)
+  union all select contig, pos, '<INS>', 'SVTYPE=INS;SVLEN=' || length::varchar, '0/1', 1 from s where type = 'INS' and length >= 50)
+select contig, pos::bigint pos, alt, info, gt, sum(n)::bigint n from v group by all having sum(n) > 0""",
+    "structural",
+)
+def variant_corpus(spark, d) -> DataFrame:
+    """Junctions, with the two of an inversion paired, focal segments and insertions of the samples of some projects."""
+    s = structural(spark, d).withColumn("sample", F.col("id") % 20)
+    i = F.col("id") % 7
+    kind = F.when(i == 0, "DEL").when(i == 1, "DUP").when(i == 2, "h2hINV").when(i == 3, "t2tINV").when(i == 4, "TRA").when(i == 5, "INV").otherwise("OTHER")
+    j = s.select("sample", F.col("contig").alias("chrom1"), F.col("pos").alias("start1"), F.col("contig").alias("chrom2"), (F.col("pos") + F.col("length") % 700).alias("start2"), kind.alias("svclass"))
+    segments = s.select("sample", "contig", F.col("pos").alias("start"), (F.col("pos") + F.col("length")).alias("end"), "cn")
+    inserted = s.where("type = 'INS'").select("contig", "pos", F.concat(F.lit("SVTYPE=INS;SVLEN=-"), F.col("length").cast("string")).alias("info"))
+    samples = s.select("sample").distinct().withColumn("project", F.when(F.col("sample") % 3 == 1, "LIVER-US").when(F.col("sample") % 3 == 0, "BRCA-UK").otherwise("BRCA"))
+    ploidy = segments.where("sample < 10").groupBy("sample").agg(F.avg("cn").alias("ploidy"))
+    out = corpus.corpus(j, segments, ploidy, inserted, samples, ["BRCA"], longest=1500, tolerance=5000)
+    return out.groupBy(*corpus.RECORD).agg(F.count("*").alias("n"))
+
+
 @query("~ s as (select id % 20 sample, cn, length from structural), p as (select id % 20 sample, round(avg(cn))::int neutral from structural where id % 20 < 10 group by 1) select s.sample, count(*) n, sum(length)::bigint bases from s left join p using (sample) where length between 50 and 1500 and cn <> coalesce(neutral, 2) group by 1", "structural")
 def focal_segments(spark, d) -> DataFrame:
     s = structural(spark, d).select((F.col("id") % 20).alias("sample"), "contig", F.col("pos").alias("start"), (F.col("pos") + F.col("length")).alias("end"), "cn")

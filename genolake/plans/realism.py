@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import intervals, realism
+from ..operators import breakpoints, intervals, realism
 from .compare import r6
 from .fit import FRAMES, framed
-from .inputs import alignments, fragments, structural, table, with_inputs
+from .inputs import alignments, bed, fragments, structural, table, with_inputs
 
 QUERIES, ORACLES = {}, {}
 
@@ -98,6 +98,60 @@ def near_breakpoints(spark, d) -> DataFrame:
     return realism.near(a, b, 50).groupBy("contig").agg(F.count("*").alias("pairs"), F.sum(F.abs(F.col("pos0") - F.col("r_position"))).alias("total"))
 
 
+#: Reads with clips on either side, by the same alignments: a leading clip as they have it, a trailing one for some.
+CLIPPED = """~ r as (select contig, pos0, pos0 + 60 e, mapq // 30 mapq, left_clip l, case when h % 5 = 0 then (h // 32768) % 40 else 0 end r from (select a.*, f.h from alignments a join fragments f using (id, contig) qualify row_number() over (partition by a.contig, a.id order by a.pos0, f.h) = 1)),
+k as (select contig, pos0, 'L' side, count(*) support, pos0 probe from r where l >= 10 group by all union all select contig, e, 'R', count(*), e - 1 from r where r >= 10 group by all),
+c as (select k.contig, k.pos0, k.side, k.support, count(*) as depth, sum((r.mapq = 0)::int)::bigint mapq0 from k join r on r.contig = k.contig and r.pos0 <= probe and probe < e where support >= 2 group by all),
+s as (select *, case when mapq0 >= 0.5 * depth then 'repeat-like' when support >= 0.3 * depth then 'junction-like' else 'minority-support' end class from c),
+t as (select distinct contig, pos - 1 p from structural) """
+
+
+def _sites(spark, d) -> DataFrame:
+    a = alignments(spark, d).join(fragments(spark, d).select("contig", "id", "h"), ["contig", "id"])
+    kept = F.row_number().over(Window.partitionBy("contig", "id").orderBy("pos0", "h"))
+    a = a.withColumn("k", kept).where("k = 1")
+    right = F.when(F.col("h") % 5 == 0, F.floor(F.col("h") / 32768) % 40).otherwise(0)
+    clip = lambda n: F.when(n > 0, F.concat(n.cast("string"), F.lit("S"))).otherwise("")
+    r = a.select("contig", "pos0", F.floor(F.col("mapq") / 30).alias("mapq"), F.concat(clip(F.col("left_clip")), F.lit("60M"), clip(right)).alias("cigar"))
+    return breakpoints.candidate_sites(r, 10, 2).withColumn("class", breakpoints.site_class())
+
+
+@query(CLIPPED + "select contig, pos0, side, support, depth, mapq0, class from s", "alignments structural")
+def candidate_sites(spark, d) -> DataFrame:
+    """Clip boundaries that reads agree on, of either side, with the reads over them."""
+    return _sites(spark, d)
+
+
+@query(
+    CLIPPED
+    + """, p as (select contig, pos0, min(class) class from s group by 1, 2), n as (select p.contig, pos0, t.p, abs(pos0 - t.p) far from p join t on p.contig = t.contig and abs(pos0 - t.p) <= 40),
+a as (select contig, pos0, p from n qualify row_number() over (partition by contig, pos0 order by far, p) = 1), b as (select contig, pos0, p from n qualify row_number() over (partition by contig, p order by far, pos0) = 1),
+m as (select * from a intersect select * from b), x as (select s.class, (select count(*) from n where n.contig = s.contig and n.pos0 = s.pos0) > 0 close from s), y as (select p.class, m.p is not null met from p left join m using (contig, pos0)),
+u as (select coalesce(class, 'ALL') class, count(*) sites, sum(close::int)::bigint near from x group by rollup (class)), v as (select coalesce(class, 'ALL') class, sum(met::int)::bigint matched from y group by rollup (class))
+select class, sites, near, coalesce(matched, 0)::bigint matched from u left join v using (class)""",
+    "alignments structural",
+)
+def candidates_vs_truth(spark, d) -> DataFrame:
+    """Sites near structural variants, and matched with them one to one, by class."""
+    t = structural(spark, d).select("contig", (F.col("pos") - 1).alias("pos0"))
+    return breakpoints.near_truth(_sites(spark, d), t, 40)
+
+
+@query(
+    """~ b as (select contig, start s, stop e from bed), g as (select contig, s, e, max(e) over (partition by contig order by s, e rows between unbounded preceding and 1 preceding) m from b),
+u as (select contig, s, e, sum((m is null or s > m)::int) over (partition by contig order by s, e rows unbounded preceding) k from g), r as (select contig, min(s) s, max(e) e from u group by contig, k),
+t as (select distinct contig, pos - 1 p from structural), i as (select distinct t.contig, p from t join r on r.contig = t.contig and p >= s and p < e),
+w as (select contig, p - 10 s, p + 11 e, max(p + 11) over (partition by contig order by p rows between unbounded preceding and 1 preceding) m from i), x as (select *, sum((m is null or s > m)::int) over (partition by contig order by s rows unbounded preceding) k from w),
+y as (select contig, min(s) s, max(e) e from x group by contig, k)
+select (select sum(e - s)::bigint from r) bases, sum(least(y.e, r.e) - greatest(y.s, r.s))::bigint near, round(sum(least(y.e, r.e) - greatest(y.s, r.s)) / (select sum(e - s) from r), 9) share from y join r on r.contig = y.contig and y.s < r.e and r.s < y.e""",
+    "bed structural",
+)
+def chance_near_truth(spark, d) -> DataFrame:
+    """The share of the BED's bases that lie near a structural variant."""
+    t = structural(spark, d).select("contig", (F.col("pos") - 1).alias("pos0"))
+    return breakpoints.chance_near(bed(spark, d), t, 10).withColumn("share", F.round("share", 9))
+
+
 PANEL = "select event_type metric, round(median(value) filter (user_id % 2 = 0), 6) a_median, min(value) filter (user_id % 2 = 0) a_min, max(value) filter (user_id % 2 = 0) a_max, round(median(value) filter (user_id % 2 = 1), 6) b_median, min(value) filter (user_id % 2 = 1) b_min, max(value) filter (user_id % 2 = 1) b_max, round(median(value) filter (user_id % 2 = 0) / median(value) filter (user_id % 2 = 1), 6) ratio from events group by 1"
 
 

@@ -7,48 +7,80 @@ from pyspark.sql import functions as F
 
 from ..staging import join_small, staged
 
-
 #: Lines of a file over which one task sums.
 LINES = 1_000_000
+#: Bases of a tile: whole lines of 60, and whole tiles of the kernel's 4096.
+BASES = 61_440
+
+
+def _splits(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """(file, split, at, text): lines with the file's block that they were read from, and an order inside it."""
+    t = spark.read.options(**options).text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    return t.select(F.col("file_path").alias("file"), F.col("file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
 
 
-def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, text): lines in file order, from 0 in each file. A split's lines are numbered where they are read; what lies
-    before a split is the sum of the counts of the file's earlier splits, a row each."""
-    t = spark.read.text(path).select(F.input_file_name().alias("file"), F.spark_partition_id().alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
+def numbered(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """(file, line_no, text): lines in file order, from 0 in each file. options: of Spark's text reader. A block's lines are numbered where they are read; what lies
+    before a block is the sum of the counts of the file's earlier blocks, a row each."""
+    t = _splits(spark, path, **options)
     counts = t.groupBy("file", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     counts = staged(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "splits")
     return join_small(t, counts, ["file", "split"], "inner").select("file", (F.col("before") + F.col("at") - F.col("first")).alias("line_no"), "text")
 
 
-def _running(lines: DataFrame, value: Column, name: str) -> DataFrame:
-    """lines (file, line_no, ...) with the running sum of value in each file, LINES at a time."""
-    t = lines.withColumn("block", F.floor(F.col("line_no") / LINES)).withColumn(name, value.cast("long"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = t.groupBy("file", "block").agg(F.sum(name).alias("own")).select("file", "block", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("before"))
-    within = F.sum(name).over(Window.partitionBy("file", "block").orderBy("line_no"))
-    return t.withColumn(name, within).join(sums, ["file", "block"]).withColumn(name, F.col(name) + F.col("before")).drop("block", "before")
+def _fasta_lines(spark: SparkSession, path: str, joined: bool) -> tuple[DataFrame, DataFrame]:
+    """Lines of bases (file, ord, at, text), `at` their offset in the contig, and contigs (file, ord, contig, length). A block's lines are scanned
+    by itself; headers and bases before it come from sums of the blocks, a row each."""
+    head = F.col("text").startswith(">")
+    t = _splits(spark, path).withColumn("text", F.trim("text")).where("text != ''")
+    t = t.withColumn("head", head.cast("long")).withColumn("long", F.when(head, 0).otherwise(F.length("text")).cast("long"))
+    group = F.lit("").alias("group") if joined else F.col("file").alias("group")
+    own = t.groupBy("file", "split").agg(F.sum("head").alias("n_head"), F.sum("long").alias("n_long"))
+    past = Window.partitionBy("group").orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)
+    carry = own.select("file", "split", group).join(own, ["file", "split"]).select("group", "file", "split", *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"past_{c}") for c in ("n_head", "n_long")])
+    inside = Window.partitionBy("file", "split").orderBy("at")
+    t = t.withColumn("ord", F.sum("head").over(inside)).withColumn("upto", F.sum("long").over(inside)).join(carry, ["file", "split"])
+    t = t.select("group", (F.col("ord") + F.col("past_n_head")).alias("ord"), (F.col("upto") + F.col("past_n_long")).alias("upto"), "head", "long", "text")
+    bad = F.when(F.col("ord") == 0, F.raise_error(F.lit("not FASTA: text before the first header"))).otherwise(True).cast("boolean")
+    t = staged(t.where(bad), "lines")
+    heads = t.where("head = 1").select("group", "ord", F.col("upto").alias("base"), F.regexp_extract("text", r"^>\s*(\S+)", 1).alias("contig"))
+    sums = t.groupBy("group", "ord").agg(F.sum("long").alias("length"))
+    heads = staged(heads.join(sums, ["group", "ord"]), "headers")
+    lines = join_small(t.where("head = 0"), heads.select("group", "ord", "base"), ["group", "ord"], "inner")
+    return lines.select("group", "ord", (F.col("upto") - F.col("long") - F.col("base")).alias("at"), "text"), heads.select("group", "ord", "contig", "length")
+
+
+def cut_tiles(pieces: DataFrame, key: list[str], tile: int = BASES) -> DataFrame:
+    """(key, tile, start, seq): tiles of `tile` bases put together from pieces (key, at, text) that follow each other without gaps, at: a piece's
+    offset. No row holds more than a tile, or a piece."""
+    first, last = F.floor(F.col("at") / tile), F.floor((F.col("at") + F.length("text") - 1) / tile)
+    t = pieces.where("text != ''").withColumn("tile", F.explode(F.sequence(first, last)))
+    a, b = F.greatest(F.col("tile") * tile - F.col("at"), F.lit(0)), F.least((F.col("tile") + 1) * tile - F.col("at"), F.length("text").cast("long"))
+    # as bytes, so that a place in a long piece is found at once
+    part = F.substr(F.col("text").cast("binary"), (a + 1).cast("int"), (b - a).cast("int")).cast("string")
+    g = t.select(*key, "tile", (F.col("at") + a).alias("at"), part.alias("part")).groupBy(*key, "tile").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))
+    return g.select(*key, "tile", (F.col("tile") * tile).alias("start"), F.array_join(F.col("parts.part"), "").alias("seq"))
+
+
+def fasta_tiles(spark: SparkSession, path: str, tile: int = BASES, joined: bool = False) -> DataFrame:
+    """(contig, ord, tile, start, seq): the bases of FASTA files in tiles, so that a chromosome is many rows and many tasks. The name is the header's
+    first token; ord counts contigs in a file. joined: the files under path, by name, are parts of one. Text before the first header is
+    refused. A line is read by one task: a file without line breaks has tiles, but one reader."""
+    lines, heads = _fasta_lines(spark, path, joined)
+    return join_small(cut_tiles(lines, ["group", "ord"], tile), heads, ["group", "ord"], "inner").select("contig", "ord", "tile", "start", "seq")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(contig, ord, seq): the name is the header's first token. Text before the first header is refused."""
-    t = numbered(spark, path).where("text != ''")
-    name = F.when(F.col("text").startswith(">"), F.regexp_extract("text", r"^>\s*(\S+)", 1))
-    t = _running(t, F.col("text").startswith(">"), "ord").withColumn("name", name)
-    t = t.withColumn("ok", F.when(F.col("ord") == 0, F.raise_error(F.lit("not FASTA: text before the first header"))).otherwise(True).cast("boolean"))
-    lines = F.array_sort(F.collect_list(F.when(F.col("name").isNull() & F.col("ok"), F.struct("line_no", "text"))))
-    g = t.groupBy("file", "ord").agg(F.max("name").alias("contig"), lines.alias("lines"))
-    return g.select("contig", "ord", F.array_join(F.transform("lines", lambda x: F.trim(x["text"])), "").alias("seq"))
+    """(contig, ord, seq): whole contigs, one a row; for chromosomes, fasta_tiles()."""
+    lines, heads = _fasta_lines(spark, path, False)
+    t = cut_tiles(lines, ["group", "ord"]).groupBy("group", "ord").agg(F.array_sort(F.collect_list(F.struct("tile", "seq"))).alias("tiles"))
+    return heads.join(t, ["group", "ord"], "left").select("contig", "ord", F.coalesce(F.array_join(F.col("tiles.seq"), ""), F.lit("")).alias("seq"))
 
 
 def fasta_lengths(spark: SparkSession, path: str) -> DataFrame:
     """(contig, length) without putting sequences together."""
-    t = numbered(spark, path)
-    head = F.col("text").startswith(">")
-    t = _running(t, head, "ord")
-    g = t.groupBy("file", "ord").agg(F.max(F.when(head, F.regexp_extract("text", r"^>\s*(\S+)", 1))).alias("contig"), F.sum(F.when(head, 0).otherwise(F.length(F.trim("text")))).alias("length"))
-    return g.select("contig", "length")
+    return _fasta_lines(spark, path, False)[1].select("contig", "length")
 
 
 def vcf_records(lines: DataFrame) -> DataFrame:
@@ -88,7 +120,7 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(file, record, name, seq, quality): a truncated record is an error."""
-    from ..operators.validate import fastq_records
+    from ..operators.validate import fastq_records  # which reads lines by this module
 
     r = fastq_records(numbered(spark, path))
     whole = F.when(F.col("n_lines") == 4, F.substr("name", F.lit(2))).otherwise(F.raise_error(F.lit("FASTQ: truncated record")).cast("string"))
