@@ -91,8 +91,13 @@ def train(features: np.ndarray, inside: np.ndarray, begins: np.ndarray, buckets:
     if not len(inside):
         return weights[:-1], -LIMIT, chain
     rng = np.random.default_rng(seed)
-    used, dense = np.unique(features, return_inverse=True)
-    dense = dense.reshape(features.shape)
+    # buckets in use, by a table and not by sorting, as the driver holds this
+    seen = np.zeros(buckets + 1, bool)
+    seen[features + 1] = True
+    used = np.flatnonzero(seen) - 1
+    place = np.zeros(buckets + 1, np.int32)
+    place[used + 1] = np.arange(len(used))
+    dense = place[features + 1]
     own, past = np.zeros(len(used)), np.full(len(used), 1e-3)
     none = np.flatnonzero(used < 0)
     small, small_past = np.array([bias, chain.enter, chain.leave, chain.stay, chain.start]), np.full(5, 1.0)
@@ -112,8 +117,8 @@ def train(features: np.ndarray, inside: np.ndarray, begins: np.ndarray, buckets:
             past += slope * slope
             own -= step * slope / np.sqrt(past)
             go = ~first
-            seen = [go & (before == 0) & (y == 1), go & (before == 1) & (y == 0), go & (before == 1) & (y == 1)]
-            slopes = np.array([wrong.sum(), *[p.sum() - s.sum() for p, s in zip(pair, seen, strict=True)], wrong[first].sum()]) / len(some) + 1e-3 * small
+            held = [go & (before == 0) & (y == 1), go & (before == 1) & (y == 0), go & (before == 1) & (y == 1)]
+            slopes = np.array([wrong.sum(), *[p.sum() - s.sum() for p, s in zip(pair, held, strict=True)], wrong[first].sum()]) / len(some) + 1e-3 * small
             small_past += slopes * slopes
             small -= step * slopes / np.sqrt(small_past)
     weights[used[used >= 0]] = own[used >= 0]

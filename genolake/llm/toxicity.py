@@ -228,14 +228,15 @@ def train_chains(rows: DataFrame, marks: np.ndarray | None = None, most: dict[bo
     marks say which tokens of a text of label 1 are toxic. At most `most` pieces with and without toxic tokens are learned from."""
     cut = staged(rows.select("text", "label", "inside").mapInArrow(_chains(np.zeros(0, np.int32) if marks is None else marks), "toxic boolean, features binary, inside binary"), "chains")
     order = F.xxhash64("features", "inside")
-    got = [r for toxic in (True, False) for r in cut.where(F.col("toxic") == toxic).orderBy(order, "features").limit(most[toxic]).collect()]
+    got = [cut.where(F.col("toxic") == toxic).orderBy(order, "features").limit(most[toxic]).select("features", "inside").toArrow() for toxic in (True, False)]
     discard(cut)
-    features = [np.frombuffer(r.features, "<i4").reshape(-1, KINDS) for r in got]
-    begins = np.zeros(sum(map(len, features)), bool)
-    begins[np.cumsum([0, *map(len, features[:-1])])[: len(features)]] = True
-    if not any(r.toxic for r in got):
+    if not len(got[0]):
         return Model(np.zeros(KINDS << BITS, np.float32), -crf.LIMIT, crf.Chain())
-    return Model(*crf.train(np.concatenate(features), np.concatenate([np.frombuffer(r.inside, np.uint8) for r in got]).astype(np.int64), begins, KINDS << BITS))
+    inside = [np.frombuffer(x, np.uint8) for t in got for x in t.column("inside").to_pylist()]
+    features = np.frombuffer(b"".join(x for t in got for x in t.column("features").to_pylist()), "<i4").reshape(-1, KINDS)
+    begins = np.zeros(len(features), bool)
+    begins[np.cumsum([0, *map(len, inside[:-1])])] = True
+    return Model(*crf.train(features, np.concatenate(inside).astype(np.int64), begins, KINDS << BITS))
 
 
 def calibrate(model: Model, rows: DataFrame, weight: dict[int, float]) -> Model:
