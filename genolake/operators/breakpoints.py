@@ -26,7 +26,7 @@ def candidate_sites(reads: DataFrame, least_clip: int = 20, support: int = 3) ->
     event = lambda at, sign: F.struct(F.col(at).alias("at"), F.lit(sign).cast("long").alias("d"), (F.col("low") * sign).alias("m"))
     events = r.where("start < end").select("contig", F.inline(F.array(event("start", 1), event("end", -1)))).groupBy("contig", "at").agg(F.sum("d").alias("d"), F.sum("m").alias("m"))
     probes = sites.select("contig", F.greatest(F.col("pos0") - (F.col("side") == "R").cast("long"), F.lit(0)).alias("at"), F.struct("pos0", "side", "support").alias("site"))
-    both = events.unionByName(probes, allowMissingColumns=True).withColumn("later", F.col("site").isNotNull().cast("int"))
+    both = staged(events.unionByName(probes, allowMissingColumns=True).withColumn("later", F.col("site").isNotNull().cast("int")), "clips")
     seen = running(both, ["contig"], "at", {"depth": ("sum", F.col("d")), "mapq0": ("sum", F.col("m"))}, ties=["later"])
     return seen.where("later = 1").select("contig", "site.pos0", "site.side", "site.support", "depth", "mapq0")
 

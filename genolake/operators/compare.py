@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vcf
-from ..staging import join_small
+from ..staging import join_small, staged
 from .intervals import points_in
 from .scan import ranged, running
 
@@ -102,7 +102,7 @@ def ranks_by_value(df: DataFrame, column: str) -> DataFrame:
 
 def fraction_metrics(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(n, pearson, spearman, mae, rmse, bias) of two columns; a correlation without variance or with n < 2 is null."""
-    both = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
+    both = staged(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b), "pairs")
     ranked = both.join(ranks_by_value(both, a).withColumnRenamed("rank", "rank_a"), a).join(ranks_by_value(both, b).withColumnRenamed("rank", "rank_b"), b)
     d = F.col(b) - F.col(a)
 

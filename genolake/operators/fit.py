@@ -34,7 +34,7 @@ def runs(contigs: DataFrame, unknown: bool = False, tile: int = TILE) -> DataFra
     # pieces are disjoint: where one begins and none ends, a run begins, and the runs are the stretches between such places
     edges = t.select("contig", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("e"))
     edges = edges.groupBy("contig", F.col("e.at").alias("start")).agg(F.sum("e.d").alias("d")).where("d != 0")
-    return following(edges, ["contig"], "start", "end").where("d = 1").select("contig", "start", "end")
+    return following(staged(edges, "edges"), ["contig"], "start", "end").where("d = 1").select("contig", "start", "end")
 
 
 def homopolymers(contigs: DataFrame, cap: int) -> DataFrame:
@@ -156,7 +156,7 @@ def window_coverage(windows: DataFrame, depth: DataFrame, size: int) -> DataFram
     w = windows.select("contig", F.struct(*windows.columns).alias("window"), F.inline(F.array(F.struct(F.col("start").cast("long").alias("at"), F.lit(-1).alias("sign")), F.struct((F.col("start") + size).cast("long").alias("at"), F.lit(1).alias("sign")))))
     run = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("depth").cast("long").alias("depth"))
     runs = depth.select("contig", F.col("start").cast("long").alias("at"), F.lit(0).alias("sign"), run.alias("run"), ((F.col("end") - F.col("start")) * F.col("depth")).cast("long").alias("held"))
-    both = runs.unionByName(w, allowMissingColumns=True).withColumn("later", F.abs("sign"))
+    both = staged(runs.unionByName(w, allowMissingColumns=True).withColumn("later", F.abs("sign")), "edges")
     seen = running(both, ["contig"], "at", {"total": ("sum", F.col("held")), "last": ("max", F.col("run"))}, ties=["later"]).where("later = 1")
     beyond = F.coalesce(F.greatest(F.col("last.end") - F.col("at"), F.lit(0)) * F.col("last.depth"), F.lit(0))
     g = seen.groupBy("window").agg((F.sum(F.col("sign") * (F.col("total") - beyond)) / size).alias("coverage"))

@@ -71,9 +71,9 @@ def touching(rows: DataFrame, intervals: DataFrame, start: Column, last: Column,
     once, however many it meets. An interval that starts at or before `last` is met if it ends after `start`; the greatest end of
     those tells. Rows without contig or places meet nothing."""
     known = F.coalesce(F.col("contig").isNotNull() & start.isNotNull() & last.isNotNull(), F.lit(False))
-    met = _scanned(rows.where(known), intervals, last, F.col("end").cast("long"), "_end")
-    hit = F.coalesce(F.col("_end") > start, F.lit(False))
-    kept = met.where(~hit if anti else hit).drop("_end")
+    met = _scanned(rows.where(known), intervals, last, F.col("end").cast("long"), "__reach")
+    hit = F.coalesce(F.col("__reach") > start, F.lit(False))
+    kept = met.where(~hit if anti else hit).drop("__reach")
     return kept.unionByName(rows.where(~known)) if anti else kept
 
 
@@ -86,7 +86,7 @@ def depth(intervals: DataFrame) -> DataFrame:
     """(contig, start, end, depth): maximal runs of equal depth above 0. Two events an interval and a running sum by tiles; no base is
     a row."""
     events = intervals.select("contig", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("e"))
-    events = events.groupBy("contig", F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d")).where("d != 0")
+    events = staged(events.groupBy("contig", F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d")).where("d != 0"), "events")
     runs = following(running(events, ["contig"], "at", {"depth": ("sum", F.col("d"))}), ["contig"], "at", "end")
     return runs.where("depth > 0").select("contig", F.col("at").alias("start"), "end", "depth")
 
@@ -97,7 +97,7 @@ def elementary(*sides: DataFrame) -> DataFrame:
     for s in sides:
         own = s.select("contig", F.explode(F.array("start", "end")).alias("start"))
         points = own if points is None else points.union(own)
-    return following(points.distinct(), ["contig"], "start", "end").where("end is not null")
+    return following(staged(points.distinct(), "break_points"), ["contig"], "start", "end").where("end is not null")
 
 
 def _pieces(segments: DataFrame, changes: DataFrame, width: int, *columns: str) -> tuple[DataFrame, DataFrame]:
@@ -106,8 +106,8 @@ def _pieces(segments: DataFrame, changes: DataFrame, width: int, *columns: str)
     hit = overlaps(segments.select("contig", "start", "end"), changes, width).select("contig", F.col("lo").alias("start"), F.col("hi").alias("end"), *[F.col(f"r_{c}").alias(c) for c in columns])
     hit = staged(hit, "covered")
     whole = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("value").alias("value"))
-    cut = _scanned(elementary(segments.select("contig", "start", "end"), hit), segments, F.col("start"), whole, "_segment").where(F.col("_segment.end") > F.col("start"))
-    return hit, staged(cut.select("contig", "start", "end", F.col("_segment.value").alias("value")), "cut")
+    cut = _scanned(elementary(segments.select("contig", "start", "end"), hit), segments, F.col("start"), whole, "__segment").where(F.col("__segment.end") > F.col("start"))
+    return hit, staged(cut.select("contig", "start", "end", F.col("__segment.value").alias("value")), "cut")
 
 
 def override(segments: DataFrame, changes: DataFrame, width: int = BIN) -> DataFrame:
@@ -130,8 +130,8 @@ def multiply(segments: DataFrame, factors: DataFrame, width: int = BIN) -> DataF
 def value_at(points: DataFrame, segments: DataFrame, position: str = "pos0") -> DataFrame:
     """points with `value`: that of the segment (disjoint) that holds them, 0 in gaps. Of the segments that start at or before a point the
     last one is looked up, in one scan along the contig; points have a contig and a place."""
-    found = _scanned(points, segments, F.col(position), F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("value").cast("double").alias("value")), "_segment")
-    return found.withColumn("value", F.when(F.col("_segment.end") > F.col(position), F.col("_segment.value")).otherwise(F.lit(0.0))).drop("_segment")
+    found = _scanned(points, segments, F.col(position), F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("value").cast("double").alias("value")), "__segment")
+    return found.withColumn("value", F.when(F.col("__segment.end") > F.col(position), F.col("__segment.value")).otherwise(F.lit(0.0))).drop("__segment")
 
 
 def exclude_points(segments: DataFrame, points: DataFrame, position: str = "pos0", width: int = BIN) -> DataFrame:

@@ -108,10 +108,10 @@ def masked(bases: DataFrame, known: DataFrame, position: str = "pos0") -> DataFr
 def in_bed(names: DataFrame, bed: DataFrame, contig: Column) -> DataFrame:
     """FASTQ records (name, ...) whose name's fragment overlaps an interval of the BED, each once; a name without a fragment, or with an
     empty one, goes."""
-    kept = names.columns
-    f = names.withColumn("_f", fragment_of_name(F.col("name"))).where("_f.start < _f.end")
-    f = f.select(F.struct(*kept).alias("_record"), contig.alias("contig"), "_f")
-    return touching(f, bed, F.col("_f.start"), F.col("_f.end") - 1).select("_record.*")
+    part = fragment_of_name(F.col("name"))
+    # as rows of a generator, so that a name is parsed once and not at each use
+    f = names.select(F.struct(*names.columns).alias("_record"), F.inline(F.array(F.struct(contig.alias("contig"), part["start"].alias("_start"), part["end"].alias("_end")))))
+    return touching(f.where("_start < _end"), bed, F.col("_start"), F.col("_end") - 1).select("_record.*")
 
 
 def vcf_lines_in_bed(lines: DataFrame, bed: DataFrame) -> DataFrame:

@@ -134,8 +134,10 @@ def count_fastq(spark: SparkSession, path: str) -> int:
 
 def fragment_of_name(name: Column) -> Column:
     """struct(start, end, uniq) from the last three `_` parts of a read's name."""
-    p = lambda i: F.regexp_extract(name, r"_(\d+)_(\d+)_([^_/]+)(?:/[12])?$", i)
-    return F.when(p(1) != "", F.struct(p(1).cast("long").alias("start"), p(2).cast("long").alias("end"), p(3).alias("uniq")))
+    parts = F.split(F.regexp_replace(name, "/[12]$", ""), "_")
+    p = lambda i: F.get(parts, F.size(parts) - i)
+    whole = (F.size(parts) > 3) & p(3).rlike("^[0-9]+$") & p(2).rlike("^[0-9]+$") & (p(1) != "") & ~p(1).contains("/")
+    return F.when(whole, F.struct(p(3).try_cast("long").alias("start"), p(2).try_cast("long").alias("end"), p(1).alias("uniq")))
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
