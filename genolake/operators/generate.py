@@ -4,11 +4,16 @@ Every draw is a keyed uniform, so a row's result depends on its key and the seed
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keyed import key_hash, pick, uniform
 from ..functions.sequence import reverse_complement
+from ..staging import ship
+from .mismatches import md_bases as md_bases  # callers look for it here too
 from .scan import running
 
 
@@ -162,6 +167,47 @@ def junction_reads(svs: DataFrame, contigs: DataFrame, arm: int) -> DataFrame:
     return s.where(seq.isNotNull()).select("id", "type", seq.alias("seq"))
 
 
+def _apply(ref: str, at: int, variants: list[tuple[int, str, str]]) -> str | None:
+    """ref (from position `at`) with the variants in it; None if they overlap or don't fit."""
+    out, end = [], 0
+    for pos, r, a in sorted(variants):
+        i = pos - at
+        if i < end or ref[i : i + len(r)] != r:
+            return None
+        out += [ref[end:i], a]
+        end = i + len(r)
+    return "".join(out) + ref[end:]
+
+
+def promote_equivalent(candidates: DataFrame) -> DataFrame:
+    """(contig, kind, pos0, ref, alt) of misses and false calls that spell the same sequence. candidates: contig, cluster, window,
+    window_start, kind (fn, fp), pos0, ref, alt: a cluster's variants lie near each other, and `window` is the reference around
+    all of them. False calls are taken by position; one is settled with the misses near it if both sides give the same bases,
+    and each miss is used once. A cluster is the unit, so a contig is many tasks. One call at a time, whatever other calls lie near; sets of
+    calls are settled by equivalence.equivalent()."""
+
+    def settle(ref: str, at: int, variants: list) -> list[tuple]:
+        left = sorted((v["pos0"], v["ref"], v["alt"]) for v in variants if v["kind"] == "fn")
+        out = []
+        for fp in sorted((v["pos0"], v["ref"], v["alt"]) for v in variants if v["kind"] == "fp"):
+            spelled = _apply(ref, at, [fp])
+            spans = [left[i : i + n] for n in range(1, len(left) + 1) for i in range(len(left) - n + 1)]
+            same = next((x for x in spans if spelled is not None and _apply(ref, at, x) == spelled), None)
+            if same:
+                out += [("fp", *fp), *(("fn", *v) for v in same)]
+                left = [v for v in left if v not in same]
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(c, *row) for c, ref, at, v in zip(pdf["contig"], pdf["window"], pdf["window_start"], pdf["variants"], strict=True) for row in settle(ref, int(at), v)]
+            yield pd.DataFrame(found, columns=["contig", "kind", "pos0", "ref", "alt"])
+
+    ship(candidates.sparkSession)
+    grouped = candidates.groupBy("contig", "cluster").agg(F.first("window").alias("window"), F.first("window_start").alias("window_start"), F.collect_list(F.struct("kind", "pos0", "ref", "alt")).alias("variants"))
+    return grouped.drop("cluster").mapInPandas(run, "contig string, kind string, pos0 long, ref string, alt string")
+
+
 def place_structural(contigs: DataFrame, rate: float, types: dict[str, tuple[float, float, float]], seed: int, retries: int = 10) -> DataFrame:
     """(contig, type, start, end): structural variants that don't overlap, placed one after another in each contig (contig, length);
     types: name -> (probability, mu, sigma) of log-normal lengths. A draw that overlaps or doesn't fit is drawn again, `retries` times."""
