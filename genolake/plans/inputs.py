@@ -151,7 +151,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def located(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(contig, pos0, length, h, ref, id, quantity): the records of line items whose part names a document, at a place of its contig."""
     # behind a shuffle of two columns, as a length would be counted anew for each record that meets its contig
-    c = contigs(spark, sf_dir).select("contig", F.length("seq").cast("long").alias("length")).repartition("contig").where("length > 0")
+    c = contigs(spark, sf_dir).select("contig", F.length("seq").cast("long").alias("length")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "contig").where("length > 0")
     r = records(spark, sf_dir).select(F.concat(F.lit("doc"), F.col("part_id").cast("string")).alias("contig"), "h", "ref", F.concat_ws(":", F.col("order_id").cast("string"), F.col("line_id").cast("string"), (F.col("h") % 1000).cast("string")).alias("id"), F.col("quantity").cast("long").alias("quantity"))
     return r.join(c, "contig").withColumn("pos0", F.col("h") % F.col("length"))
 
