@@ -101,3 +101,38 @@ def test_chains_of_settled_calls(spark):
     for reach in (1, 5):
         assert swept(spark, {"c": seq}, misses, calls, reach) == walk({"c": seq}, misses, calls, reach)
     assert swept(spark, {"c": seq}, [], calls) == [] and swept(spark, {"c": seq}, misses, []) == []
+
+
+def test_chains_take_few_jobs(spark):
+    """Verdicts that free one another along a contig cost jobs by tiles, not by verdicts: the driver keeps something of each job."""
+    seq = "ACGT" * 200
+    misses = [("c", 5 + 4 * i, seq[5 + 4 * i : 7 + 4 * i], "TT") for i in range(60)]
+    calls = [("c", p + k, ref[k], "T") for _, p, ref, _ in misses for k in (0, 1)]
+    context = spark.sparkContext
+    context.setJobGroup("few jobs", "")
+    try:
+        assert swept(spark, {"c": seq}, misses, calls, 5) == walk({"c": seq}, misses, calls, 5)
+        assert len(context.statusTracker().getJobIdsForGroup("few jobs")) <= 30
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize(("reach", "tile"), [(2, 1), (3, 16), (9, 20)])
+def test_tiles_change_one_another(spark, reach, tile):
+    """Calls near the end of a tile settle what the next tile would have used; chains run over many tiles."""
+    r = random.Random(reach)
+    contigs = {"a": "".join(r.choice("AC") for _ in range(300)), "b": "ACGT" * 30, "short": "AC"}
+    misses, calls = [], []
+    for c, seq in contigs.items():
+        for p in range(0, len(seq) - 2, 2):
+            ref = seq[p : p + 2]
+            misses.append((c, p, ref, "TT"))
+            calls += [(c, p + k, ref[k], "T") for k in (0, 1) if ref[k] != "T" and r.random() < 0.95]
+    got = equivalent(*(spark.createDataFrame(x, KEY) for x in (misses, calls)), spark.createDataFrame(list(contigs.items()), "contig string, seq string"), reach, tile)
+    want = walk(contigs, misses, calls, reach)
+    assert want and sorted((v.contig, v.kind, v.pos0, v.ref, v.alt) for v in got.collect()) == want
+
+
+def test_calls_beyond_the_contig(spark):
+    """A window without bases settles nothing."""
+    assert swept(spark, {"c": "ACGT"}, [("c", 60, "A", "C"), ("d", 1, "C", "G")], [("c", 60, "A", "G"), ("d", 1, "C", "A")]) == []
