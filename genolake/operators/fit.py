@@ -208,7 +208,7 @@ def degraded(reads: DataFrame, window: int = 50, cut: float = 25.0) -> DataFrame
 
 
 def overlap_matrix(bases: DataFrame) -> DataFrame:
-    """(bin, outcome, n) from bases that two mates both read (cycle bin, b1, b2, ref, masked): masked, agree, first or second
-    disagrees with the reference, or neither matches."""
+    """(bin, outcome, n) from bases that two mates both read (cycle bin, b1, b2, ref, masked; with `n` a row stands for so many): masked,
+    agree, first or second disagrees with the reference, or neither matches."""
     outcome = F.when(F.col("masked"), "masked").when(F.col("b1") == F.col("b2"), "agree").when(F.col("b2") == F.col("ref"), "first_differs").when(F.col("b1") == F.col("ref"), "second_differs").otherwise("neither")
-    return bases.groupBy("bin", outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    return bases.groupBy("bin", outcome.alias("outcome")).agg((F.sum("n") if "n" in bases.columns else F.count("*")).alias("n"))

@@ -74,13 +74,51 @@ def _recut(large: DataFrame, tile: int, before: int, after: int) -> DataFrame:
     return cut.select("contig", F.floor(place / tile).alias("tile"), place.alias("tile_start"), (F.col("start") - F.col("led") + first).alias("seq_start"), seq.alias("seq"))
 
 
-def reference_bases(spans: DataFrame, contigs: DataFrame, start: str, length: str, most: int, tile: int = 4096) -> DataFrame:
+def ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of an array of strings or binaries."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    data = column.buffers()[2]
+    return offsets.astype(np.int64), np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+
+
+def _flagged(tiled: DataFrame, sites: DataFrame, tile: int, after: int) -> DataFrame:
+    """tiles (contig, tile, seq_start, seq) with `flags`: a byte for each base, 1 at sites (contig, pos0). A tile's sites are one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, _ = ragged(seq := batch.column("seq"))
+            at = batch.column("at")
+            row = np.repeat(np.arange(len(seq)), np.diff(at.offsets.to_numpy()))
+            place = offsets[row] + at.flatten().to_numpy(zero_copy_only=False)
+            flags = np.zeros(offsets[-1] - offsets[0], np.uint8)
+            flags[place[place < offsets[row + 1]] - offsets[0]] = 1
+            binary = pa.Array.from_buffers(pa.binary(), len(seq), [None, pa.py_buffer((offsets - offsets[0]).astype(np.int32)), pa.py_buffer(flags)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("contig", "tile", "seq_start", "seq")), binary], ["contig", "tile", "seq_start", "seq", "flags"])
+
+    t = F.explode(F.sequence(F.greatest(F.floor((F.col("pos0") - after) / tile), F.lit(0).cast("long")), F.floor(F.col("pos0") / tile)))
+    filed = sites.where("pos0 >= 0").select("contig", F.col("pos0").cast("long").alias("pos0"), t.alias("tile"))
+    held = filed.groupBy("contig", "tile").agg(F.collect_set((F.col("pos0") - F.col("tile") * tile).cast("int")).alias("at"))
+    both = tiled.select("contig", "tile", "seq_start", "seq").join(held, ["contig", "tile"], "left").withColumn("at", F.coalesce("at", F.array().cast("array<int>")))
+    ship(tiled.sparkSession)
+    return both.mapInArrow(run, "contig string, tile long, seq_start long, seq string, flags binary")
+
+
+def reference_bases(spans: DataFrame, contigs: DataFrame, start: str, length: str, most: int, tile: int = 4096, sites: DataFrame | None = None) -> DataFrame:
     """spans (contig, start, length <= most, ...) with `bases`, those of the contig there: fewer at its end. Spans meet the tile they
-    start in, so no row carries a contig."""
-    t = tiles(contigs, tile, 0, most).select(F.col("contig").alias("t_contig"), F.col("tile").alias("t_tile"), "seq_start", "seq")
+    start in, so no row carries a contig. With sites (contig, pos0) also `known`: a byte for each of the bases, 1 at a site."""
+    t = tiles(contigs, tile, 0, most)
+    if sites is not None:
+        t = _flagged(t, sites, tile, most)
+    # as bytes, of which a piece is taken without a walk to its start
+    t = t.select(F.col("contig").alias("t_contig"), F.col("tile").alias("t_tile"), "seq_start", F.col("seq").cast("binary").alias("seq"), *(["flags"] if sites is not None else []))
     s = spans.withColumn("s_tile", F.floor(F.col(start) / tile))
     s = s.join(t, (F.col("contig") == F.col("t_contig")) & (F.col("s_tile") == F.col("t_tile")))
-    return s.withColumn("bases", F.substr("seq", (F.col(start) - F.col("seq_start") + 1).cast("int"), F.col(length).cast("int"))).drop("s_tile", "t_tile", "t_contig", "seq_start", "seq")
+    piece = lambda c: F.substr(c, (F.col(start) - F.col("seq_start") + 1).cast("int"), F.col(length).cast("int"))
+    s = s.withColumn("bases", piece("seq").cast("string"))
+    if sites is not None:
+        s = s.withColumn("known", piece("flags"))
+    return s.drop("s_tile", "t_tile", "t_contig", "seq_start", "seq", "flags")
 
 
 def context(points: DataFrame, contigs: DataFrame, position: str = "pos0", flank: int = 1) -> DataFrame:
