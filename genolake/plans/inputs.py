@@ -26,11 +26,15 @@ def base_at(index: Column) -> Column:
     return F.substring(F.lit("ACGT"), (index + 1).cast("int"), F.lit(1))
 
 
+def letters_of(text: Column) -> Column:
+    return F.regexp_replace(text, "[^A-Za-z]+", "")
+
+
 def bases_of(text: Column) -> Column:
     """The letters of a text, read as bases (Z as N)."""
     # A cyclic reading of the alphabet as bases.
     letters, bases = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "AACCGGTTAACCGGTTAACCGGTTAN"
-    return F.translate(F.upper(F.regexp_replace(text, "[^A-Za-z]", "")), letters, bases)
+    return F.translate(F.upper(letters_of(text)), letters, bases)
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,8 +154,10 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def located(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(contig, pos0, length, h, ref, id, quantity): the records of line items whose part names a document, at a place of its contig."""
-    # behind a shuffle of two columns, as a length would be counted anew for each record that meets its contig
-    c = contigs(spark, sf_dir).select("contig", F.length("seq").cast("long").alias("length")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "contig").where("length > 0")
+    # behind a shuffle of two columns, as a length would be counted anew for each record that meets its contig, and without a condition on it,
+    # for which it would be counted once more
+    t = table(spark, sf_dir, "documents").where(F.col("text").rlike("[A-Za-z]"))
+    c = t.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("contig"), F.length(letters_of(F.col("text"))).cast("long").alias("length")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "contig")
     r = records(spark, sf_dir).select(F.concat(F.lit("doc"), F.col("part_id").cast("string")).alias("contig"), "h", "ref", F.concat_ws(":", F.col("order_id").cast("string"), F.col("line_id").cast("string"), (F.col("h") % 1000).cast("string")).alias("id"), F.col("quantity").cast("long").alias("quantity"))
     return r.join(c, "contig").withColumn("pos0", F.col("h") % F.col("length"))
 

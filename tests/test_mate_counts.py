@@ -60,7 +60,14 @@ def test_overlaps_are_counts(spark):
     assert o.count() <= 5 * 5 * 5**3 * 2
 
 
-@pytest.mark.parametrize("name", ["cycle_spectrum"])
+@pytest.mark.parametrize("name", ["cycle_spectrum", "overlap_bin_report"])
 def test_tables_are_read_once(spark, name):
     """Errors and bases compared come from one table of counts, and not each from the tables."""
     assert not [f for f in plans.QUERIES[name](spark, SF).inputFiles() if f.startswith(f"file://{SF}")]
+
+
+def test_lengths_are_worked_out_once(spark):
+    """Letters are picked out of a text once for its length: a condition on the length would do it again."""
+    from genolake.plans.inputs import located
+
+    assert str(located(spark, SF)._jdf.queryExecution().optimizedPlan().toString()).count("regexp_replace") == 1
