@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from genolake.operators import kernel, reads
+from genolake.operators import fit, kernel, reads
 from genolake.operators.mate_counts import overlap_counts
 from genolake.plans import reads as plans
 
@@ -71,3 +71,9 @@ def test_lengths_are_worked_out_once(spark):
     from genolake.plans.inputs import located
 
     assert str(located(spark, SF)._jdf.queryExecution().optimizedPlan().toString()).count("regexp_replace") == 1
+
+
+def test_matrix_of_counts(spark):
+    rows = [(0, "A", "A", "A", False, 7), (0, "C", "A", "A", False, 2), (0, "A", "C", "A", False, 3), (0, "A", "C", "A", True, 4), (1, "G", "T", "A", False, 5), (0, "T", "T", "A", False, 1)]
+    m = fit.overlap_matrix(spark.createDataFrame(rows, "bin long, b1 string, b2 string, ref string, masked boolean, n long"))
+    assert {(r.bin, r.outcome): r.n for r in m.collect()} == {(0, "agree"): 8, (0, "first_differs"): 2, (0, "second_differs"): 3, (0, "masked"): 4, (1, "neither"): 5}
